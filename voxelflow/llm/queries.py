@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import mixing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_pii": pii.op4_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 SQL: dict[str, str] = {}
