@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality_rules, simhash
+from . import mixing, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_pii": pii.op4_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL: dict[str, str] = {}
