@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality_rules, simhash
+from . import katz, mixing, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_katz": katz.op2_katz,
     "op4_pii": pii.op4_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
