@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, katz, mixing, packing, pii, quality_rules, simhash
+from . import chat, embeddings, katz, mixing, ordinal, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_katz": katz.op2_katz,
     "op3_chat": chat.op3_chat,
     "op4_pii": pii.op4_pii,
+    "op5_ordinal": ordinal.op5_ordinal,
     "op6_embeddings": embeddings.op6_embeddings,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
