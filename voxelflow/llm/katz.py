@@ -31,7 +31,7 @@ from .common import WordHashes, materialize, table
 
 CUT = 5
 KEPT = 0.999
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 _START, _END = np.uint64(1), np.uint64(2)
 _WORDS, _PAIRS, _STATS = 0, 1, 2
 _memo = WordHashes()
@@ -89,8 +89,10 @@ class _Block:
     def __init__(self, texts: list[bytes | None], held: np.ndarray):
         self.h, self.w, self.sizes = tokens(texts)
         self.train = np.repeat(~held, self.sizes)
-        self.words, self.at_word = np.unique(self.w, return_inverse=True)
-        self.pairs, self.at_pair = np.unique(pair_keys(self.h, self.w), return_inverse=True)
+        self.words, at = np.unique(self.w, return_inverse=True)
+        self.at_word = at.astype(np.int32)
+        self.pairs, at = np.unique(pair_keys(self.h, self.w), return_inverse=True)
+        self.at_pair = at.astype(np.int32)
 
     def counted(self):
         for kind, keys, at in ((_WORDS, self.words, self.at_word), (_PAIRS, self.pairs, self.at_pair)):
@@ -234,14 +236,14 @@ def _score_block(model: Model, buckets: int):
             assert len(word) == len(block.words) and len(pair) == len(block.pairs), "a block changed between two reads"
             c_word, owned, c_pair = word >> 1, (pair & 1).astype(bool), pair >> 1
             docs_trained = c_word[_place(block.words, np.array([_END]))][0]
-            first = np.full(len(block.pairs), -1)
-            first[block.at_pair[::-1]] = np.arange(len(block.at_pair))[::-1]  # a token of each pair
-            known = block.words[_place(block.words, block.h)] == block.h
-            c_h = np.where(block.h == _START, docs_trained, np.where(known, c_word[_place(block.words, block.h)], 0))
+            first = np.full(len(block.pairs), -1, np.int32)
+            first[block.at_pair[::-1]] = np.arange(len(block.at_pair), dtype=np.int32)[::-1]  # a token of each pair
+            c_h = np.concatenate([[docs_trained], c_word[block.at_word[:-1]]])  # the token before, but at starts
+            c_h[np.cumsum(block.sizes)[:-1]] = docs_trained
             c_w, c_hw = c_word[block.at_word], c_pair[block.at_pair]
             p_w, seen = model.word(c_w), c_hw > 0
             with np.errstate(divide="ignore", invalid="ignore"):
-                part = np.where(seen, np.log10(model.mass(c_hw) / c_h), np.log10(p_w))
+                part = np.log10(np.where(seen, model.mass(c_hw) / c_h, p_w))
             open_ = ~seen & (c_h > 0)
             needed, at_needed = np.unique(block.h[open_], return_inverse=True)
             ends = np.cumsum(block.sizes)
