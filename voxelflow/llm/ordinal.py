@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade < k) = sigmoid(threshold_k - w . x): one weight vector over hashed features of the text is
-shared by all grades, ordered thresholds part them. Features are the lower-cased words and their
-shapes (runs of letters and digits made one), hashed to a bounded number of weights. The model
+shared by all grades, ordered thresholds part them. Features are the lower-cased words, their first
+letters and shapes (runs of letters and digits made one), and how long and how varied the text is, hashed to a bounded number of weights. The model
 gives each document an expected grade and the probability of the best grade, by which documents
 are selected.
 
@@ -30,13 +30,15 @@ from .common import table, text_words
 
 BITS = 20
 MAX_LABELLED = 8000
-ROUNDS = 120
+ROUNDS = 400
+LEAST_Z = 2.0
+PREFIX = 5
 SELECT = 0.5
 _SHAPES = ((re.compile(r"[^\W\d_a-zà-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
 class _Features(dict):
-    """Memo of word -> (number of the word, number of its shape), forgotten at a fixed size."""
+    """Memo of word -> (number of the word, of its shape, of its first letters), forgotten at a fixed size."""
 
     def __missing__(self, word: str):
         if len(self) > 300_000:
@@ -45,20 +47,19 @@ class _Features(dict):
         for pattern, by in _SHAPES:
             shape = pattern.sub(by, shape)
         mask = (1 << BITS) - 1
-        value = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1) & mask, xxhash.xxh64_intdigest(shape, 2) & mask)
+        value = self[word] = tuple(xxhash.xxh64_intdigest(x, k) & mask for k, x in ((1, word.lower()), (2, shape), (3, word.lower()[:PREFIX])))
         return value
 
 
 _memo = _Features()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text; the values have length 1 (or there are none)."""
+def features(text: str | None) -> np.ndarray:
+    """The numbers of a text's features, each once."""
     words = text_words(text or "")
-    pairs = np.array([_memo[w] for w in words], np.int64).reshape(-1)
-    found, n = np.unique(pairs, return_counts=True)
-    values = np.log1p(n)
-    return found, values / max(1e-9, float(np.sqrt((values**2).sum())))
+    different = len(set(words))
+    sizes = (f"\x00length {len(words).bit_length()}", f"\x00different {10 * different // max(1, len(words))}", f"\x00lines {10 * len(set(lines := (text or '').split(chr(10)))) // len(lines)}")
+    return np.unique(np.array([_memo[w] for w in (*words, *sizes)], np.int64).reshape(-1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,24 +77,45 @@ class Ordinal:
         return 1 - _sigmoid(self.thresholds[None, :] - np.asarray(margin)[:, None])
 
 
-def fit(grades: np.ndarray, index: list[np.ndarray], values: list[np.ndarray], levels: int, rounds: int = ROUNDS, rate: float = 2.0, decay: float = 1e-7) -> Ordinal:
+def telling(grades: np.ndarray, index: list[np.ndarray], levels: int, least: float = LEAST_Z) -> np.ndarray:
+    """Features that speak for a lower grade: more frequent at or below some grade than above it, by
+    at least ``least`` standard errors of the log odds ratio. Without them a document is taken for good."""
+    used, flat = np.unique(np.concatenate(index), return_inverse=True)
+    row = np.repeat(np.arange(len(index)), [len(x) for x in index])
+    best = np.zeros(len(used))
+    for k in range(levels - 1):
+        low = grades <= k
+        n1, n0 = low.sum() + 1, (~low).sum() + 1
+        a = np.bincount(flat, low[row], len(used)) + 0.5
+        b = np.bincount(flat, ~low[row], len(used)) + 0.5
+        best = np.maximum(best, (np.log(a / (n1 - a)) - np.log(b / (n0 - b))) / np.sqrt(1 / a + 1 / b + 1 / (n1 - a) + 1 / (n0 - b)))
+    return used[best >= least]
+
+
+def fit(grades: np.ndarray, index: list[np.ndarray], levels: int, rounds: int = ROUNDS, rate: float = 1.0, decay: float = 1e-4) -> Ordinal:
     """Maximum likelihood by full-batch adaptive gradient steps."""
     size = 1 << BITS
     if len(set(grades.tolist())) < 2:
         return Ordinal(np.zeros(size, np.float32), np.linspace(-10, -9, levels - 1))
     share = np.array([(grades <= k).mean() for k in range(levels - 1)]).clip(0.01, 0.99)
     thresholds = np.log(share / (1 - share)) + np.arange(levels - 1) * 1e-3
-    flat, value = np.concatenate(index), np.concatenate(values)
+    used = telling(grades, index, levels)
+    weights = np.zeros(size, np.float32)
+    if not len(used):
+        return Ordinal(weights, thresholds)
+    flat = np.concatenate(index)
     row = np.repeat(np.arange(len(index)), [len(x) for x in index])
-    used, flat = np.unique(flat, return_inverse=True)
+    place = np.minimum(np.searchsorted(used, flat), len(used) - 1)
+    kept = used[place] == flat
+    flat, row = place[kept], row[kept]
     w, past, past_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(levels - 1, 1e-8)
     below, above = np.maximum(grades - 1, 0), np.minimum(grades, levels - 2)
     for _ in range(rounds):
-        margin = np.bincount(row, w[flat] * value, len(index))
+        margin = np.bincount(row, w[flat], len(index))
         a = np.where(grades > 0, _sigmoid(thresholds[below] - margin), 0.0)
         b = np.where(grades < levels - 1, _sigmoid(thresholds[above] - margin), 1.0)
         p = np.maximum(b - a, 1e-9)
-        slope = np.bincount(flat, (a + b - 1)[row] * value, len(used)) / len(index) - decay * w
+        slope = np.bincount(flat, (a + b - 1)[row], len(used)) / len(index) - decay * w
         up = np.bincount(above, np.where(grades < levels - 1, b * (1 - b) / p, 0), levels - 1)
         down = np.bincount(below, np.where(grades > 0, a * (1 - a) / p, 0), levels - 1)
         slope_t = (up - down) / len(index)
@@ -101,12 +123,11 @@ def fit(grades: np.ndarray, index: list[np.ndarray], values: list[np.ndarray], l
         past_t += slope_t**2
         w += rate * slope / np.sqrt(past)
         thresholds = np.maximum.accumulate(thresholds + 0.1 * slope_t / np.sqrt(past_t) + np.arange(levels - 1) * 1e-9)
-    weights = np.zeros(size, np.float32)
     weights[used] = w
     return Ordinal(weights, thresholds)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, list, list]:
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, list]:
     """Grades and features of the labelled sample. labels: doc_id, grade."""
     chosen = labels.groupBy("doc_id").agg(F.round(F.avg("grade")).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -115,10 +136,10 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     def of(batches):
         for batch in batches:
             found = [features(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["doc_id", "grade", "i", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i in found], pa.binary())], names=["doc_id", "grade", "i"])
 
-    got = sorted(rows.mapInArrow(of, "doc_id long, grade int, i binary, v binary").collect(), key=lambda r: r["doc_id"])
-    return np.array([r["grade"] for r in got], np.int64), [np.frombuffer(r["i"], "<i4") for r in got], [np.frombuffer(r["v"], "<f4") for r in got]
+    got = sorted(rows.mapInArrow(of, "doc_id long, grade int, i binary").collect(), key=lambda r: r["doc_id"])
+    return np.array([r["grade"] for r in got], np.int64), [np.frombuffer(r["i"], "<i4") for r in got]
 
 
 def classify(docs: DataFrame, labels: DataFrame, levels: int, max_labelled: int = MAX_LABELLED, select: float = SELECT) -> DataFrame:
@@ -131,8 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, levels: int, max_labelled: int
         for batch in batches:
             margins = []
             for text in batch.column(1).to_pylist():
-                index, values = features(text)
-                margins.append(float(model.weights[index] @ values))
+                margins.append(float(model.weights[features(text)].sum(dtype=np.float64)))
             tail = model.at_least(np.array(margins).reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= select)], names=["doc_id", "expected_grade", "top_probability", "kept"])
 
