@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialize, table
+from .packed import pack as _pack
+from .packed import slices as _slices
+from .packed import unpack as _unpack
 
 CUT = 5
 KEPT = 0.999
@@ -37,29 +40,6 @@ _WORDS, _PAIRS, _STATS = 0, 1, 2
 _memo = WordHashes()
 
 
-# Packed arrays ------------------------------------------------------------------------------
-
-
-def _pack(values: np.ndarray, sorted_: bool = False) -> bytes:
-    """8-byte values by byte plane, which compresses well; sorted ones as differences."""
-    values = np.ascontiguousarray(values, "<u8" if values.dtype != np.float64 else "<f8")
-    if sorted_ and len(values):
-        values = np.concatenate([values[:1], np.diff(values)])
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack(data: bytes, sorted_: bool = False, kind: str = "<u8") -> np.ndarray:
-    values = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
-    return np.cumsum(values, dtype=np.uint64) if sorted_ else values
-
-
-def _slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's sorted keys begin, and the end."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-    edges = np.arange(1, buckets, dtype=np.uint64) << shift
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 # The text of a block ------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, katz, mixing, ordinal, packing, pii, quality_rules, simhash
+from . import chat, embeddings, html_text, katz, mixing, ordinal, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_ordinal": ordinal.op5_ordinal,
     "op6_embeddings": embeddings.op6_embeddings,
+    "op7_html": html_text.op7_html,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
