@@ -117,11 +117,11 @@ def _clear_of(column: str):
     return lambda x: ~F.exists(column, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each kind, base_<kind> and, where the kind has looser patterns,
+def spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key column and, for each kind, base_<kind> and, where the kind has looser patterns,
     loose_<kind>: spans with their votes and shapes."""
     text = F.col("_t")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("_t"))
     for kind in KINDS:
         rows = _scan(rows, text, BASE[kind], NEEDS[kind], f"base_{kind}", lambda m, k=kind: _valid(k, m))
     for kind, pattern in LOOSE.items():
@@ -143,7 +143,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     out = [F.transform(f"base_{k}", judged(k, True)).alias(f"base_{k}") for k in KINDS]
     out += [F.transform(f"loose_{k}", judged(k, False)).alias(f"loose_{k}") for k in LOOSE]
-    return rows.select("doc_id", *out)
+    return rows.select(key, *out)
 
 
 def vote_counts(found: DataFrame) -> list:
@@ -204,7 +204,11 @@ def fit(counts: list) -> dict[str, float]:
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, base_<kind> (spans of the base rules) and added_<kind> (the method's)."""
     found = materialize(spans(docs), "spans")
-    weights = fit(vote_counts(found))
+    return judge(found, fit(vote_counts(found)))
+
+
+def judge(found: DataFrame, weights: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """The key column, base_<kind> and added_<kind> of found spans."""
 
     def sure(kind: str):
         def of(x: Column) -> Column:
@@ -217,7 +221,7 @@ def find_private(docs: DataFrame) -> DataFrame:
 
     plain = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    return found.select("doc_id", *[plain(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS], *[(plain(F.filter(f"loose_{k}", sure(k))) if k in LOOSE else none).alias(f"added_{k}") for k in KINDS])
+    return found.select(key, *[plain(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS], *[(plain(F.filter(f"loose_{k}", sure(k))) if k in LOOSE else none).alias(f"added_{k}") for k in KINDS])
 
 
 def _listed(prefixes: tuple[str, ...]) -> Column:
@@ -236,22 +240,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_private(docs: DataFrame) -> DataFrame:
-    """The documents with every found span replaced by <KIND>; other columns stay. A text is looked
-    up by its hash, so equal texts are masked alike whatever their doc_id."""
-    rows = docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
-    found = find_private(rows).where(" or ".join(f"size({p}_{k}) > 0" for p in ("base", "added") for k in KINDS))
+    """The documents with every found span replaced by <KIND>; other columns stay. One pass counts
+    the signatures, a second finds and replaces, so no text is shuffled."""
+    weights = fit(vote_counts(spans(docs)))
+    found = judge(spans(docs.select(F.struct("*").alias("_row"), "text"), "_row"), weights, "_row")
 
     def marked(kind: str):
         return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind.upper()}>").alias("k"))
 
     each = [F.transform(f"{p}_{k}", marked(k)) for p in ("base", "added") for k in KINDS]
-    found = found.select(F.col("doc_id").alias("_key"), F.array_sort(F.concat(*each)).alias("_spans"))
-    both = docs.withColumn("_key", F.xxhash64("text")).join(found, "_key", "left")
+    found = found.select("_row", F.array_sort(F.concat(*each)).alias("_spans"))
+    text = F.col("_row")["text"]
     start = F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))")
 
     def step(acc: Column, x: Column) -> Column:  # spans of different kinds may overlap: the first to start wins
-        whole = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), x["k"])).alias("out"))
+        whole = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["k"])).alias("out"))
         return F.when(x["s"] >= acc["at"], whole).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).select(docs.columns)
+    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    return found.select(*[masked.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
