@@ -83,14 +83,14 @@ def backproject_rigid(spark, sf_dir):
     inv = g.inverse(K)
     raw, rigid = g.transform(inv, ray), g.transform(g.product(TURN, inv), ray, SHIFT)
     named = rows.select("l_suppkey", *[v.alias(f"u{c}") for c, v in zip("xyz", raw, strict=True)], *[v.alias(f"p{c}") for c, v in zip("xyz", rigid, strict=True)])
-    return named.groupBy("l_suppkey").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("ux", "uy", "uz", "px", "py", "pz")])
+    return named.groupBy("l_suppkey").agg(*[F.round(F.avg(c), 7).alias(c) for c in ("ux", "uy", "uz", "px", "py", "pz")])
 
 
 def center_uncenter(spark, sf_dir):
     origin = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vid"), (F.col("s_acctbal") / 1000).alias("ox"), F.col("s_nationkey").cast("double").alias("oy"), F.lit(1.0).alias("oz"))
     there = clouds.centred(clouds.with_origin(_points(spark, sf_dir), origin, ["vid"]))
     back = clouds.centred(there.withColumns({f"c{c}": F.col(c) for c in "xyz"}), back=True)
-    return back.groupBy("vid").agg(*[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in ("cx", "cy", "cz", "x", "y", "z")])
+    return back.groupBy("vid").agg(*[F.round(F.avg(c), 7).alias(f"mean_{c}") for c in ("cx", "cy", "cz", "x", "y", "z")])
 
 
 def rgb_to_lab(spark, sf_dir):
@@ -111,12 +111,12 @@ def voxel_group_size_having(spark, sf_dir):
 
 
 def voxel_centroid(spark, sf_dir):
-    return _points(spark, sf_dir).groupBy("vid").agg(*[F.round(F.avg(c), 4).alias(f"m{c}") for c in "xyz"])
+    return _points(spark, sf_dir).groupBy("vid").agg(*[F.round(F.avg(c), 7).alias(f"m{c}") for c in "xyz"])
 
 
 def _histogram(spark, sf_dir, compat):
     stats = voxels.statistics(_points(spark, sf_dir), ["vid"], compat)
-    return stats.select("vid", *[F.round(F.col(f"h{i}") / F.col("n"), 5).alias(f"h{i}") for i in range(51)])
+    return stats.select("vid", *[F.round(F.col(f"h{i}") / F.col("n"), 8).alias(f"h{i}") for i in range(51)])
 
 
 def voxel_color_histogram_intended(spark, sf_dir):
@@ -254,7 +254,7 @@ def _scened(spark, sf_dir):
 
 def supervoxel_grid(spark, sf_dir):
     v = supervoxel.voxel_grid(_scened(spark, sf_dir), 5.0)
-    return v.select("scene", "i", "j", "k", "n", *_rounded("x", "y", "z", "r", digits=4))
+    return v.select("scene", "i", "j", "k", "n", *_rounded("x", "y", "z", "r", digits=7))
 
 
 def supervoxel_adjacency(spark, sf_dir):
@@ -263,7 +263,7 @@ def supervoxel_adjacency(spark, sf_dir):
 
 
 def supervoxel_full(spark, sf_dir):
-    p, edges, _ = supervoxel.supervoxels(_scened(spark, sf_dir), 5.0, 15.0)
+    p, edges, _ = supervoxel.supervoxels(_scened(spark, sf_dir), 5.0, 10.0)
     degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "vid")
     return p.groupBy("vid").agg(F.count("*").alias("n")).join(degree, "vid", "left")
 
@@ -338,7 +338,7 @@ def _vector(name: str, value: str) -> str:
 def _hist_sql(compat: bool) -> str:
     offs = (("r", 0), ("g", 17), ("b", 34))
     bins = [f"least({c} // 17 + {o}, 17)" if compat else f"least({c} // 17, 16) + {o}" for c, o in offs]
-    cols = ", ".join(f"round(CAST(sum(" + " + ".join(f"CASE WHEN {b} = {i} THEN 1 ELSE 0 END" for b in bins) + f") AS DOUBLE) / count(*), 5) AS h{i}" for i in range(51))
+    cols = ", ".join(f"round(CAST(sum(" + " + ".join(f"CASE WHEN {b} = {i} THEN 1 ELSE 0 END" for b in bins) + f") AS DOUBLE) / count(*), 8) AS h{i}" for i in range(51))
     return f"WITH pc AS ({_PC}) SELECT vid, {cols} FROM pc GROUP BY vid"
 
 
@@ -397,12 +397,12 @@ SQL = {
     "taxonomy_last_wins": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}), u AS (SELECT label, arg_max(name, ord) AS name, arg_max(r, ord) AS r, arg_max(g, ord) AS g, arg_max(b, ord) AS b FROM t GROUP BY label), e AS (SELECT {_LABEL} AS label, count(*) AS n FROM events GROUP BY 1) SELECT e.label, u.name, u.r, u.g, u.b, e.n FROM e JOIN u ON u.label = e.label",
     "strict_label_lookup": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT 1000000*t.r + 1000*t.g + t.b AS key, t.label, count(*) AS n FROM events e JOIN t ON t.name = e.event_type GROUP BY 1, 2",
     "depth_validity_filter": "WITH d AS (SELECT l_suppkey, CAST(trunc(l_extendedprice - 2000) AS INT) AS d FROM lineitem), m AS (SELECT l_suppkey, CASE WHEN d > 0 AND d <= 10000 THEN d / 1000.0 END AS m FROM d) SELECT l_suppkey, count(*) AS n, count(m) AS valid, round(sum(m), 3) AS metres FROM m GROUP BY l_suppkey",
-    "backproject_rigid": "WITH d AS (SELECT l_suppkey, l_partkey AS idx, CAST(trunc(l_extendedprice / 100) AS INT) AS d FROM lineitem), z AS (SELECT l_suppkey, idx, CASE WHEN d > 0 AND d <= 10000 THEN d / 1000.0 END AS z FROM d), u AS (SELECT l_suppkey, 0.5*((idx % 64)*z) - 0.5*z AS ux, 0.25*((idx // 64)*z) - 0.25*z AS uy, z AS uz FROM z) SELECT l_suppkey, round(avg(ux), 4) AS ux, round(avg(uy), 4) AS uy, round(avg(uz), 4) AS uz, round(avg(-uy), 4) AS px, round(avg(ux), 4) AS py, round(avg(uz + 1.5), 4) AS pz FROM u GROUP BY l_suppkey",
-    "center_uncenter": f"WITH pc AS ({_PC}), o AS (SELECT s_suppkey AS vid, s_acctbal/1000 AS ox, CAST(s_nationkey AS DOUBLE) AS oy, 1.0 AS oz FROM supplier) SELECT vid, round(avg(x-ox), 4) AS mean_cx, round(avg(y-oy), 4) AS mean_cy, round(avg(z-oz), 4) AS mean_cz, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, round(avg(z), 4) AS mean_z FROM pc JOIN o USING (vid) GROUP BY vid",
+    "backproject_rigid": "WITH d AS (SELECT l_suppkey, l_partkey AS idx, CAST(trunc(l_extendedprice / 100) AS INT) AS d FROM lineitem), z AS (SELECT l_suppkey, idx, CASE WHEN d > 0 AND d <= 10000 THEN d / 1000.0 END AS z FROM d), u AS (SELECT l_suppkey, 0.5*((idx % 64)*z) - 0.5*z AS ux, 0.25*((idx // 64)*z) - 0.25*z AS uy, z AS uz FROM z) SELECT l_suppkey, round(avg(ux), 7) AS ux, round(avg(uy), 7) AS uy, round(avg(uz), 7) AS uz, round(avg(-uy), 7) AS px, round(avg(ux), 7) AS py, round(avg(uz + 1.5), 7) AS pz FROM u GROUP BY l_suppkey",
+    "center_uncenter": f"WITH pc AS ({_PC}), o AS (SELECT s_suppkey AS vid, s_acctbal/1000 AS ox, CAST(s_nationkey AS DOUBLE) AS oy, 1.0 AS oz FROM supplier) SELECT vid, round(avg(x-ox), 7) AS mean_cx, round(avg(y-oy), 7) AS mean_cy, round(avg(z-oz), 7) AS mean_cz, round(avg(x), 7) AS mean_x, round(avg(y), 7) AS mean_y, round(avg(z), 7) AS mean_z FROM pc JOIN o USING (vid) GROUP BY vid",
     "rgb_to_lab": f"WITH pc AS ({_PC}), l AS (SELECT vid, {_LIN('r')} AS lr, {_LIN('g')} AS lg, {_LIN('b')} AS lb FROM pc), t AS (SELECT vid, (0.412453*lr + 0.357580*lg + 0.180423*lb)/0.950456 AS x, 0.212671*lr + 0.715160*lg + 0.072169*lb AS y, (0.019334*lr + 0.119193*lg + 0.950227*lb)/1.088754 AS z FROM l) SELECT vid, round(avg(round((CASE WHEN y > 0.008856 THEN 116*pow(y, 1.0/3) - 16 ELSE 903.3*y END)*2.55)), 1) AS light, round(avg(round(500*({_ROOT('x')} - {_ROOT('y')}) + 128)), 1) AS a_star, round(avg(round(200*({_ROOT('y')} - {_ROOT('z')}) + 128)), 1) AS b_star FROM t GROUP BY vid",
     "segment_id_codec": f"SELECT p_partkey, CAST({_BIT(0)} AS INT) AS r, CAST({_BIT(1)} AS INT) AS g, CAST({_BIT(2)} AS INT) AS b, CAST(p_partkey AS INT) AS back FROM part",
     "voxel_group_size_having": "SELECT l_suppkey AS vid, count(*) AS n FROM lineitem WHERE l_suppkey > 0 GROUP BY l_suppkey HAVING count(*) >= 590",
-    "voxel_centroid": f"WITH pc AS ({_PC}) SELECT vid, round(avg(x), 4) AS mx, round(avg(y), 4) AS my, round(avg(z), 4) AS mz FROM pc GROUP BY vid",
+    "voxel_centroid": f"WITH pc AS ({_PC}) SELECT vid, round(avg(x), 7) AS mx, round(avg(y), 7) AS my, round(avg(z), 7) AS mz FROM pc GROUP BY vid",
     "voxel_color_histogram_intended": _hist_sql(False),
     "voxel_color_histogram_compat": _hist_sql(True),
     "voxel_scatter_matrix": f"WITH pc AS ({_PC}), m AS (SELECT vid, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pc GROUP BY vid) SELECT vid, count(*) AS n, " + ", ".join(f"round(sum(({a}-m{a})*({b}-m{b})), 2) AS {a}{b}" for a, b in _S) + " FROM pc JOIN m USING (vid) GROUP BY vid",
@@ -422,7 +422,7 @@ SQL = {
     "crf_gaussian_messages": f"WITH {_slices_sql()}, w AS (SELECT a.scene, a.pidx, b.p0, b.p1, b.p2, exp(-0.5*((a.d0-b.d0)*(a.d0-b.d0) + (a.d1-b.d1)*(a.d1-b.d1) + (a.d2-b.d2)*(a.d2-b.d2))) AS k FROM sl a JOIN sl b ON a.scene = b.scene AND a.pidx <> b.pidx) SELECT scene, pidx, round(sum(k*p0)/sum(k), 5) AS m0, round(sum(k*p1)/sum(k), 5) AS m1, round(sum(k*p2)/sum(k), 5) AS m2 FROM w GROUP BY scene, pidx",
     "crf_mean_field_2iter": _mean_field_sql("SELECT scene, pidx, round(q0, 4) AS q0, round(q1, 4) AS q1, round(q2, 4) AS q2 FROM {}"),
     "crf_map": _mean_field_sql("SELECT scene, pidx, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS label FROM {}"),
-    "supervoxel_grid": f"WITH pc AS ({_PC}) SELECT 0 AS scene, CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, round(avg(r), 4) AS r FROM pc GROUP BY 2, 3, 4",
+    "supervoxel_grid": f"WITH pc AS ({_PC}) SELECT 0 AS scene, CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z, round(avg(r), 7) AS r FROM pc GROUP BY 2, 3, 4",
     "supervoxel_adjacency": f"WITH pc AS ({_PC}), v AS (SELECT DISTINCT CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k FROM pc) SELECT 0 AS scene, a.i, a.j, a.k, count(*) AS neighbours FROM v a JOIN v b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1 AND NOT (a.i = b.i AND a.j = b.j AND a.k = b.k) GROUP BY 2, 3, 4",
     "minmax_rescale": "SELECT p_partkey, round((p_retailprice - lo)/(hi - lo)*255.0, 4) AS scaled FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)",
     "fused_latest_by_waypoint": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, first_value(event_type) OVER (ORDER BY ts DESC, event_id DESC) AS f FROM events) SELECT user_id AS vid, event_id, value, f AS fused_frame FROM r WHERE k = 1",
