@@ -33,11 +33,11 @@ def product(a: list, b: list) -> list:
 
 
 def inverse(m: list) -> list:
-    """By the adjugate."""
+    """By the adjugate; of columns, nulls for a singular matrix."""
     a, b, c, d, e, f, g, h, i = m
     cof = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
     det = a * cof[0] + b * cof[3] + c * cof[6]
-    return [x / det for x in cof]
+    return [F.try_divide(x, det) if isinstance(det, Column) else x / det for x in cof]
 
 
 def quaternion_matrix(x, y, z, w) -> list:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import geometry as g
 
+from .lineage import cut
+
 
 def fit_plane(points: DataFrame, keys: list[str], distance: float = 0.05, rounds: int = 3) -> DataFrame:
     """keys, nx, ny, nz, d, inliers: the least-squares plane n . p + d = 0 of each group, refitted
-    on the points within a distance that shrinks to ``distance``. One aggregation per round;
-    groups of fewer than 3 points have no plane. The normal has y < 0."""
+    on the points within a distance that shrinks to ``distance``. One aggregation per round, whose
+    row per group is checkpointed, so that rounds don't nest in one plan; groups of fewer than 3
+    points have no plane. The normal has y < 0."""
     s = ("xx", "xy", "xz", "yy", "yz", "zz")
     near, plane = points, None
     for k in range(rounds):
@@ -24,6 +27,7 @@ def fit_plane(points: DataFrame, keys: list[str], distance: float = 0.05, rounds
         up = F.when(F.col("vy") > 0, -1.0).otherwise(1.0)
         stats = stats.withColumns({f"n{c}": F.col(f"v{c}") * up for c in "xyz"})
         plane = stats.select(*keys, "nx", "ny", "nz", (-(F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz"))).alias("d"), "inliers")
+        plane = cut(plane)
         if k + 1 < rounds:
             off = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d"))
             near = points.join(plane, keys).where(off <= distance * 4.0 ** (rounds - 2 - k)).select(*points.columns)

@@ -32,7 +32,7 @@ def adjacency(voxels: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
 
 def supervoxels(points: DataFrame, resolution: float = 0.05, seed_resolution: float = 0.2, color: float = 0.2, spatial: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points with vid, 0 where no seed reached them; edges scene, src, dst; voxels with vid).
-    A seed is the voxel nearest to the centre of each seed cell; its id is a hash of its place."""
+    A vid that the points had before gives way. A seed is the voxel nearest to the centre of each seed cell; its id is a hash of its place."""
     voxels = cut(voxel_grid(points, resolution))
     touch = cut(adjacency(voxels))
     seat = [F.floor(F.col(c) / seed_resolution).alias(f"s{c}") for c in "xyz"]
@@ -52,7 +52,7 @@ def supervoxels(points: DataFrame, resolution: float = 0.05, seed_resolution: fl
         centres = cut(now.where("vid is not null").groupBy("scene", "vid").agg(*[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", "r", "g", "b")]))
     labelled = now.select("scene", *CELL, F.coalesce("vid", F.lit(0)).alias("vid"))
     cell = {k: F.floor(F.col(c) / resolution) for c, k in zip("xyz", CELL, strict=True)}
-    out = points.withColumns(cell).join(labelled, ["scene", *CELL]).drop(*CELL)
+    out = points.drop("vid").withColumns(cell).join(labelled, ["scene", *CELL]).drop(*CELL)
     src = labelled.withColumnRenamed("vid", "src")
     dst = labelled.select("scene", *[F.col(c).alias(f"{c}2") for c in CELL], F.col("vid").alias("dst"))
     edges = touch.join(src, ["scene", *CELL]).join(dst, ["scene", "i2", "j2", "k2"]).where("src <> dst and src > 0 and dst > 0").select("scene", "src", "dst").distinct()
