@@ -39,14 +39,13 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-
 def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (tree, node, up) of the ancestor 1, 2, 4, ... steps up, and (tree, node, total) of all
     messages that have a root."""
     have = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = messages.join(have, messages["tree"].eqNullSafe(have["t"]) & (messages["parent"] == have["n"]), "left")
     now = materialize(first.select("tree", "node", F.col("n").alias("up"), "score"), "jump0")
-    levels, limit = [], 64
+    levels, limit = [], messages.count().bit_length()  # longer paths are cycles
     while len(levels) < limit and now.where("up is not null").limit(1).count():
         levels.append(now.where("up is not null").select("tree", "node", "up"))
         above = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"), F.col("score").alias("more"))
