@@ -37,7 +37,7 @@ KEPT = 0.999
 BLOCK_ROWS = 4096
 _START, _END = np.uint64(1), np.uint64(2)
 _WORDS, _PAIRS, _STATS = 0, 1, 2
-_memo = WordHashes()
+_memo = WordHashes(150_000)
 
 
 # The text of a block ------------------------------------------------------------------------
@@ -283,7 +283,7 @@ def score(docs: DataFrame, block: Column | None = None, held_out: Column | None
         n = max(1, -(-n_docs // (BLOCK_ROWS // 2)))
         block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.lit(0))
         docs = docs.select("doc_id", "text").repartition(n, block).sortWithinPartitions(block)
-    buckets = 1 << max(4, (n_docs // 4000).bit_length())
+    buckets = 1 << max(4, (n_docs // 2000).bit_length())
     rows = docs.select(block.alias("p"), held.alias("held"), F.col("text").cast("binary").alias("text"), "doc_id")
     asked = rows.select("p", "held", "text").mapInArrow(_request(buckets), "b long, p long, kind int, keys binary, counts binary")
     answers = materialize(asked.groupBy("b").applyInArrow(_answer, ANSWERS), "answers")
