@@ -45,13 +45,15 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     have = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = messages.join(have, messages["tree"].eqNullSafe(have["t"]) & (messages["parent"] == have["n"]), "left")
     now = materialize(first.select("tree", "node", F.col("n").alias("up"), "score"), "jump0")
-    levels, limit = [], messages.count().bit_length()  # longer paths are cycles
-    while len(levels) < limit and now.where("up is not null").limit(1).count():
-        levels.append(now.where("up is not null").select("tree", "node", "up"))
-        above = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"), F.col("score").alias("more"))
-        now = now.join(above, now["tree"].eqNullSafe(above["t"]) & (now["up"] == above["n"]), "left")
-        now = materialize(now.select("tree", "node", F.col("above").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), f"jump{len(levels)}")
-    return levels, now.where("up is null").select("tree", "node", F.col("score").alias("total"))
+    levels, limit, rooted = [], messages.count().bit_length(), now.where("up is null")  # longer paths are cycles
+    while len(levels) < limit and (open_ := now.where("up is not null")).limit(1).count():
+        levels.append(open_.select("tree", "node", "up"))
+        known = rooted.union(open_)  # what has its root is settled: only the others jump on
+        above = known.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"), F.col("score").alias("more"))
+        now = open_.join(above, open_["tree"].eqNullSafe(above["t"]) & (open_["up"] == above["n"]))
+        now = materialize(now.select("tree", "node", F.col("above").alias("up"), (F.col("score") + F.col("more")).alias("score")), f"jump{len(levels)}")
+        rooted = rooted.union(now.where("up is null"))
+    return levels, rooted.select("tree", "node", F.col("score").alias("total"))
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -62,11 +64,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["n"]), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= branches)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("depth"))
+    paths = materialize(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("depth")), "leaves")
     for k, level in enumerate(levels):
         up = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         higher = paths.join(up, paths["tree"].eqNullSafe(up["t"]) & (paths["node"] == up["n"])).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
-        paths = materialize(paths.union(higher), f"paths{k}")
+        paths = paths.union(materialize(higher, f"paths{k}"))
     return paths
 
 
