@@ -184,6 +184,12 @@ def test_pii(docs, rows, nothing, spark):
     assert masked.where("doc_id = -6").head()["text"].endswith("y 😀 <EMAIL> <IP> +1 <PHONE> <CARD>")  # the base match of the phone has too many digits
 
 
+def test_pii_capitals(spark):
+    given = ["jane [at] acme [dot] com", "jane [AT] acme [DOT] com", "Jane (At) acme (Dot) com", "JANE (AT) ACME (DOT) CO (DOT) UK"]
+    found = pii.spans(spark.createDataFrame([(k, t, "en", "a", 0, 7, 7, 7, 7) for k, t in enumerate(given)], DOCS)).collect()
+    assert {r["doc_id"]: [(x["s"], x["e"]) for x in r["loose_email"]] for r in found} == {k: [(0, len(t))] for k, t in enumerate(given)}
+
+
 def test_ordinal(spark, docs, rows, nothing):
     rng = np.random.default_rng(5)
     vocabulary = {0: ["spam", "buy", "cheap"], 1: ["rude", "awful", "nasty"], 2: ["calm", "clear", "kind"]}

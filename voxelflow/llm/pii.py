@@ -105,7 +105,7 @@ def _located(found: str, gaps: str, valid) -> Column:
 
 
 def _scan(rows: DataFrame, text: Column, pattern: str, needs: str, out: str, valid) -> DataFrame:
-    worth = text.contains(needs) if needs else text.rlike("[0-9]")
+    worth = F.lower(text).contains(needs) if needs.isalpha() else text.contains(needs) if needs else text.rlike("[0-9]")
     none = F.expr("cast(array() as array<string>)")
     rows = rows.withColumn("_found", F.when(worth, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(none))
     rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, pattern, -1)).otherwise(none))
