@@ -218,6 +218,19 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_tables():
+    """Pairs just at the threshold meet as often as stated, however many tables there are."""
+    rng, d = np.random.default_rng(2), 64
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 3000, d)))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n in (500, 50_000, 10**6, 10**8):
+        bits, tables = embeddings.table_sizes(n)
+        turns = [embeddings.rotation(d, k).T for k in range(embeddings.rotations_for(bits, tables, d))]
+        keys = [embeddings.table_keys([v @ r for r in turns], bits, tables) for v in (x, y)]
+        assert (keys[0] == keys[1]).any(1).mean() >= 0.995
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><nav>Menu</nav><article><h1>Head &amp;\n line {0}</h1><p>Body <b>of</b> {0}.</p><div class='ad'>Buy</div></article><div id=comments><p>First!</p></div><footer>Foot</footer><script>var a='<p>';</script></body></html>"
     table = [(k, "http://h.x/1", page.format(k)) for k in range(5)] + [(10, None, None), (11, "http://h.x/1", ""), (12, "u", "<p>cut <b"), (12, "u", "<p>cut <b")]

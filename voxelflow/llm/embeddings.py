@@ -55,12 +55,18 @@ def table_sizes(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def rotations_for(bits: int, tables: int, d: int) -> int:
+    """How many rotations give each bit of each table a sign of its own."""
+    return -(-bits * tables // d)
+
+
 def table_keys(turned: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
-    """[vector, table] keys. Bits are drawn from the signs in all rotations, by seed."""
+    """[vector, table] keys. Bits are drawn by seed from the signs in all rotations, each sign once
+    at most, so tables are as independent as rotations: see ``rotations_for``."""
     signs = np.hstack(turned) > 0
-    rng = np.random.default_rng((_SEED, signs.shape[1], bits))
+    drawn = np.random.default_rng((_SEED, signs.shape[1], bits)).permutation(signs.shape[1])[: bits * tables].reshape(tables, bits)
     weight = 1 << np.arange(bits, dtype=np.int64)
-    return np.stack([signs[:, rng.choice(signs.shape[1], bits, replace=signs.shape[1] < bits)] @ weight for _ in range(tables)], 1)
+    return np.stack([signs[:, of] @ weight for of in drawn], 1)
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -68,7 +74,7 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _tables(bits: int, tables: int, turns: int):
+def _tables(bits: int, tables: int):
     def of(batches):
         for batch in batches:
             rep, vectors = batch.column(0).to_numpy(), batch.column(2)
@@ -77,7 +83,7 @@ def _tables(bits: int, tables: int, turns: int):
                 rows = np.flatnonzero(lengths == d)
                 x = np.array(vectors.take(pa.array(rows)).to_pylist(), np.float32)
                 unit = _units(x)
-                keys = table_keys([unit @ rotation(int(d), k).T for k in range(turns)], bits, tables)
+                keys = table_keys([unit @ rotation(int(d), k).T > 0 for k in range(rotations_for(bits, tables, int(d)))], bits, tables)
                 packed, all_keys = [v.tobytes() for v in x], [k.tobytes() for k in keys]
                 n = batch.column(1).to_numpy()[rows]
                 for t in range(tables):
@@ -147,9 +153,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     group = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     group = materialize(group.select("first", "n", "v", F.xxhash64("v").alias("rep")), "vectors")
     bits, tables = table_sizes(group.count(), threshold, recall)
-    d = group.agg(F.max(F.size("v"))).head()[0] or 1
-    turns = min(8, -(-bits * 8 // d) + 1)
-    spread = materialize(group.select("rep", "n", "v").mapInArrow(_tables(bits, tables, turns), "bucket long, d int, t int, rep long, n long, vector binary, keys binary"), "tables")
+    spread = materialize(group.select("rep", "n", "v").mapInArrow(_tables(bits, tables), "bucket long, d int, t int, rep long, n long, vector binary, keys binary"), "tables")
     sizes = spread.groupBy("bucket", "d").agg(F.count("*").alias("m")).where("m > 1")
     many = spread.join(sizes, ["bucket", "d"])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
