@@ -96,34 +96,69 @@ def test_simhash_crowds(spark):
     assert pairs(roots(len(prints), near)) == pairs(roots(len(prints), [(at[u], at[v]) for u, v in links]))
 
 
-def test_katz(docs, rows, nothing):
+def good_turing(counts, least):
+    """Discount by number of occurrences, as the docstring of the model states it."""
+    n = Counter(counts)
+    spare = n[least] / (n[least] + 2 * n[least + 1]) if n[least] and n[least + 1] else 0.5
+    mu = 6 * n[6] / n[1] if least == 1 and n[1] else 0.0
+
+    def d(r):
+        if r < least or r > 5:
+            return 0.0 if r < least else 0.999
+        ratio = ((r + 1) / r * n[r + 1] / n[r] - mu) / (1 - mu) if n[r] and n[r + 1] and mu < 1 else -1
+        return ratio if 0 < ratio < 1 else 1 - spare / r
+
+    return d
+
+
+@pytest.mark.parametrize("block_tokens", [katz.BLOCK_TOKENS, 900])
+def test_katz(docs, rows, nothing, block_tokens):
     def held(i):
         return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
-    text = [[*WORD.findall(lower(r[1])), None] for r in rows]
-    train = [t for r, t in zip(rows, text, strict=True) if not held(r[0])]
-    c1, c2, starts = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True)), len(train)
-    n, v = sum(c1.values()), len(c1)
-    tally = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2)]
-    d1, d2 = katz.discounts(tally(c1)), katz.discounts(tally(c2))
-    below = {w: d1[min(c, katz.CUT + 1)] * c / n for w, c in c1.items()}
-    unknown = 1 - sum(below.values())
-    after = defaultdict(dict)
-    for (h, w), c in c2.items():
-        after[h][w] = d2[min(c, katz.CUT + 1)] * c / (starts if h == "<s>" else c1[h])
-    alpha = {h: (1 - sum(p.values())) / (1 - sum(below[w] for w in p)) for h, p in after.items()}
-    assert 0 < unknown < 1
-    for h in list(after)[:20]:
-        rest = alpha[h] * (unknown + sum(p for w, p in below.items() if w not in after[h]))
-        assert sum(after[h].values()) + rest == pytest.approx(1)
-
-    def p(h, w):
-        return after[h][w] if w in after.get(h, ()) else alpha.get(h, 1.0) * below.get(w, unknown)
-
+    text = [[*WORD.findall(lower(r[1])), "</s>"] for r in rows]
+    padded = [[("<s>", "<s>", *t)[i : i + 3] for i in range(len(t))] for t in text]
+    train = [g for r, t in zip(rows, padded, strict=True) if not held(r[0]) for g in t]
+    c1, c2, c3 = (Counter(g[k:] for g in train) for k in (2, 1, 0))
+    n, v, starts = len(train), len(c1), sum(not held(r[0]) for r in rows)
+    d1, d2, d3 = good_turing(c1.values(), 1), good_turing(c2.values(), 1), good_turing(c3.values(), 2)
+    unknown = 1 - sum(d1(c) * c for c in c1.values()) / n
+    after2, after3 = defaultdict(dict), defaultdict(dict)
+    for g, c in c2.items():
+        after2[g[:1]][g[1]] = d2(c) * c / (c1[g[:1]] if g[0] != "<s>" else starts)
+    for g, c in c3.items():
+        if c >= 2:
+            after3[g[:2]][g[2]] = d3(c) * c / (c2[g[:2]] if g[1] != "<s>" else starts)
+
+    def p1(w):
+        return d1(c1[w,]) * c1[w,] / n if (w,) in c1 else unknown
+
+    def p2(h, w):
+        if w in after2.get(h, ()):
+            return after2[h][w]
+        if h not in after2:
+            return p1(w)
+        if h not in alpha2:
+            alpha2[h] = (1 - sum(after2[h].values())) / (1 - sum(map(p1, after2[h])))
+        return alpha2[h] * p1(w)
+
+    def p3(h, w):
+        if w in after3.get(h, ()):
+            return after3[h][w]
+        if h not in after3:
+            return p2(h[1:], w)
+        if h not in alpha3:
+            alpha3[h] = (1 - sum(after3[h].values())) / (1 - sum(p2(h[1:], x) for x in after3[h]))
+        return alpha3[h] * p2(h[1:], w)
+
+    alpha2, alpha3 = {}, {}
+    for h in list(after3)[:5]:
+        assert sum(p3(h, w) for (w,) in c1) + p3(h, "no such word") == pytest.approx(1)
     want = {}
-    for r, t in zip(rows, text, strict=True):
-        want[r[0]] = (held(r[0]), len(t), sum(w in c1 for w in t), n, sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)))
-    got = katz.score(docs).collect()
+    for r, t in zip(rows, padded, strict=True):
+        ws = [g[2] for g in t]
+        want[r[0]] = (held(r[0]), len(t), sum((w,) in c1 for w in ws), n, sum(math.log10((c1[w,] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), sum(math.log10(p3(g[:2], g[2])) for g in t))
+    got = katz.score(docs, block_tokens=block_tokens).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:5] == want[r["doc_id"]][:4]
@@ -131,6 +166,14 @@ def test_katz(docs, rows, nothing):
     assert katz.score(nothing).count() == 0
 
 
+def test_katz_discounts():
+    """Katz's formula by hand, and the absolute discount where Good-Turing has no ratio."""
+    d = katz.discounts([100, 40, 20, 12, 8, 5])
+    assert d[1] == pytest.approx((2 * 40 / 100 - 0.3) / 0.7) and d[2] == pytest.approx((3 * 20 / 80 - 0.3) / 0.7) and d[6] == katz.KEPT
+    assert katz.discounts([100, 0, 20, 30, 8, 5])[1] == pytest.approx(0.5)
+    assert katz.discounts([100, 40, 60, 30, 8, 5], 2).tolist()[:3] == [0, 0, pytest.approx(1 - 40 / 160 / 2)]
+
+
 def test_chat(spark):
     sf = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():

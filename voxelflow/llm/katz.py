@@ -1,29 +1,39 @@
-"""Katz backoff language model (bigrams): Good-Turing discounts, exactly normalised backoff.
-
-P(w | h) = d(c) c(h, w) / c(h) for a pair seen in training, else alpha(h) P(w), with
-alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over seen w). P(w) = d(c) c(w) / N
-for a known word; what the discounts leave goes to the unknown word, which is one type. An unknown
-context backs off with alpha 1. Counts up to CUT get Katz's Good-Turing discounts, larger ones keep
-all but a thousandth, so every context leaves mass and all sums are 1.
-
-Documents are dealt over blocks. A block counts its words and pairs and sends each distinct one,
-as packed sorted keys, to the table partition (a range of key hashes) that owns it; the partition
-sums the counts of all blocks and answers each block in the order of its keys. A frequent word or
-pair is one key of a block however often it occurs, so no partition is hot. One block is named
-owner of each pair and adds it to the sums behind alpha(h); a second such exchange totals these
-sums by context and returns alpha for the contexts after which the block met unseen words. Tables
-grow with the corpus and are never gathered.
-
-64-bit hashes stand for words and pairs. Defined cases: null and empty texts are the end token
-alone; a null doc_id is in training; repeated rows count as often as they occur; without training
-documents every word is unknown and has probability 1; an empty table gives an empty result;
-columns beside doc_id and text are not read.
+"""Katz backoff language model (trigrams): Good-Turing discounts, exactly normalised backoff.
+
+    P(w | h2 h1) = d3(c) c(h2 h1 w) / c(h2 h1)   for a triple of LEAST[2] or more occurrences
+                 = alpha(h2 h1) P(w | h1)        else; alpha 1 after a pair with no such triple
+    P(w | h1)    = d2(c) c(h1 w) / c(h1)         for a pair seen in training
+                 = alpha(h1) P(w)                else; alpha 1 after an unseen word
+    P(w)         = d1(c) c(w) / N, and what the discounts leave for the unknown word, one type
+    alpha(h)     = (1 - sum of P(w | h)) / (1 - sum of P(w | shorter h)), sums over the seen w
+
+Every level sums to 1 over the vocabulary and the unknown word. Triples seen once count as unseen,
+as in Katz's paper, and their mass goes to the pairs. Counts up to CUT get Katz's Good-Turing
+discounts, larger ones keep all but a thousandth, so every context leaves mass. Where Good-Turing
+gives no ratio between 0 and 1 (no key of r or r + 1 occurrences, or rising numbers of them), the
+absolute discount (r - D) / r takes its place, D = n1 / (n1 + 2 n2).
+
+Texts become blocks of about BLOCK_TOKENS tokens (a longer text is a block of its own): sorted hashes of
+the distinct words and each token's place among them. A block sends each distinct word, pair and
+triple once, as packed sorted keys, to the partition of the count tables that owns it (a range of
+key hashes); that sums the counts of all blocks and answers each block in the order of its keys. A
+frequent key is one key of a block however often it occurs. A block sends at most as many rows as
+it has distinct keys, so exchanges grow with the tokens. One block is named owner of each pair and
+triple and adds it to the sums behind alpha; a second exchange totals these sums by context and
+returns alpha for the contexts after which the block met unseen words. A token's log probability
+is the sum of those of its levels, as each level down adds one alpha. Tables are never gathered.
+
+64-bit hashes stand for words, pairs and triples. Defined cases: null and empty texts are the end
+token alone; a null doc_id is in training; repeated rows count as often as they occur; without
+training documents every word is unknown and has probability 1; an empty table gives an empty
+result; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +44,17 @@ from .packed import unpack as _unpack
 
 CUT = 5
 KEPT = 0.999
-BLOCK_ROWS = 4096
+#: Fewest occurrences of a stored word, pair and triple.
+LEAST = (1, 1, 2)
+BLOCK_TOKENS = 400_000
+#: Keys that one partition of the count tables gets, about.
+TABLE_KEYS = 1_000_000
 _START, _END = np.uint64(1), np.uint64(2)
-_WORDS, _PAIRS, _STATS = 0, 1, 2
+_WORDS, _PAIRS, _TRIPLES, _STATS = range(4)
 _memo = WordHashes(150_000)
 
 
-# The text of a block ------------------------------------------------------------------------
+# Blocks -------------------------------------------------------------------------------------
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -49,34 +63,94 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts h, tokens w (a text's words, then one end), tokens of each text."""
-    parts_h, parts_w, sizes = [], [], []
-    start, end = np.array([_START]), np.array([_END])
-    for data in texts:
-        words = (data or b"").lower().split()
-        ids = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-        parts_h += (start, ids)
-        parts_w += (ids, end)
-        sizes.append(len(words) + 1)
-    none = [np.empty(0, np.uint64)]
-    return np.concatenate(parts_h or none), np.concatenate(parts_w or none), np.array(sizes, np.int64)
+def _squeezed(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-class _Block:
-    """Distinct words and pairs of a block, and the place of each token's in them."""
+def _restored(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+
+
+BLOCKS = "p long, doc_id array<long>, held array<boolean>, sizes array<long>, n long, words binary, places binary"
+_BLOCK_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+_BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 
-    def __init__(self, texts: list[bytes | None], held: np.ndarray):
-        self.h, self.w, self.sizes = tokens(texts)
-        self.train = np.repeat(~held, self.sizes)
-        self.words, at = np.unique(self.w, return_inverse=True)
-        self.at_word = at.astype(np.int32)
-        self.pairs, at = np.unique(pair_keys(self.h, self.w), return_inverse=True)
-        self.at_pair = at.astype(np.int32)
 
-    def counted(self):
-        for kind, keys, at in ((_WORDS, self.words, self.at_word), (_PAIRS, self.pairs, self.at_pair)):
-            yield kind, keys, np.bincount(at[self.train], minlength=len(keys))
+def _encode(limit: int):
+    """Blocks of the documents (doc_id, held, text) of a partition."""
+
+    def of(batches):
+        first, k, docs, ids, n = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        end = np.array([_END])
+
+        def block():
+            words, at = np.unique(np.concatenate(ids), return_inverse=True)
+            sizes = [len(x) + 1 for x in ids[::2]]
+            row = (first + k, [d for d, _ in docs], [h for _, h in docs], sizes, len(at), _pack(words, True), _squeezed(at))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
+
+        for batch in batches:
+            for doc, held, text in zip(*batch.columns[:3], strict=True):
+                words = (text.as_py() or b"").lower().split()
+                if docs and n + len(words) > limit:
+                    yield block()
+                    k, docs, ids, n = k + 1, [], [], 0
+                docs.append((doc.as_py(), held.as_py()))
+                ids += (np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words)), end)
+                n += len(words) + 1
+        if docs:
+            yield block()
+
+    return of
+
+
+class _Block:
+    """The tokens of a block, their contexts, and its distinct words, pairs and triples."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.held = np.array(row["held"], bool)
+        self.train = np.repeat(~self.held, self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        words, at = _unpack(row["words"], True), _restored(row["places"], row["n"])
+        self.h = words[at]
+        w = self.h.copy()
+        self.h[1:] = w[:-1]
+        self.h[self.starts] = _START
+        pairs = pair_keys(self.h, w)
+        self.context = np.empty_like(pairs)
+        self.context[1:] = pairs[:-1]
+        self.context[self.starts] = pair_keys(np.array([_START]), np.array([_START]))[0]
+        self.keys, self.at = [words], [at]
+        for keys in (pairs, pair_keys(self.context, w)):
+            keys, at = np.unique(keys, return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+
+    def after(self, values: np.ndarray, at_start) -> np.ndarray:
+        """For each token what ``values`` has for the token before it, ``at_start`` at starts."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = at_start
+        return out
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """Sums by document."""
+        return np.add.reduceat(values, self.starts)
+
+
+def _parts(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The table partitions that sorted keys belong to, and which keys."""
+    at = _slices(keys, buckets)
+    return [(int(b), slice(at[b], at[b + 1])) for b in np.flatnonzero(np.diff(at))]
+
+
+def _rows(batch: pa.RecordBatch | pa.Table):
+    for k in range(batch.num_rows):
+        yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
 # First exchange: counts ---------------------------------------------------------------------
@@ -85,29 +159,16 @@ class _Block:
 def _request(buckets: int):
     names, types = ("b", "p", "kind", "keys", "counts"), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
-    def rows(p: int, held: list[bool], texts: list[bytes | None]):
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for kind, keys, counts in _Block(texts, np.array(held, bool)).counted():
-            at = _slices(keys, buckets)
-            for b in range(buckets):
-                s = slice(at[b], at[b + 1])
-                if s.start < s.stop:
-                    for column, v in zip(out, (b, p, kind, _pack(keys[s], True), _pack(counts[s])), strict=True):
-                        column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=list(names))
-
     def of(batches):
-        now, held, texts = None, [], []
         for batch in batches:
-            for p, h, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if p != now and texts:
-                    yield rows(now, held, texts)
-                    held, texts = [], []
-                now = p
-                held.append(h)
-                texts.append(t)
-        if texts:
-            yield rows(now, held, texts)
+            for row in _rows(batch):
+                block, out = _Block(row), tuple([] for _ in names)
+                for kind in (_WORDS, _PAIRS, _TRIPLES):
+                    counts = np.bincount(block.at[kind][block.train], minlength=len(block.keys[kind]))
+                    for b, s in _parts(block.keys[kind], buckets):
+                        for column, v in zip(out, (b, row["p"], kind, _pack(block.keys[kind][s], True), _pack(counts[s])), strict=True):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=list(names))
 
     return of
 
@@ -118,28 +179,22 @@ ANSWERS = "b long, p long, kind int, answer binary, stats array<long>"
 def _answer(rows: pa.Table) -> pa.Table:
     """Sums the counts of one table partition and answers every block: (total, owner?) by key."""
     out: dict[str, list] = {k: [] for k in ("b", "p", "kind", "answer", "stats")}
-    b = rows.column("b")[0].as_py()
-    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "p", "keys", "counts")), strict=True), key=lambda r: r[:2])
-    for kind in (_WORDS, _PAIRS):
-        blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for _, p, keys, counts in (r for r in found if r[0] == kind):
-            k, c = _unpack(keys, True), _unpack(counts).astype(np.int64)
-            if blocks and blocks[-1][0] == p:  # two tasks read parts of one block
-                k, at = np.unique(np.concatenate([blocks[-1][1], k]), return_inverse=True)
-                c = np.bincount(at, np.concatenate([blocks[-1][2], c]), len(k)).astype(np.int64)
-                blocks.pop()
-            blocks.append((p, k, c))
-        if not blocks:
+    b, kinds = rows.column("b")[0].as_py(), rows.column("kind").to_numpy()
+    for kind in (_WORDS, _PAIRS, _TRIPLES):
+        of = rows.take(pa.array(np.flatnonzero(kinds == kind)))
+        if not of.num_rows:
             continue
-        sizes = [len(k) for _, k, _ in blocks]
-        keys, at = np.unique(np.concatenate([k for _, k, _ in blocks]), return_inverse=True)
-        counts = np.concatenate([c for *_, c in blocks])
+        blocks = of.column("p").to_pylist()
+        each = [_unpack(x.as_py(), True) for x in of.column("keys")]
+        counts = np.concatenate([_unpack(x.as_py()) for x in of.column("counts")]).astype(np.int64)
+        sizes = [len(k) for k in each]
+        keys, at = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(at, counts, len(keys)).astype(np.int64)
-        owner, number = np.full(len(keys), -1), np.repeat(np.arange(len(blocks)), sizes)
-        given = np.flatnonzero(counts)[::-1]
+        owner, number = np.full(len(keys), -1, np.int32), np.repeat(np.arange(len(blocks), dtype=np.int32), sizes)
+        given = np.flatnonzero(counts)
         owner[at[given]] = number[given]
         reply = (total[at] << 1 | (owner[at] == number)).astype(np.uint64)
-        for (p, *_), part in zip(blocks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
+        for p, part in zip(blocks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
             for c, v in zip(out.values(), (b, p, kind, _pack(part), None), strict=True):
                 c.append(v)
         stats = [int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, CUT + 2))]
@@ -152,18 +207,18 @@ def _answer(rows: pa.Table) -> pa.Table:
 # The model ----------------------------------------------------------------------------------
 
 
-def discounts(n: list[int]) -> np.ndarray:
+def discounts(n: list[int], least: int = 1) -> np.ndarray:
     """d(r) for r = 0..CUT + 1 (the last for all larger r); n: numbers of keys seen 1..CUT + 1 times.
-    Katz's Good-Turing ratio, where the counts support one; never below its predecessor."""
+    Counts below ``least`` are dropped: then Good-Turing's own ratios hold above it, without the
+    correction that keeps the dropped mass for unseen keys."""
+    a = least - 1
+    spare = n[a] / (n[a] + 2 * n[a + 1]) if n[a] and n[a + 1] else 0.5
+    tail = (CUT + 1) * n[CUT] / n[0] if n[0] and least == 1 else 0.0
     d = np.full(CUT + 2, KEPT)
-    d[0] = 0.0
-    tail = (CUT + 1) * n[CUT] / n[0] if n[0] else 1.0
-    for r in range(1, CUT + 1):
-        if n[r - 1] and n[r] and tail < 1:
-            ratio = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail)
-        else:
-            ratio = r / (r + 1)
-        d[r] = min(KEPT, max(ratio, d[r - 1], 0.05))
+    d[:least] = 0.0
+    for r in range(least, CUT + 1):
+        ratio = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail) if n[r - 1] and n[r] and tail < 1 else 0.0
+        d[r] = ratio if 0 < ratio < 1 else (r - spare) / r
     return d
 
 
@@ -172,20 +227,21 @@ class Model:
 
     def __init__(self, stats: dict[int, list[int]]):
         none = [0] * (CUT + 3)
-        words, pairs = stats.get(_WORDS, none), stats.get(_PAIRS, none)
+        kinds = [stats.get(kind, none) for kind in (_WORDS, _PAIRS, _TRIPLES)]
+        words = kinds[0]
         self.n, self.v = words[0], words[1]
-        self.word_discount, self.pair_discount = discounts(words[2:]), discounts(pairs[2:])
-        seen = sum(d * r * k for r, d, k in zip(range(1, CUT + 1), self.word_discount[1:], words[2:], strict=False))
+        self.discount = [discounts(k[2:], least) for k, least in zip(kinds, LEAST, strict=True)]
+        seen = sum(d * r * k for r, d, k in zip(range(1, CUT + 1), self.discount[0][1:], words[2:], strict=False))
         many = self.n - sum(r * k for r, k in zip(range(1, CUT + 1), words[2:], strict=False))
         self.unknown = 1 - (seen + KEPT * many) / self.n if self.n else 1.0
 
+    def mass(self, kind: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        return self.discount[kind][np.minimum(c, CUT + 1)] * c
+
     def word(self, c: np.ndarray) -> np.ndarray:
         """P(w) by count."""
-        return np.where(c > 0, self.word_discount[np.minimum(c, CUT + 1)] * c / max(1, self.n), self.unknown)
-
-    def mass(self, c: np.ndarray) -> np.ndarray:
-        """Discounted count of pairs."""
-        return self.pair_discount[np.minimum(c, CUT + 1)] * c
+        return np.where(c > 0, self.mass(_WORDS, c) / max(1, self.n), self.unknown)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
@@ -193,57 +249,50 @@ class Model:
 
 # Second exchange: backoff weights, and scores -----------------------------------------------
 
-_PARTS = "kind int, p long, b long, keys binary, sums binary, needed binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double, places binary"
-_PART_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+#: kind _PAIRS, _TRIPLES: sums behind alpha and needed alphas of the contexts of pairs and triples; _WORDS: a block's documents.
+_PARTS = "kind int, p long, b long, keys binary, sums binary, needed binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, part array<double>, open2 array<long>, open3 array<long>, places2 binary, places3 binary"
+_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
+_PART_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), _LONGS, pa.list_(pa.bool_()), _LONGS, _LONGS, _DOUBLES, _DOUBLES, _LONGS, _LONGS, pa.binary(), pa.binary())
 _PART_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
-_DOC, _CONTEXT = 0, 1
-
-
-def _place(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return np.minimum(np.searchsorted(keys, of), max(0, len(keys) - 1))
 
 
 def _score_block(model: Model, buckets: int):
     """Scores the documents of a block but for the backoff weights, which it asks for."""
 
-    def of(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def of(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in _PART_NAMES]
-        if docs.num_rows:
-            p, held = docs.column("p")[0].as_py(), docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            block = _Block(docs.column("text").to_pylist(), held)
-            replies = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "b", "answer")), strict=True), key=lambda r: r[:2])
-            word, pair = (np.concatenate([_unpack(a) for k, _, a in replies if k == kind]).astype(np.int64) for kind in (_WORDS, _PAIRS))
-            assert len(word) == len(block.words) and len(pair) == len(block.pairs), "a block changed between two reads"
-            c_word, owned, c_pair = word >> 1, (pair & 1).astype(bool), pair >> 1
-            docs_trained = c_word[_place(block.words, np.array([_END]))][0]
-            first = np.full(len(block.pairs), -1, np.int32)
-            first[block.at_pair[::-1]] = np.arange(len(block.at_pair), dtype=np.int32)[::-1]  # a token of each pair
-            c_h = np.concatenate([[docs_trained], c_word[block.at_word[:-1]]])  # the token before, but at starts
-            c_h[np.cumsum(block.sizes)[:-1]] = docs_trained
-            c_w, c_hw = c_word[block.at_word], c_pair[block.at_pair]
-            p_w, seen = model.word(c_w), c_hw > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                part = np.log10(np.where(seen, model.mass(c_hw) / c_h, p_w))
-            open_ = ~seen & (c_h > 0)
-            needed, at_needed = np.unique(block.h[open_], return_inverse=True)
-            ends = np.cumsum(block.sizes)
-            starts = ends - block.sizes
-            total = lambda x: np.add.reduceat(x, starts)
-            cuts = np.cumsum(total(open_.astype(np.int64)))[:-1]
-            rows = zip(docs.column("doc_id").to_pylist(), held.tolist(), block.sizes.tolist(), total((c_w > 0).astype(np.int64)).tolist(), total(model.base(c_w)).tolist(), total(part).tolist(), np.split(at_needed.astype("<u4"), cuts), strict=True)
-            for doc, h, n, k, base, s, places in rows:
-                for column, v in zip(out, (_DOC, p, None, None, None, None, doc, h, n, k, base, s, places.tobytes()), strict=True):
-                    column.append(v)
-            mine = first[owned]
-            context, at = np.unique(block.h[mine], return_inverse=True)
-            c = c_hw[mine]
-            sums = [np.bincount(at, x, len(context)) for x in (model.mass(c), c.astype(float), p_w[mine])]
-            cut_c, cut_n = _slices(context, buckets), _slices(needed, buckets)
-            for b in range(buckets):
-                s, t = slice(cut_c[b], cut_c[b + 1]), slice(cut_n[b], cut_n[b + 1])
-                if s.start < s.stop or t.start < t.stop:
-                    packed = _pack(np.concatenate([x[s] for x in sums]))
-                    for column, v in zip(out, (_CONTEXT, p, b, _pack(context[s], True), packed, _pack(needed[t], True), *[None] * 7), strict=True):
+        for row in _rows(blocks):
+            block = _Block(row)
+            replies = sorted(_rows(answers), key=lambda r: (r["kind"], r["b"]))
+            found = [np.concatenate([_unpack(r["answer"]) for r in replies if r["kind"] == kind]).astype(np.int64) for kind in (_WORDS, _PAIRS, _TRIPLES)]
+            c1, c2, c3 = (x >> 1 for x in found)
+            trained = c1[np.searchsorted(block.keys[_WORDS], _END)]  # each text has one end
+            c_w, c_hw, c_t = c1[block.at[_WORDS]], c2[block.at[_PAIRS]], c3[block.at[_TRIPLES]]
+            c_h, c_context = block.after(c_w, trained), block.after(c_hw, trained)
+            seen2, seen3 = c_hw >= LEAST[1], c_t >= LEAST[2]
+            p1 = model.word(c_w)
+            p2 = np.where(seen2, model.mass(_PAIRS, c_hw) / np.maximum(c_h, 1), p1)
+            part = np.log10(np.where(seen3, model.mass(_TRIPLES, c_t) / np.maximum(c_context, 1), p2))
+            open2, open3 = ~seen3 & ~seen2 & (c_h >= LEAST[1]), ~seen3 & (c_context >= LEAST[2])
+            need2, at2 = np.unique(block.h[open2], return_inverse=True)
+            need3, at3 = np.unique(block.context[open3], return_inverse=True)
+            doc = (_WORDS, row["p"], None, None, None, None, row["doc_id"], row["held"], block.sizes, block.total((c_w > 0).astype(np.int64)), block.total(model.base(c_w)), block.total(part), block.total(open2.astype(np.int64)), block.total(open3.astype(np.int64)), _squeezed(at2), _squeezed(at3))
+            for column, v in zip(out, doc, strict=True):
+                column.append(v)
+            for kind, needed, contexts, of_context, lower in ((_PAIRS, need2, block.h, c_h, p1), (_TRIPLES, need3, block.context, c_context, p2)):
+                own = np.flatnonzero((found[kind] & 1).astype(bool) & (found[kind] >> 1 >= LEAST[kind]))
+                first = np.empty(len(block.keys[kind]), np.int64)
+                first[block.at[kind]] = np.arange(len(block.h))  # a token of each key
+                mine = first[own]
+                keys, at = np.unique(contexts[mine], return_inverse=True)
+                sums = [np.bincount(at, x, len(keys)) for x in (model.mass(kind, found[kind][own] >> 1), lower[mine])]
+                count = np.zeros(len(keys))
+                count[at] = of_context[mine]
+                held, asked = dict(_parts(keys, buckets)), dict(_parts(needed, buckets))
+                for b in sorted(held.keys() | asked.keys()):
+                    s, t = held.get(b, slice(0, 0)), asked.get(b, slice(0, 0))
+                    packed = _pack(np.concatenate([x[s] for x in (*sums, count)]))
+                    for column, v in zip(out, (kind, row["p"], b, _pack(keys[s], True), packed, _pack(needed[t], True), *[None] * 10), strict=True):
                         column.append(v)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, _PART_TYPES, strict=True)], names=_PART_NAMES)
 
@@ -252,41 +301,50 @@ def _score_block(model: Model, buckets: int):
 
 def _weigh(rows: pa.Table) -> pa.Table:
     """log10 alpha of the contexts that each block needs, from the sums of all blocks."""
-    keys = [_unpack(x, True) for x in rows.column("keys").to_pylist()]
-    sums = [_unpack(x, kind="<f8").reshape(3, -1) for x in rows.column("sums").to_pylist()]
+    keys = [_unpack(x.as_py(), True) for x in rows.column("keys")]
+    sums = [_unpack(x.as_py(), kind="<f8").reshape(3, -1) for x in rows.column("sums")]
     context, at = np.unique(np.concatenate(keys), return_inverse=True)
-    mass, count, lower = (np.bincount(at, np.concatenate([s[i] for s in sums]), len(context)) for i in range(3))
-    alpha = np.log10((1 - mass / count) / np.maximum(1 - lower, 1e-300))
-    needed = [_unpack(x, True) for x in rows.column("needed").to_pylist()]
-    # a context known in training has sums: its own pairs are owned by some block
-    replies = [_pack(alpha[np.searchsorted(context, x)] if len(x) else np.empty(0)) for x in needed]
-    return pa.table({"p": rows.column("p"), "b": rows.column("b"), "alpha": pa.array(replies, pa.binary())})
+    mass, lower = (np.bincount(at, np.concatenate([s[i] for s in sums]), len(context)) for i in range(2))
+    count = np.ones(len(context))
+    count[at] = np.concatenate([s[2] for s in sums])
+    alpha = np.append(np.log10((1 - mass / count) / np.maximum(1 - lower, 1e-300)), 0.0)
+    replies = []
+    for x in rows.column("needed"):
+        x = _unpack(x.as_py(), True)
+        place = np.searchsorted(context, x)
+        place[place < len(context)] = np.where(context[place[place < len(context)]] == x[place < len(context)], place[place < len(context)], len(context))
+        replies.append(_pack(alpha[place]))
+    return pa.table({"p": rows.column("p"), "b": rows.column("b"), "kind": rows.column("kind"), "alpha": pa.array(replies, pa.binary())})
 
 
 def _finish(docs: pa.Table, weights: pa.Table) -> pa.Table:
-    replies = sorted(zip(weights.column("b").to_pylist(), weights.column("alpha").to_pylist(), strict=True), key=lambda r: r[0])
-    alpha = np.concatenate([np.empty(0), *(_unpack(a, kind="<f8") for _, a in replies)])
-    more = [float(alpha[np.frombuffer(x, "<u4")].sum()) for x in docs.column("places").to_pylist()]
-    score = np.array(docs.column("part").to_pylist(), float) + np.array(more, float)
-    return pa.table({k: docs.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")} | {"score": pa.array(score)})
-
-
-def score(docs: DataFrame, block: Column | None = None, held_out: Column | None = None) -> DataFrame:
+    out: list[list] = [[] for _ in range(6)]
+    replies = sorted(_rows(weights), key=lambda r: (r["kind"], r["b"]))
+    for row in _rows(docs):
+        score = np.array(row["part"], float)
+        for kind, n, places in ((_PAIRS, row["open2"], row["places2"]), (_TRIPLES, row["open3"], row["places3"])):
+            alpha = np.concatenate([np.empty(0), *(_unpack(r["alpha"], kind="<f8") for r in replies if r["kind"] == kind)])
+            of_doc = np.repeat(np.arange(len(score)), n)
+            score += np.bincount(of_doc, alpha[_restored(places, len(of_doc))], len(score))
+        for column, v in zip(out, (row["doc_id"], row["held_out"], row["n_tokens"], row["n_known"], row["base_score"], score), strict=True):
+            column.extend(v)
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, out, types, strict=True)})
+
+
+def score(docs: DataFrame, held_out: Column | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    ``block``: a number that few documents share and that a second read of ``docs`` finds again;
-    documents of a block should lie together. By default blocks are made by a hash of doc_id.
     ``held_out``: which documents are not learned from; by default crc32(doc_id as text) mod 5 = 1."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)) if held_out is None else held_out
-    n_docs = docs.count()
-    if block is None:
-        n = max(1, -(-n_docs // (BLOCK_ROWS // 2)))
-        block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.lit(0))
-        docs = docs.select("doc_id", "text").repartition(n, block).sortWithinPartitions(block)
-    buckets = 1 << max(4, (n_docs // 2000).bit_length())
-    rows = docs.select(block.alias("p"), held.alias("held"), F.col("text").cast("binary").alias("text"), "doc_id")
-    asked = rows.select("p", "held", "text").mapInArrow(_request(buckets), "b long, p long, kind int, keys binary, counts binary")
+    texts = docs.select("doc_id", held.alias("held"), F.col("text").cast("binary").alias("text"))
+    blocks = materialize(texts.mapInArrow(_encode(block_tokens), BLOCKS), "blocks")
+    tokens = blocks.agg(F.sum("n")).head()[0] or 0
+    buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
+    asked = blocks.mapInArrow(_request(buckets), "b long, p long, kind int, keys binary, counts binary")
     answers = materialize(asked.groupBy("b").applyInArrow(_answer, ANSWERS), "answers")
+    del asked
     stats = answers.where(F.col("kind") == _STATS).select(F.col("stats")[0].alias("of"), F.posexplode("stats").alias("i", "v"))
     table_: dict[int, list[int]] = {}
     for r in stats.groupBy("of", "i").agg(F.sum("v").alias("v")).orderBy("of", "i").collect():
@@ -294,15 +352,13 @@ def score(docs: DataFrame, block: Column | None = None, held_out: Column | None
             table_.setdefault(r["of"], []).append(r["v"])
     model = Model(table_)
     replies = answers.where(F.col("kind") < _STATS).select("p", "b", "kind", "answer")
-    parts = rows.groupBy("p").cogroup(replies.groupBy("p")).applyInArrow(_score_block(model, buckets), _PARTS)
-    parts = materialize(parts, "parts")
-    weights = parts.where(F.col("kind") == _CONTEXT).select("p", "b", "keys", "sums", "needed").groupBy("b").applyInArrow(_weigh, "p long, b long, alpha binary")
-    scored = parts.where(F.col("kind") == _DOC).select("p", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part", "places")
+    parts = materialize(blocks.groupBy("p").cogroup(replies.groupBy("p")).applyInArrow(_score_block(model, buckets), _PARTS), "parts")
+    weights = parts.where(F.col("kind") != _WORDS).select("p", "b", "kind", "keys", "sums", "needed")
+    weights = weights.groupBy("b", "kind").applyInArrow(_weigh, "p long, b long, kind int, alpha binary")
+    scored = parts.where(F.col("kind") == _WORDS).drop("kind", "b", "keys", "sums", "needed")
     scored = scored.groupBy("p").cogroup(weights.groupBy("p")).applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lies = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return score(docs, lies)
+    return score(table(spark, sf_dir, "documents"))
