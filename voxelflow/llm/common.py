@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting for removing the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ASCII_WORD = re.compile(WORD)
 #: White space that str.split() knows and WORD does not.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -42,32 +44,67 @@ class WordHashes(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is made only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; one is made only on a single machine without it (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="voxelflow-")
             spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/voxelflow/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+def materialize(df: DataFrame, what: str, by: str | None = None, buckets: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and
-    survives lost executors. The table goes when the driver ends."""
+    survives lost executors. The table goes by ``discard`` or when the driver ends, the shuffle
+    files behind it go as soon as it is written. ``by``: the table lies in ``buckets`` of that
+    column, and grouping or joining by it doesn't shuffle the table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelflow/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = new_path(spark, what), spark.conf.get(_CLEAN, "false")
+    name = "voxelflow_" + re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    spark.conf.set(_CLEAN, "true")
+    try:
+        if by:
+            df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+        else:
+            df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.table(name) if by else spark.read.schema(df.schema).parquet(path)
 
     def drop():
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            if by:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
         except Exception:  # the JVM may be gone already
             pass
+        remove(spark, path)
 
+    found._drop = drop
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables that no later step reads."""
+    for x in tables:
+        x._drop()
+        atexit.unregister(x._drop)
 
 
 def _other(column: str):
@@ -91,9 +128,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).head()
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
-        seen = mark
+        seen, last = mark, now
         both = now.union(now.select("v", "u"))
         large = hub(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = hub(large)
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).where("u <> v").distinct()
         now = materialize(small, "edges")
+        discard(last)

@@ -23,7 +23,8 @@ triple and adds it to the sums behind alpha; a second exchange totals these sums
 returns alpha for the contexts after which the block met unseen words. A token's log probability
 is the sum of those of its levels, as each level down adds one alpha. Tables are never gathered.
 
-64-bit hashes stand for words, pairs and triples. Defined cases: null and empty texts are the end
+64-bit hashes stand for words. Those of pairs and triples have as many bits, 64 at most, as leave
+at most one key in a million that shares its hash (COLLIDING). Defined cases: null and empty texts are the end
 token alone; a null doc_id is in training; repeated rows count as often as they occur; without
 training documents every word is unknown and has probability 1; an empty table gives an empty
 result; columns beside doc_id and text are not read.
@@ -31,13 +32,16 @@ result; columns beside doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, table
+from .common import WordHashes, discard, materialize, table
+from .packed import _restore, _squeeze
 from .packed import pack as _pack
 from .packed import slices as _slices
 from .packed import unpack as _unpack
@@ -46,9 +50,11 @@ CUT = 5
 KEPT = 0.999
 #: Fewest occurrences of a stored word, pair and triple.
 LEAST = (1, 1, 2)
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 600_000
 #: Keys that one partition of the count tables gets, about.
 TABLE_KEYS = 1_000_000
+#: Share of keys that may share a hash.
+COLLIDING = 2.0**-20
 _START, _END = np.uint64(1), np.uint64(2)
 _WORDS, _PAIRS, _TRIPLES, _STATS = range(4)
 _memo = WordHashes(150_000)
@@ -65,12 +71,11 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _squeezed(values: np.ndarray) -> bytes:
     """32-bit numbers by byte plane, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return _squeeze.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _restored(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    planes = np.frombuffer(_restore.decompress(data), np.uint8).reshape(4, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
 
 
@@ -110,22 +115,19 @@ def _encode(limit: int):
 class _Block:
     """The tokens of a block, their contexts, and its distinct words, pairs and triples."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.sizes = np.array(row["sizes"], np.int64)
         self.held = np.array(row["held"], bool)
         self.train = np.repeat(~self.held, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         words, at = _unpack(row["words"], True), _restored(row["places"], row["n"])
-        self.h = words[at]
-        w = self.h.copy()
-        self.h[1:] = w[:-1]
-        self.h[self.starts] = _START
-        pairs = pair_keys(self.h, w)
-        self.context = np.empty_like(pairs)
-        self.context[1:] = pairs[:-1]
-        self.context[self.starts] = pair_keys(np.array([_START]), np.array([_START]))[0]
+        w = words[at]
+        self.h = self.after(w, _START)
+        shift = np.uint64(64 - bits)
+        pairs = pair_keys(self.h, w) >> shift << shift
+        self.context = self.after(pairs, pair_keys(np.array([_START]), np.array([_START])) >> shift << shift)
         self.keys, self.at = [words], [at]
-        for keys in (pairs, pair_keys(self.context, w)):
+        for keys in (pairs, pair_keys(self.context, w) >> shift << shift):
             keys, at = np.unique(keys, return_inverse=True)
             self.keys.append(keys)
             self.at.append(at)
@@ -156,19 +158,21 @@ def _rows(batch: pa.RecordBatch | pa.Table):
 # First exchange: counts ---------------------------------------------------------------------
 
 
-def _request(buckets: int):
+def _request(buckets: int, bits: int):
     names, types = ("b", "p", "kind", "keys", "counts"), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def of(batches):
         for batch in batches:
             for row in _rows(batch):
-                block, out = _Block(row), tuple([] for _ in names)
+                block = _Block(row, bits)
                 for kind in (_WORDS, _PAIRS, _TRIPLES):
-                    counts = np.bincount(block.at[kind][block.train], minlength=len(block.keys[kind]))
+                    out = tuple([] for _ in names)
+                    at, n = block.at[kind], len(block.keys[kind])
+                    counts = np.bincount(at[block.train], minlength=n) << 1 | (np.bincount(at[~block.train], minlength=n) > 0)
                     for b, s in _parts(block.keys[kind], buckets):
                         for column, v in zip(out, (b, row["p"], kind, _pack(block.keys[kind][s], True), _pack(counts[s])), strict=True):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=list(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=list(names))
 
     return of
 
@@ -177,7 +181,8 @@ ANSWERS = "b long, p long, kind int, answer binary, stats array<long>"
 
 
 def _answer(rows: pa.Table) -> pa.Table:
-    """Sums the counts of one table partition and answers every block: (total, owner?) by key."""
+    """Sums the counts of one table partition and answers every block by key: (total, can another
+    block need the backoff weight after it, owner?). After words only texts held out meet unseen ones."""
     out: dict[str, list] = {k: [] for k in ("b", "p", "kind", "answer", "stats")}
     b, kinds = rows.column("b")[0].as_py(), rows.column("kind").to_numpy()
     for kind in (_WORDS, _PAIRS, _TRIPLES):
@@ -189,11 +194,13 @@ def _answer(rows: pa.Table) -> pa.Table:
         counts = np.concatenate([_unpack(x.as_py()) for x in of.column("counts")]).astype(np.int64)
         sizes = [len(k) for k in each]
         keys, at = np.unique(np.concatenate(each), return_inverse=True)
+        counts, held = counts >> 1, np.bincount(at, counts & 1, len(keys)) > 0
         total = np.bincount(at, counts, len(keys)).astype(np.int64)
         owner, number = np.full(len(keys), -1, np.int32), np.repeat(np.arange(len(blocks), dtype=np.int32), sizes)
         given = np.flatnonzero(counts)
         owner[at[given]] = number[given]
-        reply = (total[at] << 1 | (owner[at] == number)).astype(np.uint64)
+        wanted = held if kind == _WORDS else np.bincount(at) > 1
+        reply = (total[at] << 2 | wanted[at] << 1 | (owner[at] == number)).astype(np.uint64)
         for p, part in zip(blocks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
             for c, v in zip(out.values(), (b, p, kind, _pack(part), None), strict=True):
                 c.append(v)
@@ -256,16 +263,17 @@ _PART_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.
 _PART_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 
 
-def _score_block(model: Model, buckets: int):
+def _score_block(model: Model, buckets: int, bits: int):
     """Scores the documents of a block but for the backoff weights, which it asks for."""
 
     def of(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in _PART_NAMES]
         for row in _rows(blocks):
-            block = _Block(row)
+            block = _Block(row, bits)
             replies = sorted(_rows(answers), key=lambda r: (r["kind"], r["b"]))
             found = [np.concatenate([_unpack(r["answer"]) for r in replies if r["kind"] == kind]).astype(np.int64) for kind in (_WORDS, _PAIRS, _TRIPLES)]
-            c1, c2, c3 = (x >> 1 for x in found)
+            c1, c2, c3 = counts = [x >> 2 for x in found]
+            wanted = [(x & 2).astype(bool) for x in found]
             trained = c1[np.searchsorted(block.keys[_WORDS], _END)]  # each text has one end
             c_w, c_hw, c_t = c1[block.at[_WORDS]], c2[block.at[_PAIRS]], c3[block.at[_TRIPLES]]
             c_h, c_context = block.after(c_w, trained), block.after(c_hw, trained)
@@ -280,18 +288,18 @@ def _score_block(model: Model, buckets: int):
             for column, v in zip(out, doc, strict=True):
                 column.append(v)
             for kind, needed, contexts, of_context, lower in ((_PAIRS, need2, block.h, c_h, p1), (_TRIPLES, need3, block.context, c_context, p2)):
-                own = np.flatnonzero((found[kind] & 1).astype(bool) & (found[kind] >> 1 >= LEAST[kind]))
+                own = np.flatnonzero((found[kind] & 1).astype(bool) & (counts[kind] >= LEAST[kind]))
                 first = np.empty(len(block.keys[kind]), np.int64)
                 first[block.at[kind]] = np.arange(len(block.h))  # a token of each key
+                known = block.after(wanted[kind - 1][block.at[kind - 1]], True)[first[own]]
+                own = own[known | np.isin(contexts[first[own]], needed)]
                 mine = first[own]
                 keys, at = np.unique(contexts[mine], return_inverse=True)
-                sums = [np.bincount(at, x, len(keys)) for x in (model.mass(kind, found[kind][own] >> 1), lower[mine])]
-                count = np.zeros(len(keys))
-                count[at] = of_context[mine]
+                sums = [np.bincount(at, x, len(keys)) for x in (model.mass(kind, counts[kind][own]) / of_context[mine], lower[mine])]
                 held, asked = dict(_parts(keys, buckets)), dict(_parts(needed, buckets))
                 for b in sorted(held.keys() | asked.keys()):
                     s, t = held.get(b, slice(0, 0)), asked.get(b, slice(0, 0))
-                    packed = _pack(np.concatenate([x[s] for x in (*sums, count)]))
+                    packed = _pack(np.concatenate([x[s] for x in sums]))
                     for column, v in zip(out, (kind, row["p"], b, _pack(keys[s], True), packed, _pack(needed[t], True), *[None] * 10), strict=True):
                         column.append(v)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, _PART_TYPES, strict=True)], names=_PART_NAMES)
@@ -302,12 +310,10 @@ def _score_block(model: Model, buckets: int):
 def _weigh(rows: pa.Table) -> pa.Table:
     """log10 alpha of the contexts that each block needs, from the sums of all blocks."""
     keys = [_unpack(x.as_py(), True) for x in rows.column("keys")]
-    sums = [_unpack(x.as_py(), kind="<f8").reshape(3, -1) for x in rows.column("sums")]
+    sums = [_unpack(x.as_py(), kind="<f8").reshape(2, -1) for x in rows.column("sums")]
     context, at = np.unique(np.concatenate(keys), return_inverse=True)
-    mass, lower = (np.bincount(at, np.concatenate([s[i] for s in sums]), len(context)) for i in range(2))
-    count = np.ones(len(context))
-    count[at] = np.concatenate([s[2] for s in sums])
-    alpha = np.append(np.log10((1 - mass / count) / np.maximum(1 - lower, 1e-300)), 0.0)
+    higher, lower = (np.bincount(at, np.concatenate([s[i] for s in sums]), len(context)) for i in range(2))
+    alpha = np.append(np.log10((1 - higher) / np.maximum(1 - lower, 1e-300)), 0.0)
     replies = []
     for x in rows.column("needed"):
         x = _unpack(x.as_py(), True)
@@ -339,12 +345,13 @@ def score(docs: DataFrame, held_out: Column | None = None, block_tokens: int = B
     ``held_out``: which documents are not learned from; by default crc32(doc_id as text) mod 5 = 1."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)) if held_out is None else held_out
     texts = docs.select("doc_id", held.alias("held"), F.col("text").cast("binary").alias("text"))
-    blocks = materialize(texts.mapInArrow(_encode(block_tokens), BLOCKS), "blocks")
+    lie = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = materialize(texts.mapInArrow(_encode(block_tokens), BLOCKS), "blocks", "p", lie)
     tokens = blocks.agg(F.sum("n")).head()[0] or 0
     buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
-    asked = blocks.mapInArrow(_request(buckets), "b long, p long, kind int, keys binary, counts binary")
+    bits = min(64, 8 * -(-math.ceil(math.log2(max(1, tokens) / COLLIDING)) // 8))
+    asked = blocks.mapInArrow(_request(buckets, bits), "b long, p long, kind int, keys binary, counts binary")
     answers = materialize(asked.groupBy("b").applyInArrow(_answer, ANSWERS), "answers")
-    del asked
     stats = answers.where(F.col("kind") == _STATS).select(F.col("stats")[0].alias("of"), F.posexplode("stats").alias("i", "v"))
     table_: dict[int, list[int]] = {}
     for r in stats.groupBy("of", "i").agg(F.sum("v").alias("v")).orderBy("of", "i").collect():
@@ -352,7 +359,8 @@ def score(docs: DataFrame, held_out: Column | None = None, block_tokens: int = B
             table_.setdefault(r["of"], []).append(r["v"])
     model = Model(table_)
     replies = answers.where(F.col("kind") < _STATS).select("p", "b", "kind", "answer")
-    parts = materialize(blocks.groupBy("p").cogroup(replies.groupBy("p")).applyInArrow(_score_block(model, buckets), _PARTS), "parts")
+    parts = materialize(blocks.groupBy("p").cogroup(replies.groupBy("p")).applyInArrow(_score_block(model, buckets, bits), _PARTS), "parts")
+    discard(blocks, answers)
     weights = parts.where(F.col("kind") != _WORDS).select("p", "b", "kind", "keys", "sums", "needed")
     weights = weights.groupBy("b", "kind").applyInArrow(_weigh, "p long, b long, kind int, alpha binary")
     scored = parts.where(F.col("kind") == _WORDS).drop("kind", "b", "keys", "sums", "needed")

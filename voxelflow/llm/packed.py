@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import zstandard
+
+_squeeze, _restore = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
-    """8-byte values by byte plane, which compresses well; sorted ones as differences."""
+    """8-byte values by byte plane, compressed; sorted ones as differences."""
     values = np.ascontiguousarray(values, "<u8" if values.dtype != np.float64 else "<f8")
     if sorted_ and len(values):
         values = np.concatenate([values[:1], np.diff(values)])
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _squeeze.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(data: bytes, sorted_: bool = False, kind: str = "<u8") -> np.ndarray:
-    values = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+    values = np.ascontiguousarray(np.frombuffer(_restore.decompress(data), np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
     return np.cumsum(values, dtype=np.uint64) if sorted_ else values
 
 
