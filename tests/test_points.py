@@ -1,6 +1,8 @@
 """Hand-computed values of the point operators."""
 
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
 from voxelflow.operators import crf, decode, rectify, supervoxel, voxels
 from voxelflow.sources import calibration, clouds, images
-from voxelflow.sources.config import Config, colors_to_labels, label_names, parse_arguments, parse_json, taxonomy
+from voxelflow.sources.config import Config, colors_to_labels, frequency_report, label_names, parse_arguments, parse_json, taxonomy, taxonomy_counts
 from voxelflow.streaming import cache
 
 BOX = [(1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 2.0, 0.0), (0.0, -2.0, 0.0), (0.0, 0.0, 3.0), (0.0, 0.0, -3.0)]
@@ -185,3 +187,41 @@ def test_stream_replay(spark, tmp_path):
     source = spark.readStream.schema("w string, ts int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     cache.keep_latest(source, ["w"], ["ts"], str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
     assert {r["w"]: r["v"] for r in cache.state(spark, str(tmp_path / "state")).collect()} == {"w1": "c", "x0": "a", "x1": "b", "x2": "c"}
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_png_filters(channels):
+    """Rows of all five filters, coded here byte by byte."""
+    rng = np.random.default_rng(channels)
+    image = rng.integers(0, 256, (12, 7, channels)).astype(int)
+    flat, lines = image.reshape(12, -1), []
+    for y in range(12):
+        kind, line = y % 5, [y % 5]
+        for x in range(flat.shape[1]):
+            a = flat[y, x - channels] if x >= channels else 0
+            b = flat[y - 1, x] if y else 0
+            c = flat[y - 1, x - channels] if y and x >= channels else 0
+            paeth = sorted((abs(a + b - c - v), k, v) for k, v in enumerate((a, b, c)))[0][2]
+            line.append((flat[y, x] - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        lines.append(bytes(map(int, line)))
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", 7, 12, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (images.decode_png(png) == image).all()
+
+
+def test_supervoxel_ids_and_lost_points(spark):
+    rows = [(s, float(x), float(y), 0.5, 1, 2, 3, "own") for s in (1, 2) for x in range(8) for y in range(8)] + [(1, None, 1.0, 1.0, 1, 2, 3, "own")]
+    frame = spark.createDataFrame(rows, "scene int, x double, y double, z double, r int, g int, b int, i string")
+    got = supervoxel.supervoxels(frame, 1.0, 4.0)[0].collect()
+    assert len(got) == len(rows) and all(r["i"] == "own" for r in got)
+    assert [r["vid"] for r in got if r["x"] is None] == [0]
+    for s in (1, 2):
+        ids = {r["vid"] for r in got if r["scene"] == s and r["x"] is not None}
+        assert ids == set(range(1, len(ids) + 1))
+
+
+def test_reports(spark):
+    entries = taxonomy(spark, [{"name": "a", "label": 0, "color": [1, 1, 1]}, {"name": "b", "label": 0, "color": [2, 2, 2]}, {"name": "void", "label": -1, "color": [0, 0, 0]}])
+    assert tuple(taxonomy_counts(entries).head()) == (3, 1)
+    assert [r["line"] for r in frequency_report(spark.createDataFrame([(0, 0.25)], "label int, freq double"), entries).collect()] == ["b : 0.25"]

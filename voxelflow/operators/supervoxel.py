@@ -8,6 +8,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from voxelflow.operators.lineage import cut
 
@@ -30,16 +31,28 @@ def adjacency(voxels: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
     return left.join(there, ["scene", "i2", "j2", "k2"])
 
 
+def numbered(rows: DataFrame, group: list[str], chunk: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds a running number from 1 in each group, by chunk and then order. Chunks are numbered apart
+    and moved by the sizes of those before them, so no task holds a whole group."""
+    sizes = rows.groupBy(*group, *chunk).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy(*group, *chunk).orderBy(*order))
+    both = rows.withColumn("_within", within).join(sizes.select(*group, *chunk, before.alias("_before")), [*group, *chunk])
+    return both.withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
+
+
 def supervoxels(points: DataFrame, resolution: float = 0.05, seed_resolution: float = 0.2, color: float = 0.2, spatial: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points with vid, 0 where no seed reached them; edges scene, src, dst; voxels with vid).
-    A vid that the points had before gives way. A seed is the voxel nearest to the centre of each seed cell; its id is a hash of its place."""
+    A vid that the points had before gives way; points without coordinates keep their row and get 0.
+    A seed is the voxel nearest to the centre of each seed cell. Seeds are numbered from 1 in each
+    scene, so ids fit the 24 bits of an id image as long as a scene has fewer than 2**24 seeds."""
     voxels = cut(voxel_grid(points, resolution))
     touch = cut(adjacency(voxels))
     seat = [F.floor(F.col(c) / seed_resolution).alias(f"s{c}") for c in "xyz"]
     off = sum(((F.col(c) / seed_resolution - F.floor(F.col(c) / seed_resolution) - 0.5) ** 2 for c in "xyz"), F.lit(0.0))
-    ids = (F.abs(F.xxhash64("scene", *CELL) % (1 << 30)) + 1).cast("long")
-    placed = voxels.select("*", *seat, F.struct(off.alias("o"), *CELL).alias("rank"), ids.alias("id"))
-    seeds = placed.groupBy("scene", "sx", "sy", "sz").agg(F.min_by(F.struct("id", *CELL, "x", "y", "z", "r", "g", "b"), "rank").alias("v")).select("scene", "v.*")
+    placed = voxels.where("x is not null and y is not null and z is not null").select("*", *seat, F.struct(off.alias("o"), *CELL).alias("rank"))
+    seeds = placed.groupBy("scene", "sx", "sy", "sz").agg(F.min_by(F.struct(*CELL, "x", "y", "z", "r", "g", "b"), "rank").alias("v")).select("scene", "sx", "sy", "sz", "v.*")
+    seeds = cut(numbered(seeds, ["scene"], ["sx"], ["sy", "sz"], "id").drop("sx", "sy", "sz"))
     now = cut(voxels.join(seeds.select("scene", *CELL, F.col("id").alias("vid")), ["scene", *CELL], "left"))
     centres = cut(seeds.select("scene", F.col("id").alias("vid"), *[F.col(c).alias(f"m{c}") for c in ("x", "y", "z", "r", "g", "b")]))
     for _ in range(math.ceil(1.8 * seed_resolution / resolution)):
@@ -51,8 +64,10 @@ def supervoxels(points: DataFrame, resolution: float = 0.05, seed_resolution: fl
         now = cut(now.drop("vid").join(best, ["scene", *CELL], "left"))
         centres = cut(now.where("vid is not null").groupBy("scene", "vid").agg(*[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", "r", "g", "b")]))
     labelled = now.select("scene", *CELL, F.coalesce("vid", F.lit(0)).alias("vid"))
-    cell = {k: F.floor(F.col(c) / resolution) for c, k in zip("xyz", CELL, strict=True)}
-    out = points.drop("vid").withColumns(cell).join(labelled, ["scene", *CELL]).drop(*CELL)
+    cell = {f"_{k}": F.floor(F.col(c) / resolution) for c, k in zip("xyz", CELL, strict=True)}
+    keyed = labelled.select(F.col("scene").alias("_scene"), *[F.col(k).alias(f"_{k}") for k in CELL], F.col("vid").alias("_vid"))
+    out = points.drop("vid").withColumns({"_scene": F.col("scene")} | cell).join(keyed, ["_scene", *[f"_{k}" for k in CELL]], "left")
+    out = out.withColumn("vid", F.coalesce("_vid", F.lit(0))).select(*points.drop("vid").columns, "vid")
     src = labelled.withColumnRenamed("vid", "src")
     dst = labelled.select("scene", *[F.col(c).alias(f"{c}2") for c in CELL], F.col("vid").alias("dst"))
     edges = touch.join(src, ["scene", *CELL]).join(dst, ["scene", "i2", "j2", "k2"]).where("src <> dst and src > 0 and dst > 0").select("scene", "src", "dst").distinct()

@@ -1,7 +1,7 @@
 """Supervoxels as groups of points: size, majority label, colour histogram, shape, features.
 
-Points: key columns, x, y, z and colour slots r, g, b. All statistics of a group come from one
-aggregation with map-side partials; only extents along a group's own axes take a second pass."""
+Points: key columns, x, y, z and colour slots r, g, b. Statistics of a group come from two
+aggregations with map-side partials, moments and bins; only extents along a group's own axes take a second pass."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelflow.functions import geometry as g
+from voxelflow.operators.lineage import cut
 
 BINS = 17
 LAYOUT = 14 + 3 * BINS
@@ -58,8 +59,13 @@ def statistics(points: DataFrame, keys: list[str], compat: bool = False) -> Data
     n = F.count("*")
     bins = histogram_bins(F.col("r"), F.col("g"), F.col("b"), compat)
     scatter = [(F.covar_pop(k[0], k[1]) * n).alias(k) for k in _SCATTER]
-    counts = [reduce(lambda a, c: a + c, [F.count_if(b == i) for b in bins]).alias(f"h{i}") for i in range(3 * BINS)]
-    return points.groupBy(*keys).agg(n.alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *scatter, *counts)
+    moments = points.groupBy(*keys).agg(n.alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *scatter)
+    counted = points.select(*keys, F.explode(F.array(*bins)).alias("bin")).where("bin is not null").groupBy(*keys, "bin").agg(n.alias("m"))
+    held = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "m"))).alias("_h"))  # one entry a bin at most
+    held = held.select(*[F.col(k).alias(f"_{k}") for k in keys], "_h")
+    same = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    both = moments.join(held, same, "left")
+    return both.select(*moments.columns, *[F.coalesce(F.col("_h")[i], F.lit(0)).cast("long").alias(f"h{i}") for i in range(3 * BINS)])
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +120,7 @@ def features(points: DataFrame, keys: list[str], origin: tuple = (0.0, 0.0, 0.0)
     compat: for each edge the group's own points again, and two entries as literally written
     (index 119 the plain sigma_l, index 122 zero)."""
     *scene, vid = keys
-    own_stats = statistics(points, keys, compat)
+    own_stats = cut(statistics(points, keys, compat))
     shaped = shape(own_stats, origin)
     own = shaped.join(extents(points, shaped, keys), keys)
     if edges is None:

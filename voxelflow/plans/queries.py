@@ -5,14 +5,13 @@ with features. SQL holds the same results in DuckDB's dialect; values are rounde
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
 from voxelflow.operators import crf, decode, forest, rectify, supervoxel, voxels
+from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds
 from voxelflow.sources.config import colors_to_labels, labels_to_colors, taxonomy
 from voxelflow.streaming import cache
@@ -131,7 +130,9 @@ _S = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
 def voxel_scatter_matrix(spark, sf_dir):
-    return voxels.statistics(_points(spark, sf_dir), ["vid"]).select("vid", "n", *_rounded(*_S, digits=2))
+    found = voxels.statistics(_points(spark, sf_dir), ["vid"])
+    # per point: the plain sums can lie just between two rounded values, and the order of adding then decides
+    return found.select("vid", "n", *[F.round(F.col(k) / F.col("n"), 6).alias(k) for k in _S])
 
 
 def voxel_eigen_shape(spark, sf_dir):
@@ -287,7 +288,7 @@ def fused_latest_by_waypoint(spark, sf_dir):
 
 def stream_cache_replay(spark, sf_dir):
     """Events as a stream of files; the state after the last micro-batch."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelflow-")
+    shared = shared_folder(spark)
     run = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
     batch = _table(spark, sf_dir, "events")
     source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
@@ -405,7 +406,7 @@ SQL = {
     "voxel_centroid": f"WITH pc AS ({_PC}) SELECT vid, round(avg(x), 7) AS mx, round(avg(y), 7) AS my, round(avg(z), 7) AS mz FROM pc GROUP BY vid",
     "voxel_color_histogram_intended": _hist_sql(False),
     "voxel_color_histogram_compat": _hist_sql(True),
-    "voxel_scatter_matrix": f"WITH pc AS ({_PC}), m AS (SELECT vid, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pc GROUP BY vid) SELECT vid, count(*) AS n, " + ", ".join(f"round(sum(({a}-m{a})*({b}-m{b})), 2) AS {a}{b}" for a, b in _S) + " FROM pc JOIN m USING (vid) GROUP BY vid",
+    "voxel_scatter_matrix": f"WITH pc AS ({_PC}), m AS (SELECT vid, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pc GROUP BY vid) SELECT vid, count(*) AS n, " + ", ".join(f"round(sum(({a}-m{a})*({b}-m{b})) / count(*), 6) AS {a}{b}" for a, b in _S) + " FROM pc JOIN m USING (vid) GROUP BY vid",
     "voxel_eigen_shape": f"WITH pc AS ({_PC}), stats AS (SELECT vid, {_STATS} FROM pc GROUP BY vid), {_EIGEN} SELECT vid, round(l0, 2) AS sigma_p, round(l1-l0, 2) AS sigma_s, round(l2-l1, 2) AS sigma_l, round(l0/(l0+l1+l2), 6) AS curvature FROM eig",
     "voxel_normal_bbox": f"WITH pc AS ({_PC}), stats AS (SELECT vid, {_STATS} FROM pc GROUP BY vid), {_EIGEN}, {_vector('va', 'l0')}, {_vector('vc', 'l2')}, ax AS (SELECT e.vid, mx, my, mz, va.x AS ax, va.y AS ay, va.z AS az, vc.x AS cx, vc.y AS cy, vc.z AS cz FROM eig e JOIN va ON va.vid = e.vid JOIN vc ON vc.vid = e.vid), b3 AS (SELECT *, cy*az - cz*ay AS bx, cz*ax - cx*az AS by_, cx*ay - cy*ax AS bz FROM ax), box AS (SELECT p.vid, max(p.x*ax + p.y*ay + p.z*az) - min(p.x*ax + p.y*ay + p.z*az) AS bb1, max(p.x*bx + p.y*by_ + p.z*bz) - min(p.x*bx + p.y*by_ + p.z*bz) AS bb2, max(p.x*cx + p.y*cy + p.z*cz) - min(p.x*cx + p.y*cy + p.z*cz) AS bb3 FROM pc p JOIN b3 ON b3.vid = p.vid GROUP BY p.vid), sg AS (SELECT *, CASE WHEN mx*ax + my*ay + mz*az < 0 THEN -1 ELSE 1 END AS s FROM ax) SELECT sg.vid, round(s*ax, 4) AS nx, round(s*ay, 4) AS ny, round(s*az, 4) AS nz, round(bb1, 3) AS bb1, round(bb2, 3) AS bb2, round(bb3, 3) AS bb3 FROM sg JOIN box ON box.vid = sg.vid",
     "neighbor_features_intended": _neighbor_sql(False),

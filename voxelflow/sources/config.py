@@ -85,6 +85,17 @@ def last_by_label(entries: DataFrame) -> DataFrame:
     return entries.groupBy("label").agg(F.max_by(F.struct("name", "r", "g", "b"), "ord").alias("e")).select("label", "e.*")
 
 
+def taxonomy_counts(entries: DataFrame) -> DataFrame:
+    """One row: n_names (distinct names), n_labels (distinct labels >= 0)."""
+    return entries.agg(F.countDistinct("name").alias("n_names"), F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_labels"))
+
+
+def frequency_report(frequencies: DataFrame, entries: DataFrame) -> DataFrame:
+    """frequencies (keys.., label, freq) with the name of each label and a line "name : freq"."""
+    named = frequencies.join(F.broadcast(last_by_label(entries).select("label", "name")), "label", "left")
+    return named.withColumn("line", F.concat_ws(" : ", "name", F.col("freq").cast("string")))
+
+
 def label_names(entries: DataFrame) -> list[str]:
     """Names by label >= 0."""
     return [r["name"] for r in last_by_label(entries).where("label >= 0").orderBy("label").collect()]

@@ -39,25 +39,17 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("PNG kind not supported")
     step = _CHANNELS[color] * depth // 8
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.int32)
-    for y in range(height):
-        line, kind = raw[y, 1:].astype(np.int32), raw[y, 0]
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind in (1, 3, 4):
-            for x in range(len(line)):
-                left = line[x - step] if x >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    corner = above[x - step] if x >= step else 0
-                    guess = min((left, above[x], corner), key=lambda v, p=left + above[x] - corner: abs(p - v))
-                line[x] = (line[x] + guess) & 255
-        out[y] = above = line
-    pixels = out.reshape(height, width, step)
+    kinds, coded = raw[:, 0], raw[:, 1:].reshape(height, width, step).astype(np.int32)
+    found = np.zeros((height + 1, width + 1, step), np.int32)  # with a border of zeros
+    for d in range(height + width - 1):  # a pixel needs those left, above and above left: the pixels of a diagonal go together
+        y = np.arange(max(0, d - width + 1), min(height - 1, d) + 1)
+        x, kind = d - y, kinds[y, None]
+        left, above, corner = found[y + 1, x], found[y, x + 1], found[y, x]
+        far = [np.abs(left + above - corner - v) for v in (left, above, corner)]
+        nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) // 2, nearest], 0)
+        found[y + 1, x + 1] = (coded[y, x] + guess) & 255
+    pixels = found[1:, 1:].astype(np.uint8)
     return pixels.reshape(height, width, -1, 2).astype(np.int32) @ np.array([256, 1]) if depth == 16 else pixels.astype(np.int32)
 
 
