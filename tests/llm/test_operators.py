@@ -329,6 +329,50 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """Texts that hold the tokenizer's added tokens, and white space around blanks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y  z", "a  b \n c\t d", "<|endoftext", "it's 12 été 漢字"]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[k]["length"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 20000])
+def test_packing_program(n):
+    """Every piece is packed once, nearly all by the program, in about as few sequences as there can be."""
+    sizes = np.minimum(np.exp(np.random.default_rng(n).normal(5.7, 1.1, n)).astype(int) + 1, 2048)
+    counts = np.bincount(sizes, minlength=2049)
+    plan, from_program = packing.planned(counts)
+    packed = Counter()
+    for configuration, copies in plan:
+        assert copies > 0 and sum(k * m for k, m in configuration.items()) <= 2048
+        for k, m in configuration.items():
+            packed[k] += m * copies
+    assert packed == Counter(sizes.tolist())
+    tokens = lambda p: sum(k * m * c for x, c in p for k, m in x.items())
+    if n >= 300:
+        assert tokens(plan[:from_program]) > 0.8 * tokens(plan)
+        assert sum(c for _, c in plan) <= min(1.01 * math.ceil(sizes.sum() / 2048), 1.002 * sum(c for _, c in packing.best_fit(counts, 2048)) + 1)
+
+
+def test_packing_knapsack():
+    """Against all sequences of a small length."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        price = np.where(rng.random(13) < 0.6, rng.random(13), 0)
+        price[0] = 0
+        best = [0.0] * 13
+        for room in range(1, 13):
+            best[room] = max([best[room - 1], *(best[room - k] + price[k] for k in range(1, room + 1) if price[k] > 0)])
+        value, choice = packing.best_fill(price, 12)
+        assert value == pytest.approx(best)
+        assert sum(price[k] * m for k, m in packing.configuration(12, [0] * 13, 12)) == price[12]
+
+
 def test_mixing(docs, rows, nothing):
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     total = Counter()

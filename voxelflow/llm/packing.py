@@ -3,18 +3,21 @@
 Only the histogram of piece lengths (as many rows as a sequence has tokens, whatever the corpus)
 reaches the driver. The covering program "fewest sequences so that every length is packed as often
 as it occurs" is solved by multiplicative weights: lengths have prices, a knapsack over the prices
-finds the most valuable configuration, the lengths it packs get cheaper. Configurations are taken
-in whole numbers as long as pieces last; what is left is packed best-fit decreasing, again on
-counts. Pieces then look up their places: the r-th piece of a length has its place in the list of
-places for that length.
-
-Defined cases: a null or empty text is the closing token alone; rows that repeat a doc_id are
+finds the most valuable sequence around each length, lengths that get covered too fast grow
+cheaper. Its numbers are rounded up while pieces last, and the program is solved again for what
+rounding left. The few pieces after that are packed best-fit decreasing, again on counts. Pieces
+then look up their places: the r-th piece of a length has its place in the list of places for that
+length.
+
+Defined cases: a null or empty text is the closing token alone; the tokenizer's added tokens in a
+text are what the tokenizer makes of them; rows that repeat a doc_id are
 separate documents; ties between equal lengths go by doc_id and piece; an empty table gives an
 empty result; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -30,8 +33,11 @@ from .common import materialize, table
 
 LENGTH = 2048
 END_ID = 0
-ROUNDS, STEP = 240, 0.35
-CHUNK = 20_000
+#: Rounds of the program and how sharply prices answer; how often it is solved again for what rounding left, and
+#: the share of empty places in a sequence that each such phase accepts.
+ROUNDS, STEP = 24, 0.1
+PHASES, EMPTY = 8, (0.0, 0.0, 0.001, 0.001, 0.002, 0.005)
+CHUNK = 1000
 _MEMO = 1_000_000
 #: Fixed value: how byte-level BPE splits a text before merging.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,7 +77,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.words: dict[str, bytes] = {}
         self.merger = _merger(path)
         probe = [" probing,", "Überprüfung's\n12", " été!!"]
@@ -95,8 +102,8 @@ class Encoder:
             some = texts[start : start + 256]
             if len(self.words) > _MEMO:
                 self.words.clear()
-            # white space on both sides of a blank is one piece with it
-            parts = [None if _BLANKS.search(x) else x.split(" ") for x in some]
+            # white space on both sides of a blank is one piece with it; added tokens may hold blanks
+            parts = [None if _BLANKS.search(x) or self.special.search(x) else x.split(" ") for x in some]
             heads = self._ids([x.pop(0) if x else text for x, text in zip(parts, some, strict=True)])
             found = [list(map(self.words.get, x or ())) for x in parts]
             new = {w for x, ids in zip(parts, found, strict=True) if None in ids for w, v in zip(x, ids, strict=True) if v is None}
@@ -146,63 +153,91 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(of, PIECES)
 
 
-def best_configuration(price: np.ndarray, length: int) -> dict[int, int]:
-    """Unbounded knapsack: the lengths (index of ``price``) of the greatest total price within ``length``."""
+def best_fill(price: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over the lengths (index of ``price``): for every room up to ``length`` the
+    greatest total price, and a length to put first (0: leave one place empty)."""
     worth = np.flatnonzero(price > 0)
     gain, value = price[worth], np.zeros(length + 1)
-    choice = np.full(length + 1, -1)
+    choice = np.zeros(length + 1, np.int64)
+    fitting = np.searchsorted(worth, np.arange(length + 1), "right")
     for room in range(1, length + 1):
-        n = np.searchsorted(worth, room, "right")
+        n = fitting[room]
         if n:
             got = gain[:n] + value[room - worth[:n]]
             k = int(got.argmax())
             value[room], choice[room] = got[k], worth[k]
         if n == 0 or value[room - 1] > value[room]:
             value[room], choice[room] = value[room - 1], 0
-    found: dict[int, int] = {}
-    room = length
-    while room > 0 and choice[room] >= 0:
-        if choice[room] == 0:
-            room -= 1
-        else:
-            found[int(choice[room])] = found.get(int(choice[room]), 0) + 1
-            room -= int(choice[room])
+    return value, choice
+
+
+def configuration(first: int, choice: list[int], length: int) -> tuple[tuple[int, int], ...]:
+    """The sequence of ``first`` and the best fill of the room beside it, as (length, times)."""
+    found, room = {first: 1}, length - first
+    while room > 0:
+        k = choice[room]
+        if k:
+            found[k] = found.get(k, 0) + 1
+        room -= k or 1
+    return tuple(sorted(found.items(), reverse=True))
+
+
+def fractional(need: np.ndarray, length: int, rounds: int = ROUNDS, step: float = STEP, seed: int = 0) -> dict[tuple, float]:
+    """The configuration program by multiplicative weights: configurations and how many sequences
+    of each, so that every length is covered. In each round a knapsack over the prices finds the
+    best sequence around each length, and a length that the round has not covered by 1 / rounds of
+    its need gets as many as it lacks. Lengths covered ahead of time get cheaper, others dearer.
+    Prices start as shares of a sequence, which no price system beats by more than empty places."""
+    sizes = np.flatnonzero(need)[::-1]
+    share, used, found = np.arange(length + 1) / length, np.zeros(length + 1), {}
+    rng = np.random.default_rng(seed)
+    for t in range(1, rounds + 1):
+        ahead = np.where(need > 0, used / np.maximum(need, 1) * rounds - (t - 1), 0.0)  # in rounds
+        price = np.where(need > 0, share * np.exp(-step * np.clip(ahead, -4, 8) - 1e-3 * rng.random(length + 1)), 0.0)
+        choice = best_fill(price, length)[1].tolist()
+        quota = need * t / rounds
+        for k in sizes.tolist():
+            lacks = quota[k] - used[k]
+            if lacks > 1e-9:
+                key = configuration(k, choice, length)
+                copies = lacks / dict(key)[k]
+                found[key] = found.get(key, 0.0) + copies
+                for j, m in key:
+                    used[j] += m * copies
     return found
 
 
-def solve(counts: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], int]]:
+def solve(counts: np.ndarray, length: int = LENGTH) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: times} with whole numbers of sequences that pack ``counts`` exactly.
     counts[k]: pieces of length k."""
+    return planned(counts, length)[0]
+
+
+def planned(counts: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """``solve``, and how many of its entries come from the program. The program's numbers are
+    rounded up as long as pieces last, fullest sequences first, and what stays is a smaller program,
+    PHASES times at most; best-fit packs the rest."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
     if left[length:].sum():
         plan.append(({length: 1}, int(left[length])))
         left[length] = 0
-    need = left.astype(float)
-    price = np.where(need > 0, np.arange(len(left)) / length, 0.0)
-    chosen: dict[tuple, float] = {}
-    for _ in range(rounds if left.sum() else 0):
-        best = best_configuration(price, length)
-        if not best:
+    for phase in range(PHASES):
+        if not left.sum():
+            break
+        empty = length * EMPTY[min(phase, len(EMPTY) - 1)]
+        found = fractional(left.astype(float), length, seed=phase)
+        waste = {key: length - sum(k * m for k, m in key) for key in found}
+        before = len(plan)
+        for key in sorted(found, key=lambda key: (waste[key], -found[key], key)):
+            copies = min(math.ceil(found[key] - 1e-9), *(int(left[k]) // m for k, m in key))
+            if copies and waste[key] <= empty:
+                plan.append((dict(key), copies))
+                for k, m in key:
+                    left[k] -= m * copies
+        if len(plan) == before and phase >= len(EMPTY) - 1:
             break
-        copies = min(need[k] / m for k, m in best.items()) * step
-        key = tuple(sorted(best.items(), reverse=True))
-        chosen[key] = chosen.get(key, 0.0) + copies
-        for k, m in best.items():
-            price[k] *= np.exp(-step * m * copies / need[k] * 2)
-    use = np.zeros(len(left))
-    for key, x in chosen.items():
-        for k, m in key:
-            use[k] += m * x
-    over = max([1.0, *(use[k] / need[k] for k in np.flatnonzero(need))]) if chosen else 1.0
-    fullest = sorted(chosen, key=lambda key: -sum(k * m for k, m in key))
-    for key in fullest:
-        copies = min([int(chosen[key] / over), *(int(left[k]) // m for k, m in key)])
-        if copies and sum(k * m for k, m in key) >= length - 2:
-            plan.append((dict(key), copies))
-            for k, m in key:
-                left[k] -= m * copies
-    return plan + best_fit(left, length)
+    return plan + best_fit(left, length), len(plan)
 
 
 def best_fit(counts: np.ndarray, length: int) -> list[tuple[dict[int, int], int]]:
@@ -255,8 +290,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     for k, n in per_length.items():
         counts[k] = n
     runs = places(solve(counts, length))
-    chunks = max(1, -(-int(counts.sum()) // CHUNK))
-    found = found.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(chunks)))
+    chunks = F.lit(np.maximum(1, -(-counts // CHUNK)).tolist())  # of each length
+    found = found.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.get(chunks, F.col("length").cast("int"))))
     starts = found.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     starts = starts.select("length", "chunk", (F.sum("n").over(W.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("length", "chunk").orderBy("doc_id", "row", "piece")) - 1
