@@ -284,11 +284,56 @@ def test_html(spark):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, 7, 7, "x") for r in rows], "page_id long, url string, html string, p long, b long, text string")
+
+
+def own(k, n=30):
+    return " ".join(f"own{k}x{i}" for i in range(n))
+
+
 def test_html_boilerplate(spark):
-    same = " ".join(f"notice{k}" for k in range(40))
-    table = [(k, "http://h.x/", f"<body><div>{same}</div><div>{' '.join(f'own{k}x{i}' for i in range(30))}</div></body>") for k in range(6)]
-    for r in html_text.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect():
-        assert r["text"] == " ".join(f"own{r['page_id']}x{i}" for i in range(30))
+    """Unmarked repeats go from plain text, and from articles where a quarter of the host has them;
+    quotations and copies of whole articles stay. Each page has another text without the evidence."""
+    same, quote = " ".join(f"notice{k}" for k in range(40)), " ".join(f"quote{k}" for k in range(20))
+    plain = [(k, "http://h.x/", f"<body><div>{same}</div><div>{own(k)}</div></body>") for k in range(6)]
+    marked = [(10 + k, "http://m.x/", f"<article><p>{own(k, 60)}</p><div>{same}</div><p>{own(5, 20)}</p>{f'<p>{quote}</p>' if k < 2 else ''}</article>") for k in range(9)]
+    copies = [(30 + k, "http://c.x/", f"<article><p>{own(99, 50)}</p></article><p>{k}</p>") for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, plain + marked + copies)).collect()}
+    assert got == {k: own(k) for k in range(6)} | {10 + k: f"{own(k, 60)} {own(5, 20)}" + (f" {quote}" if k < 2 else "") for k in range(9)} | {30 + k: own(99, 50) for k in range(4)}
+    assert html_text.extract(pages_of(spark, plain), block_chars=100).count() == 6
+    assert {r["text"] for r in html_text.extract(pages_of(spark, plain), block_chars=100).collect()} == {own(k) for k in range(6)}
+    for _, url, page in plain + marked:
+        zones, texts = zip(*html_text.blocks(page), strict=True)
+        assert same in html_text.main_text(url, list(zones), list(texts), np.empty(0, np.uint64), np.empty(0, np.uint64))
+    assert html_text.extract(pages_of(spark, [])).count() == 0
+
+
+def test_html_names(spark):
+    """Names that hold a chrome word among others drop nothing, whole chrome names do."""
+    kept = [
+        "<article><h1>t</h1><section class='related-work'><p>w</p></section></article>", "<article><h1>t</h1><div class='share-price'>w</div></article>",
+        "<body><div class='page-header'><h1>t</h1></div><p>w</p></body>", "<div id='header-wrapper'><article>t <div class='social-history'>w</div></article></div>",
+        "<div class='layout no-sidebar'><main>t w</main></div>", "<article><header><h1>t</h1></header><div class='article-header'>w</div></article>",
+    ]
+    lost = ["<article>t w<div class='comments'>x</div></article>", "<article>t w</article><div class='cookie-banner'>x</div>", "<article>t w<div class='big ad'>x</div></article>", "<aside><article>x</article></aside><article>t w</article>", "<article>t w<ul class='comment-list'><li>x</ul></article>"]
+    rows = [(k, f"http://n{k}.x/", page) for k, page in enumerate(kept + lost)]
+    assert {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()} == {k: "t w" for k in range(len(rows))}
+
+
+def test_html_repeats():
+    """Covered tokens by all pairs of windows."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b"], 60)) for _ in range(5)]
+    texts = [f"{x} {texts[0]} z{k}" for k, x in enumerate(texts)]
+    keys = [html_text.suffixes("http://h/", [x])[0] for x in texts]
+    tally = Counter(k for x in keys for k in set(x.tolist()))
+    words = [x.split() for x in texts]
+    windows = [[tuple(w[i : i + html_text.DEPTH]) for i in range(len(w) - html_text.DEPTH + 1)] for w in words]
+    for w, x, ws in zip(words, keys, windows, strict=True):
+        hit = [sum(v in o for o in windows) >= 2 for v in ws]
+        want = [any(hit[max(0, i - html_text.DEPTH + 1) : i + 1]) for i in range(len(w))]
+        assert html_text.covered(np.array([tally[k] for k in x.tolist()]), 2, len(w)).tolist() == want
 
 
 def test_quality_rules(docs, rows, nothing):

@@ -1,23 +1,31 @@
 """HTML extraction by a host suffix array.
 
-A page is read into blocks of text, each in a zone: the article the page marks, plain page text, or
-parts whose markup says menu, header, footer, sidebar, notice, advert, form or comment. Scripts,
-styles and the like are not text. The token streams of all pages of a host form one sequence; its
-suffixes, sorted to a depth of DEPTH tokens, put equal passages next to each other, and a passage
-of that depth met on MIN_PAGES distinct pages or more is boilerplate. Sorting is shared out: a
-suffix goes to the table partition that owns the hash of host and first DEPTH tokens, packed and
-sorted with the others of its block of pages, and each partition answers its blocks. Inside marked
-articles every eighth suffix (by hash) stands for all, elsewhere each one does. A passage common to
-half of a host is one key of each block, so no host is hot.
-
-Plain text covered by such passages goes and unique runs stay. An exact check follows: text inside
-the article that a page marks stays though other pages repeat it (copies and quotations are no
-boilerplate), chrome goes though it is unique. A page without marked article whose plain text is
-all covered is a copy of other pages and keeps its plain text.
+A page is read into blocks of text, each in a zone: the article that the page marks, plain page
+text, text whose class or id only hints at page furniture, or chrome: parts whose markup says menu, header,
+footer, sidebar, notice, advert, form or comment. Scripts, styles and the like are not text. The
+token streams of all pages of a host form one sequence. Its suffixes are sorted by host and first
+DEPTH tokens, so equal passages become neighbours; a maximal run of tokens whose suffixes have neighbours on other distinct
+pages is a repeat of DEPTH tokens or more. Every suffix takes part. Sorting is shared out: a suffix
+goes, as a hash of host and first DEPTH tokens, to the table partition that owns the hash, packed
+and sorted with the others of its block of pages; the partition answers its blocks with the number
+of pages of each repeated one. A passage common to half of a host is one key of each block, so no
+host is hot. Blocks hold about BLOCK_CHARS characters (a longer page is a block of its own).
+
+What becomes of a repeat depends on its zone:
+
+* plain text and hinted blocks: repeats on MIN_PAGES distinct pages go, unique runs stay; a hinted
+  block goes whole where more than half of it is repeated;
+* inside a marked article: repeats on HOST_SHARE of the host's distinct pages, MIN_IN_ARTICLE at
+  least, go where they stand in bare containers (unmarked notices); headings, paragraphs, list
+  items and the like are the article's own and stay, repeated or not, as do other repeats;
+* where COPY_SHARE of a page's main text is repeated, the page is a copy of others, and its text
+  stays whole;
+* chrome goes though it is unique.
 
 Defined cases: null and empty html give empty text; pages of no or equal url are separate pages, a
-null url is a host; repeated rows count once as evidence when they lie in one block; broken or cut
-markup is read as far as it goes; columns beside page_id, url and html are not read.
+null url is a host; repeated rows count once as evidence when they lie in one block; an article
+inside a wrapper with a chrome name is an article; broken or cut markup is read as far as it goes;
+columns beside page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +36,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -36,21 +45,27 @@ from .packed import pack, slices, unpack
 
 DEPTH = 16
 MIN_PAGES = 2
-SPARSE = 8
-BLOCK_ROWS = 2048
+HOST_SHARE, MIN_IN_ARTICLE = 0.25, 3
+COPY_SHARE = 0.9
+BLOCK_CHARS = 4_000_000
+#: Keys that one partition of the suffix table gets, about.
+TABLE_KEYS = 1_000_000
 #: Zones.
-CHROME, PLAIN, ARTICLE = 0, 1, 2
+CHROME, PLAIN, ARTICLE, HINTED, PROSE = range(5)
 #: Elements by their part in HTML.
 _SKIP = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "button", "head", "canvas", "audio", "video"}
 _CHROME_TAGS = {"nav", "footer", "aside", "form", "header", "dialog", "menu"}
 _CONTAINERS = _CHROME_TAGS | {"article", "main", "section", "div", "body", "ul", "ol", "dl", "table", "figure", "blockquote", "details", "fieldset"}
 _INLINE = {"a", "b", "i", "u", "s", "em", "strong", "span", "small", "big", "sub", "sup", "code", "kbd", "samp", "var", "abbr", "cite", "q", "mark", "time", "font", "tt", "ins", "del", "label", "bdi", "bdo", "data", "dfn", "wbr", "img", "acronym"}
+_PROSE_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption"}
 _CHROME_WORDS = set(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer colophon sidebar aside widget widgets related recommended recommendations share sharing social "
     "comment comments reply replies respond disqus discussion newsletter subscribe subscription signup login search toolbar pagination pager skip copyright disclaimer".split()
 )
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
+#: Parts of names that add nothing to a chrome word beside them.
+_NEUTRAL_WORDS = set("area bar block body bottom box btn button buttons col column container cta form global group icon icons inner item items left link links list main panel primary right row section site text top widget wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
@@ -58,34 +73,49 @@ _BODY = re.compile(r"""\bitemprop\s*=\s*["']?articleBody""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _zone(tag: str, attributes: str, within: int) -> int:
-    """The zone that an element opens inside zone ``within``."""
-    if within == CHROME:
-        return CHROME
+def _named(names: str, within: int) -> int:
+    """What class and id names say: CHROME if a whole name is made of chrome and neutral words,
+    HINTED if a name holds a chrome word among others."""
+    found = within
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        chrome = [w for w in words if w in _CHROME_WORDS]
+        if chrome and all(w in _CHROME_WORDS or w in _NEUTRAL_WORDS for w in words):
+            if not (within == ARTICLE and set(chrome) <= {"header", "masthead"}):
+                return CHROME
+        elif chrome:
+            found = HINTED
+    return found
+
+
+def _zone(tag: str, attributes: str, within: tuple[int, bool]) -> tuple[int, bool]:
+    """The zone that an element opens inside zone ``within``, and whether its markup itself, not
+    just a name, makes it chrome: then nothing inside is anything else."""
+    zone, firm = within
     role = _ROLE.search(attributes)
     role_name = role.group(1).lower() if role else ""
-    if role_name in _CHROME_ROLES or tag in _CHROME_TAGS and not (tag == "header" and within == ARTICLE):
-        return CHROME
-    for names in _NAMES.findall(attributes):
-        if any(w.lower() in _CHROME_WORDS for w in _WORDS.findall("".join(names))) and tag not in ("article", "main", "body"):
-            return CHROME
+    if firm or role_name in _CHROME_ROLES or tag in _CHROME_TAGS and not (tag == "header" and zone == ARTICLE):
+        return CHROME, True
     if tag in ("article", "main") or role_name in ("main", "article") or _BODY.search(attributes):
-        return ARTICLE
-    return within
+        return ARTICLE, False
+    if zone == CHROME or tag == "body":
+        return zone, False
+    return _named(" ".join("".join(x) for x in _NAMES.findall(attributes)), zone), False
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(zone, text) of the page's blocks of text in order, white space made one space."""
+    """(zone, text) of the page's blocks of text in order, white space made one space. PROSE is a
+    marked article's text in headings, paragraphs and the like."""
     page = page or ""
     found: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    zone, parts, at = PLAIN, [], 0
+    stack: list[tuple[str, tuple[int, bool]]] = []
+    zone, parts, at, prose = (PLAIN, False), [], 0, False
 
     def close():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            found.append((zone, text))
+            found.append((PROSE if prose and zone[0] == ARTICLE else zone[0], text))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -96,6 +126,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if not tag or tag in _INLINE:
             continue
         close()
+        prose = tag in _PROSE_TAGS and not m.group(1) or prose and tag == "br"
         if tag in _SKIP:
             if not m.group(1) and not m.group(3).endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?" + ("|(?=<body\\b)" if tag == "head" else ""), re.I).search(page, at)
@@ -129,114 +160,161 @@ class _Hash(dict):
 _memo = _Hash()
 
 
-def suffixes(url: str | None, found: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the page's suffixes (host and first DEPTH tokens), where each starts, and which block
-    each of the page's tokens lies in."""
-    words = [text.split() for _, text in found]
+def suffixes(url: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the page's suffixes (host and first DEPTH tokens) in order, and which block each of
+    the page's tokens lies in."""
+    words = [text.split() for text in texts]
     block = np.repeat(np.arange(len(words)), [len(w) for w in words])
     ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, len(block))
-    n = len(ids) - DEPTH + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), block
+    n = max(0, len(ids) - DEPTH + 1)
     keys = np.full(n, xxhash.xxh64_intdigest(host(url), 9), np.uint64)
-    for k in range(DEPTH):
+    for k in range(DEPTH if n else 0):
         keys = (keys ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
-    marked = np.array([z == ARTICLE for z, _ in found])[block][:n]
-    at = np.flatnonzero(~marked | (keys % np.uint64(SPARSE) == 0))
-    return keys[at], at, block
+    return keys, block
+
+
+def host_key(url: str | None) -> np.uint64:
+    """The key under which a host's distinct pages are counted."""
+    return np.uint64(xxhash.xxh64_intdigest(host(url), 11))
+
+
+PAGES = "p long, page_id array<long>, url array<string>, zones array<array<int>>, texts array<array<string>>, tokens long"
+_PAGE_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.string())), pa.int64())
+
+
+def _read(limit: int):
+    """Blocks of the pages (page_id, url, html) of a partition, read into zones and texts."""
+
+    def of(batches):
+        first, k, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def block():
+            columns = [list(x) for x in zip(*held, strict=True)]
+            tokens = sum(x.count(" ") + 1 for texts in columns[3] for x in texts)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((first + k, *columns, tokens), _PAGE_TYPES, strict=True)], names=[x.split()[0] for x in PAGES.split(", ")])
+
+        for batch in batches:
+            for page_id, url, page in zip(*batch.columns[:3], strict=True):
+                found = blocks(page.as_py())
+                size = sum(len(x) for _, x in found)
+                if held and n + size > limit:
+                    yield block()
+                    k, held, n = k + 1, [], 0
+                held.append((page_id.as_py(), url.as_py(), [z for z, _ in found], [x for _, x in found]))
+                n += size
+        if held:
+            yield block()
+
+    return of
+
+
+def _rows(batch: pa.RecordBatch | pa.Table):
+    for k in range(batch.num_rows):
+        yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _distinct(urls: list, htmls: list) -> np.ndarray:
-    """All suffix keys of a block's distinct pages, each page's once."""
+def _distinct(row: dict) -> np.ndarray:
+    """The keys of a block's distinct pages, each page's once, and each page's host key."""
     seen, parts = set(), [np.empty(0, np.uint64)]
-    for url, page in zip(urls, htmls, strict=True):
-        mark = (host(url), page)
+    for url, texts in zip(row["url"], row["texts"], strict=True):
+        mark = (host(url), tuple(texts))
         if mark not in seen:
             seen.add(mark)
-            parts.append(np.unique(suffixes(url, blocks(page))[0]))
+            parts += [np.unique(suffixes(url, texts)[0]), np.array([host_key(url)])]
     return np.concatenate(parts)
 
 
 def _request(buckets: int):
-    def rows(p, urls, htmls):
-        keys, counts = np.unique(_distinct(urls, htmls), return_counts=True)
-        at = slices(keys, buckets)
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
-        data = [[b for b in full], [p] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["b", "p", "keys", "counts"])
-
     def of(batches):
-        now, urls, htmls = None, [], []
         for batch in batches:
-            for p, u, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if p != now and urls:
-                    yield rows(now, urls, htmls)
-                    urls, htmls = [], []
-                now = p
-                urls.append(u)
-                htmls.append(h)
-        if urls:
-            yield rows(now, urls, htmls)
+            for row in _rows(batch):
+                keys, counts = np.unique(_distinct(row), return_counts=True)
+                at = slices(keys, buckets)
+                full = np.flatnonzero(np.diff(at)).tolist()
+                data = [full, [row["p"]] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["b", "p", "keys", "counts"])
 
     return of
 
 
 def _neighbours(rows: pa.Table) -> pa.Table:
     """Sorts the suffixes of one table partition; answers each block with those of its keys that
-    MIN_PAGES distinct pages share."""
-    keys = [unpack(x, True) for x in rows.column("keys").to_pylist()]
-    counts = [unpack(x).astype(np.int64) for x in rows.column("counts").to_pylist()]
+    MIN_PAGES distinct pages share, and how many do."""
+    keys = [unpack(x.as_py(), True) for x in rows.column("keys")]
+    counts = [unpack(x.as_py()).astype(np.int64) for x in rows.column("counts")]
     u, at = np.unique(np.concatenate(keys), return_inverse=True)
-    shared = (np.bincount(at, np.concatenate(counts), len(u)) >= MIN_PAGES)[at]
+    total = np.bincount(at, np.concatenate(counts), len(u)).astype(np.uint64)[at]
+    shared = total >= MIN_PAGES
     ends = np.cumsum([len(k) for k in keys])
-    out = [pack(k[shared[e - len(k) : e]], True) for k, e in zip(keys, ends, strict=True)]
-    return pa.table({"p": rows.column("p"), "shared": pa.array(out, pa.binary())})
-
-
-def main_text(url: str | None, page: str | None, shared: np.ndarray) -> str:
-    """The page's main text. ``shared``: sorted keys of passages that other pages have as well."""
-    found = blocks(page)
-    keys, at, block = suffixes(url, found)
-    covered = np.zeros(len(block) + 1, np.int64)
-    if len(keys) and len(shared):
-        hit = at[shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + DEPTH, -1)
-    unique = np.cumsum(covered)[: len(block)] == 0
-    marked = any(z == ARTICLE for z, _ in found)
-    wanted = ARTICLE if marked else PLAIN
-    whole = marked or not unique[np.array([z == PLAIN for z, _ in found], bool)[block]].any() if len(block) else True
-    out, starts = [], np.searchsorted(block, np.arange(len(found) + 1))
-    for k, (zone, text) in enumerate(found):
-        if zone != wanted:
-            continue
-        kept = unique[starts[k] : starts[k + 1]]
-        out += [text] if whole or kept.all() else [w for w, u in zip(text.split(), kept, strict=True) if u]
+    out = [[pack(x, kind) for x, kind in ((k[shared[e - len(k) : e]], True), (total[e - len(k) : e][shared[e - len(k) : e]], False))] for k, e in zip(keys, ends, strict=True)]
+    return pa.table({"p": rows.column("p"), "shared": pa.array([x for x, _ in out], pa.binary()), "pages": pa.array([x for _, x in out], pa.binary())})
+
+
+def covered(pages: np.ndarray, least: float, n: int) -> np.ndarray:
+    """Which of a page's n tokens lie in suffix windows that ``least`` pages or more have.
+    pages: for each suffix, how many pages have it."""
+    edges = np.zeros(n + 1, np.int64)
+    hit = np.flatnonzero(pages >= least)
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + DEPTH, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray) -> str:
+    """The page's main text. ``shared``: sorted keys of passages that other pages have as well,
+    ``pages``: on how many."""
+    keys, block = suffixes(url, texts)
+    found = np.zeros(len(keys), np.int64)
+    of_host = 1
+    if len(shared):
+        place = lambda x: np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+        at = place(keys)
+        found = np.where(shared[at] == keys, pages[at], 0).astype(np.int64)
+        at = place(np.array([host_key(url)]))[0]
+        of_host = int(pages[at]) if shared[at] == host_key(url) else 1
+    zone = np.array(zones, np.int64)
+    marked = bool(((zone == ARTICLE) | (zone == PROSE)).any())
+    repeated = covered(found, MIN_PAGES, len(block))
+    starts = np.searchsorted(block, np.arange(len(texts) + 1))
+    share = [repeated[starts[k] : starts[k + 1]].mean() if starts[k] < starts[k + 1] else 0.0 for k in range(len(texts))]
+    wanted = (zone == ARTICLE) | (zone == PROSE) if marked else zone == PLAIN
+    for k in np.flatnonzero(zone == HINTED):
+        wanted[k] = share[k] <= 0.5
+    of_main = wanted[block]
+    gone = covered(found, max(MIN_IN_ARTICLE, HOST_SHARE * of_host), len(block)) if marked else repeated
+    gone &= (zone != PROSE)[block]
+    if len(block) and repeated[of_main].sum() >= COPY_SHARE * of_main.sum():
+        gone = np.zeros(len(block), bool)
+    out = []
+    for k in np.flatnonzero(wanted):
+        lost = gone[starts[k] : starts[k + 1]]
+        out += [w for w, x in zip(texts[k].split(), lost, strict=True) if not x] if lost.any() else [texts[k]]
     return " ".join(out)
 
 
-def _extract(pages: pa.Table, answers: pa.Table) -> pa.Table:
-    shared = np.unique(np.concatenate([np.empty(0, np.uint64), *(unpack(x, True) for x in answers.column("shared").to_pylist())]))
-    texts = [main_text(u, h, shared) for u, h in zip(pages.column("url").to_pylist(), pages.column("html").to_pylist(), strict=True)]
-    return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+def _extract(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    keys, pages = (np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py(), kind) for x in answers.column(c))]) for c, kind in (("shared", True), ("pages", False)))
+    order = np.argsort(keys)
+    keys, pages = keys[order], pages[order]
+    ids, urls, texts = [], [], []
+    for row in _rows(blocks):
+        ids += row["page_id"]
+        urls += row["url"]
+        texts += [main_text(u, z, t, keys, pages) for u, z, t in zip(row["url"], row["zones"], row["texts"], strict=True)]
+    return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
-def extract(pages: DataFrame, block: Column | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of each row. ``block``: a number that few pages share and that a
-    second read of ``pages`` finds again; by default made by a hash of page_id."""
-    n_pages = pages.count()
-    if block is None:
-        n = max(1, -(-n_pages // (BLOCK_ROWS // 2)))
-        block = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.lit(n)), F.lit(0))
-        pages = pages.select("page_id", "url", "html").repartition(n, block).sortWithinPartitions(block)
-    buckets = 1 << max(4, (n_pages // 4000).bit_length())
-    rows = pages.select(block.alias("p"), "url", "html", "page_id")
-    asked = rows.select("p", "url", "html").mapInArrow(_request(buckets), "b long, p long, keys binary, counts binary")
-    answers = materialize(asked.groupBy("b").applyInArrow(_neighbours, "p long, shared binary"), "shared")
-    return rows.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
+def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """page_id, url, text, n_chars of each row."""
+    lie = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(pages.select("page_id", "url", "html").mapInArrow(_read(block_chars), PAGES), "pages", "p", lie)
+    tokens = found.agg(F.sum("tokens")).head()[0] or 0
+    buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
+    asked = found.mapInArrow(_request(buckets), "b long, p long, keys binary, counts binary")
+    answers = materialize(asked.groupBy("b").applyInArrow(_neighbours, "p long, shared binary, pages binary"), "shared")
+    return found.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lies = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return extract(table(spark, sf_dir, "pages"), lies)
+    return extract(table(spark, sf_dir, "pages"))
