@@ -71,20 +71,25 @@ def table_keys(turned: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
 
 def _units(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _tables(bits: int, tables: int):
+def _key_type(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
+
+
+def _tables(bits: int, tables: int, single: bool):
     def of(batches):
         for batch in batches:
             rep, vectors = batch.column(0).to_numpy(), batch.column(2)
             lengths = np.array([len(v) for v in vectors.to_pylist()])
             for d in np.unique(lengths):
                 rows = np.flatnonzero(lengths == d)
-                x = np.array(vectors.take(pa.array(rows)).to_pylist(), np.float32)
+                x = np.array(vectors.take(pa.array(rows)).to_pylist(), np.float32 if single else np.float64)
                 unit = _units(x)
                 keys = table_keys([unit @ rotation(int(d), k).T > 0 for k in range(rotations_for(bits, tables, int(d)))], bits, tables)
-                packed, all_keys = [v.tobytes() for v in x], [k.tobytes() for k in keys]
+                packed, all_keys = [v.tobytes() for v in x], [k.tobytes() for k in keys.astype(_key_type(bits))]
                 n = batch.column(1).to_numpy()[rows]
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
@@ -95,7 +100,7 @@ def _tables(bits: int, tables: int):
     return of
 
 
-def _links(threshold: float):
+def _links(threshold: float, bits: int, single: bool):
     """Links inside a bucket, or between two of its blocks: per vector, how many vectors it links to
     (counted in the first table of each pair), and the smallest vector connected to it here."""
 
@@ -104,8 +109,8 @@ def _links(threshold: float):
         rep, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         side = rows.column("block").to_numpy()
-        unit = _units(np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f4").reshape(-1, d))
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<i8").reshape(len(rep), -1)
+        unit = _units(np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f4" if single else "<f8").reshape(-1, d))
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), _key_type(bits)).reshape(len(rep), -1)
         turned = unit @ rotation(d, 0).T
         codes = np.where(turned > 0, 1.0, -1.0) / math.sqrt(d)
         factor = (codes * turned).sum(1)
@@ -148,19 +153,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     """vec_id, n_links, component_id of each row."""
     finite = "exists(embedding, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
     usable = F.expr(f"coalesce(size(embedding) > 0 and not {finite} and exists(embedding, x -> x <> 0), false)")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     rows = rows.select("vec_id", F.when(usable, F.col("embedding")).alias("v"))
     group = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     group = materialize(group.select("first", "n", "v", F.xxhash64("v").alias("rep")), "vectors")
     bits, tables = table_sizes(group.count(), threshold, recall)
-    spread = materialize(group.select("rep", "n", "v").mapInArrow(_tables(bits, tables), "bucket long, d int, t int, rep long, n long, vector binary, keys binary"), "tables")
+    spread = materialize(group.select("rep", "n", "v").mapInArrow(_tables(bits, tables, single), "bucket long, d int, t int, rep long, n long, vector binary, keys binary"), "tables")
     sizes = spread.groupBy("bucket", "d").agg(F.count("*").alias("m")).where("m > 1")
     many = spread.join(sizes, ["bucket", "d"])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     many = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).drop("m")
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
-    found = materialize(many.groupBy("bucket", "d", "i", "j").applyInArrow(_links(threshold), "rep long, links long, least long"), "links")
+    found = materialize(many.groupBy("bucket", "d", "i", "j").applyInArrow(_links(threshold, bits, single), "rep long, links long, least long"), "links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
     named = group.select("rep", "first", "n", "v").join(counted, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
