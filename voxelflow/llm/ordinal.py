@@ -11,7 +11,7 @@ that and the number of weights bound what the driver holds. Scoring reads every
 
 Defined cases: null and empty texts have no features and get the grade that the thresholds alone
 give; labels without a document and documents without a label are not fitted on; repeated label
-rows count once, by their mean; with fewer than two grades in the sample all documents get the
+rows count once, by their mean, repeated documents by their smallest text; with fewer than two grades in the sample all documents get the
 same score and are kept; a null doc_id is scored; columns beside those named are not read.
 """
 
@@ -131,7 +131,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """Grades and features of the labelled sample. labels: doc_id, grade."""
     chosen = labels.groupBy("doc_id").agg(F.round(F.avg("grade")).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = chosen.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "grade", "text")
+    rows = chosen.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
 
     def of(batches):
         for batch in batches:
