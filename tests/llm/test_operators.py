@@ -451,3 +451,47 @@ def test_pipeline(spark, docs, nothing):
     kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert corpus_pipeline.STAGES[1][1](spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_mixing(spark, docs):
+    """Each row comes as often as the mix takes it; nulls, repeated ids and equal rows included."""
+    rows = [(None, "a b c", "s"), (-1, "a b c", "s"), (1, "x y", "s"), (1, "x z", "s"), (2, "q", None), (2, "q", None), (3, None, "s"), (3, "", "t"), *((k, f"w{k} " * 9, "s") for k in range(10, 60))]
+    frame = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, source string, _copy int, n int")
+    out = mixing.resample(frame)
+    assert out.columns == frame.columns
+    got, given = Counter(tuple(r)[:3] for r in out.collect()), Counter(rows)
+    assert all(got[r] <= 2 * n for r, n in given.items()) and set(got) <= set(given)
+    size = lambda c, s: sum(n * len(WORD.findall(r[1] or "")) for r, n in c.items() if r[2] == s)
+    aims = {r["size"]: r["target"] for r in mixing.mix(frame).collect() if r["doc_id"] in (2, 10)}
+    assert abs(size(got, "s") - aims[9]) <= 4.5 + 1e-6 and abs(size(got, None) - aims[1]) <= 0.5 + 1e-6
+
+
+def test_pipeline_run(spark, tmp_path, rows):
+    """Every stage against brute force on what its predecessor kept, and run() against the stages."""
+    frame = spark.createDataFrame(rows[:120], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    stages, state = dict(corpus_pipeline.STAGES), frame
+    flagged = {(r[0], r[1]) for r in rows[:120]}
+    kept = stages["quality rules"](spark, state, str(tmp_path)).cache()
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(frame).collect() if r["doc_id"] is not None}
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {x for x in flagged if x[0] is not None and verdict[x[0]]} | {(r["doc_id"], r["text"]) for r in kept.where("doc_id is null").collect()}
+    single = stages["near-dedup"](spark, kept, str(tmp_path)).cache()
+    clean = stages["pii"](spark, single, str(tmp_path)).cache()
+    assert clean.count() == single.count() and not [r for r in clean.collect() if base_spans(r["text"], "email")]
+    mixed = stages["mixing"](spark, clean, str(tmp_path)).cache()
+    packed = stages["packing"](spark, mixed, str(tmp_path))
+    want = Counter((r["doc_id"], r["ids_crc32"], r["length"]) for r in packed.collect())
+    assert Counter((r["doc_id"], r["ids_crc32"], r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    assert sum(n * x[2] for x, n in want.items()) == sum(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mixed.collect())
+
+
+def test_embeddings_double(spark):
+    """Double components keep their precision and range."""
+    x = np.random.default_rng(3).standard_normal((4, 8))
+    v = np.concatenate([x, x * 1e200, x * 1e-200, x + 1e-9])
+    frame = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect()}
+    assert got == {k: (3, k % 4) for k in range(16)}

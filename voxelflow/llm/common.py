@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -113,6 +113,11 @@ def _other(column: str):
     return F.col(column).bitwiseXOR(F.lit(1))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row, nulls and their places included."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): (node, component), component the smallest
     node. Alternating large-star and small-star rounds, each materialized; a node without edges

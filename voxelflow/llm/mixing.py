@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, row_key, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     aims = aims.withColumn("_n", F.xxhash64(F.col("_s").isNull(), "_s")).withColumn("fold", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     all_rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("k"))
     keyed = all_rows.withColumn("_n", F.xxhash64(F.col("source").isNull(), "source")).select("doc_id", "size", "_n", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("c"))
-    keyed = keyed.withColumn("c", F.xxhash64(F.col("c"), "size", "_n"))
+    keyed = keyed.withColumn("c", F.xxhash64(F.col("c"), "size", "_n", F.col("doc_id").isNull()))
     keyed = materialize(keyed.join(aims.select("_n", "rows", "source_size", "target", "fold"), "_n"), "fractions")
     whole = F.floor(F.col("fold"))
     open_ = keyed.where((F.col("size") > 0) & (F.col("fold") > whole)).select(F.col("_n").alias("s"), F.col("rows").alias("n"), F.col("size").alias("z"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "c", (F.col("fold") - whole).alias("p"))
@@ -139,8 +139,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each as often as it is taken, with its own columns. Rows of equal
-    doc_id are taken alike, as often as one of them on average."""
-    each = mix(docs).groupBy("doc_id").agg((F.sum("copies") / F.count("*")).alias("_copies")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(each.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("_copies")).cast("int")))).select(docs.columns)
+    """The documents of the mix: each row as often as the mix takes it, with its own columns. Rows
+    are told apart by all their columns; fully equal ones come as often as they are taken together."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    each = mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
+    each = materialize(each.where("_copies > 0").select(F.col("doc_id").alias("_row"), "_copies", "_n"), "copies")
+
+    def of(rows: DataFrame) -> DataFrame:
+        return keyed.join(rows, F.col("_key") == F.col("_row")).drop("_key", "_row", "_n")
+
+    both = of(each.where("_n = 1")).union(of(each.where("_n > 1")).dropDuplicates())
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
