@@ -80,7 +80,7 @@ def materialize(df: DataFrame, what: str, by: str | None = None, buckets: int =
     spark.conf.set(_CLEAN, "true")
     try:
         if by:
-            df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+            df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
         else:
             df.write.parquet(path)
     finally:

@@ -31,6 +31,7 @@ columns beside page_id, url and html are not read.
 from __future__ import annotations
 
 import html as html_module
+import math
 import re
 
 import numpy as np
@@ -47,7 +48,9 @@ DEPTH = 16
 MIN_PAGES = 2
 HOST_SHARE, MIN_IN_ARTICLE = 0.25, 3
 COPY_SHARE = 0.9
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+#: Share of suffixes that may share a hash with another; it sets the length of the hashes.
+COLLIDING = 2.0**-24
 #: Keys that one partition of the suffix table gets, about.
 TABLE_KEYS = 1_000_000
 #: Zones.
@@ -160,9 +163,9 @@ class _Hash(dict):
 _memo = _Hash()
 
 
-def suffixes(url: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the page's suffixes (host and first DEPTH tokens) in order, and which block each of
-    the page's tokens lies in."""
+def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the page's suffixes (host and first DEPTH tokens, hashed to ``bits`` bits) in order,
+    and which block each of the page's tokens lies in."""
     words = [text.split() for text in texts]
     block = np.repeat(np.arange(len(words)), [len(w) for w in words])
     ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, len(block))
@@ -171,7 +174,8 @@ def suffixes(url: str | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     for k in range(DEPTH if n else 0):
         keys = (keys ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
-    return keys, block
+    shift = np.uint64(64 - bits)
+    return keys >> shift << shift, block
 
 
 def host_key(url: str | None) -> np.uint64:
@@ -214,22 +218,22 @@ def _rows(batch: pa.RecordBatch | pa.Table):
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _distinct(row: dict) -> np.ndarray:
+def _distinct(row: dict, bits: int) -> np.ndarray:
     """The keys of a block's distinct pages, each page's once, and each page's host key."""
     seen, parts = set(), [np.empty(0, np.uint64)]
     for url, texts in zip(row["url"], row["texts"], strict=True):
         mark = (host(url), tuple(texts))
         if mark not in seen:
             seen.add(mark)
-            parts += [np.unique(suffixes(url, texts)[0]), np.array([host_key(url)])]
+            parts += [np.unique(suffixes(url, texts, bits)[0]), np.array([host_key(url)])]
     return np.concatenate(parts)
 
 
-def _request(buckets: int):
+def _request(buckets: int, bits: int):
     def of(batches):
         for batch in batches:
             for row in _rows(batch):
-                keys, counts = np.unique(_distinct(row), return_counts=True)
+                keys, counts = np.unique(_distinct(row, bits), return_counts=True)
                 at = slices(keys, buckets)
                 full = np.flatnonzero(np.diff(at)).tolist()
                 data = [full, [row["p"]] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
@@ -261,10 +265,10 @@ def covered(pages: np.ndarray, least: float, n: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray) -> str:
+def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray, bits: int = 64) -> str:
     """The page's main text. ``shared``: sorted keys of passages that other pages have as well,
     ``pages``: on how many."""
-    keys, block = suffixes(url, texts)
+    keys, block = suffixes(url, texts, bits)
     found = np.zeros(len(keys), np.int64)
     of_host = 1
     if len(shared):
@@ -293,7 +297,7 @@ def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.nd
     return " ".join(out)
 
 
-def _extract(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _extract(blocks: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     keys, pages = (np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py(), kind) for x in answers.column(c))]) for c, kind in (("shared", True), ("pages", False)))
     order = np.argsort(keys)
     keys, pages = keys[order], pages[order]
@@ -301,7 +305,7 @@ def _extract(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     for row in _rows(blocks):
         ids += row["page_id"]
         urls += row["url"]
-        texts += [main_text(u, z, t, keys, pages) for u, z, t in zip(row["url"], row["zones"], row["texts"], strict=True)]
+        texts += [main_text(u, z, t, keys, pages, bits) for u, z, t in zip(row["url"], row["zones"], row["texts"], strict=True)]
     return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
@@ -311,9 +315,10 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     found = materialize(pages.select("page_id", "url", "html").mapInArrow(_read(block_chars), PAGES), "pages", "p", lie)
     tokens = found.agg(F.sum("tokens")).head()[0] or 0
     buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
-    asked = found.mapInArrow(_request(buckets), "b long, p long, keys binary, counts binary")
+    bits = min(64, math.ceil(math.log2(max(1, tokens) / COLLIDING)))
+    asked = found.mapInArrow(_request(buckets, bits), "b long, p long, keys binary, counts binary")
     answers = materialize(asked.groupBy("b").applyInArrow(_neighbours, "p long, shared binary, pages binary"), "shared")
-    return found.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return found.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(lambda blocks, answers: _extract(blocks, answers, bits), "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
