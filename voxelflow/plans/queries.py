@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
-from voxelflow.operators import crf, decode, forest, rectify, supervoxel, voxels
+from voxelflow.operators import crf, decode, forest, rectify, scene, supervoxel, voxels
 from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds
-from voxelflow.sources.config import colors_to_labels, labels_to_colors, taxonomy
+from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
 from voxelflow.streaming import cache
 
 CLASSES = {"signup": 0, "purchase": 1, "click": 2, "view": 3, "error": -1}
@@ -312,6 +312,53 @@ def service_response_pack(spark, sf_dir):
     return packed.select("waypoint_id", F.size("label").alias("n_points"), F.size("label_probabilities").alias("n_values"), F.size("label_frequencies").alias("n_classes"), F.size("points").alias("n_xyz"))
 
 
+def label_counts(spark, sf_dir):
+    return taxonomy_counts(taxonomy(spark, ENTRIES))
+
+
+def label_report(spark, sf_dir):
+    f = decode.label_frequencies(_slices(spark, sf_dir), ["scene"], "p")
+    found = frequency_report(f.withColumn("freq", F.round("freq", 6)), taxonomy(spark, ENTRIES))
+    return found.select("scene", "name", "freq")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Points of two scenes with labels, a seventh of them without depth."""
+    rows = _table(spark, sf_dir, "lineitem")
+    no_depth = F.col("l_partkey") % 7 == 0
+    at = lambda c: F.when(~no_depth, c)
+    return rows.select(
+        (F.col("l_linenumber") % 2).alias("scene_id"), F.col("l_suppkey").alias("vid"), at(F.col("l_quantity")).alias("x"), at(F.col("l_discount") * 100).alias("y"), at(F.col("l_extendedprice") / 1000).alias("z"),
+        (F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_orderkey") % 256).cast("int").alias("g"), ((F.col("l_partkey") + F.col("l_orderkey")) % 256).cast("int").alias("b"), (F.col("l_orderkey") % 4 - 1).cast("int").alias("label"),
+    )
+
+
+def training_scan(spark, sf_dir):
+    """Rows to train on, of all scenes: size, label and two of the features."""
+    found = scene.training_rows(_labelled(spark, sf_dir), ["scene_id", "vid"], min_points=200)
+    return found.select("scene_id", "vid", "n", "label", F.round(F.get("features", F.lit(0)), 6).alias("mean_z"), F.round(F.get("features", F.lit(1)), 6).alias("h0"))
+
+
+def valid_point_totals(spark, sf_dir):
+    return scene.valid_points(_labelled(spark, sf_dir).where("x is not null"), ["scene_id", "vid"], ["scene_id"], 250)
+
+
+def posterior_to_points(spark, sf_dir):
+    posterior = _slices(spark, sf_dir).select(F.col("pidx").alias("vid"), F.col("p").alias("prob"))
+    found = scene.posterior_of_points(_points(spark, sf_dir), posterior, ["vid"])
+    return found.groupBy("vid").agg(F.count("*").alias("n"), F.round(F.sum(F.get("p", F.lit(0))), 4).alias("p0"))
+
+
+def published_cloud(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    seen = e.select(F.col("vid").alias("waypoint_id"), "ts", "event_id", F.col("event_type").alias("frame_id"), F.col("value").alias("x"), (F.col("value") * 2).alias("y"), F.lit(1.0).alias("z"), *[F.lit(i).alias(c) for i, c in enumerate("rgb")])
+    return scene.published(seen, ["ts", "event_id"])
+
+
+def published_cloud_size(spark, sf_dir):
+    return scene.published_size(published_cloud(spark, sf_dir))
+
+
 # SQL ----------------------------------------------------------------------------------------
 
 _STATS = "count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, " + ", ".join(f"covar_pop({a}, {b}) * count(*) AS {a}{b}" for a, b in _S)
@@ -393,7 +440,16 @@ _BIT = lambda c: " + ".join(f"((((p_partkey >> {i}) & 1)) << {7 - i // 3})" for
 _LIN = lambda c: f"(CASE WHEN {c}/255.0 <= 0.04045 THEN {c}/255.0/12.92 ELSE pow(({c}/255.0 + 0.055)/1.055, 2.4) END)"
 _ROOT = lambda c: f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0/3) ELSE 7.787*{c} + 16.0/116 END)"
 
+_LABELLED = "SELECT CAST(l_linenumber % 2 AS INT) AS scene_id, l_suppkey AS vid, l_extendedprice / 1000 AS z, l_partkey, CAST(l_orderkey % 4 - 1 AS INT) AS label FROM lineitem WHERE l_partkey % 7 <> 0"
+
 SQL = {
+    "label_counts": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT count(DISTINCT name) AS n_names, count(DISTINCT label) FILTER (label >= 0) AS n_labels FROM t",
+    "label_report": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}), u AS (SELECT label, arg_max(name, ord) AS name FROM t GROUP BY label), {_slices_sql()}, f AS (SELECT scene, unnest([0, 1, 2]) AS label, unnest([avg(p0), avg(p1), avg(p2)]) AS freq FROM sl GROUP BY scene) SELECT scene, name, round(freq, 6) AS freq FROM f LEFT JOIN u USING (label)",
+    "training_scan": f"WITH pc AS ({_LABELLED}), big AS (SELECT scene_id, vid, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(CASE WHEN l_partkey % 256 < 17 THEN 1.0 ELSE 0.0 END), 6) AS h0 FROM pc GROUP BY 1, 2 HAVING count(*) >= 200), c AS (SELECT scene_id, vid, label, count(*) AS k FROM pc WHERE label >= 0 GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY scene_id, vid ORDER BY k DESC, label) AS o FROM c) SELECT scene_id, vid, n, label, mean_z, h0 FROM big JOIN m USING (scene_id, vid) WHERE o = 1",
+    "valid_point_totals": f"WITH pc AS ({_LABELLED}), big AS (SELECT scene_id, vid, count(*) AS n FROM pc GROUP BY 1, 2 HAVING count(*) >= 250) SELECT scene_id, CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_voxels FROM big GROUP BY 1",
+    "posterior_to_points": f"WITH {_slices_sql()} SELECT l_suppkey AS vid, count(*) AS n, round(sum(p0), 4) AS p0 FROM lineitem JOIN sl ON sl.pidx = l_suppkey GROUP BY 1",
+    "published_cloud": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, first_value(event_type) OVER (ORDER BY ts DESC, event_id DESC) AS f FROM events) SELECT user_id AS waypoint_id, f AS fused_frame, value AS x, value * 2 AS y, CAST(1.0 AS DOUBLE) AS z, 0 AS r, 1 AS g, 2 AS b FROM r WHERE k = 1",
+    "published_cloud_size": "SELECT count(DISTINCT user_id) AS n_points FROM events",
     "majority_class_distribution": f"WITH e AS (SELECT user_id AS vid, {_LABEL} AS label FROM events), big AS (SELECT vid FROM e GROUP BY vid HAVING count(*) >= 10), c AS (SELECT vid, label, count(*) AS n FROM e WHERE vid IN (SELECT vid FROM big) GROUP BY vid, label), m AS (SELECT vid, label, row_number() OVER (PARTITION BY vid ORDER BY n DESC, label) AS k FROM c WHERE label >= 0), t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT m.label AS label, arg_max(t.name, t.ord) AS name, any_value(m.n) AS n FROM (SELECT label, count(*) AS n FROM m WHERE k = 1 GROUP BY label) m JOIN t ON t.label = m.label GROUP BY m.label",
     "taxonomy_last_wins": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}), u AS (SELECT label, arg_max(name, ord) AS name, arg_max(r, ord) AS r, arg_max(g, ord) AS g, arg_max(b, ord) AS b FROM t GROUP BY label), e AS (SELECT {_LABEL} AS label, count(*) AS n FROM events GROUP BY 1) SELECT e.label, u.name, u.r, u.g, u.b, e.n FROM e JOIN u ON u.label = e.label",
     "strict_label_lookup": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT 1000000*t.r + 1000*t.g + t.b AS key, t.label, count(*) AS n FROM events e JOIN t ON t.name = e.event_type GROUP BY 1, 2",
@@ -437,6 +493,6 @@ QUERIES = {
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
         crf_mean_field_2iter, crf_map, crf_grid, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, plane_fit, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay,
-        config_overlay, service_response_pack,
+        config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }

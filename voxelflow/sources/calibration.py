@@ -40,3 +40,16 @@ def to_json(rows: DataFrame) -> Column:
     """A calibration as JSON text, the rotation as m33."""
     r = [F.get(F.col("rotation"), F.lit(3 * (i % 3) + i // 3)) for i in range(9)]
     return F.to_json(F.struct(F.col("k").alias("intrinsic"), F.struct(F.lit("m33").alias("format"), F.array(*r).alias("data")).alias("rotation"), F.col("t").alias("translation")))
+
+
+def rectified_path(path: str) -> str:
+    """The sibling folder for rectified calibrations: <folder>_rect."""
+    return path.rstrip("/") + "_rect"
+
+
+def write_rectified(rows: DataFrame, path: str) -> str:
+    """Writes the JSON of ``rows`` (resolved, with the new rotation and t) below the sibling of
+    ``path``, one folder per scene; returns that sibling."""
+    there = rectified_path(path)
+    rows.select("scene_id", to_json(rows).alias("value")).write.mode("overwrite").partitionBy("scene_id").text(there)
+    return there
