@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,8 +24,16 @@ def label_frequencies(points: DataFrame, keys: list[str], p: str = "prob") -> Da
 
 
 def point_index(points: DataFrame, scene: list[str], order: list[str]) -> DataFrame:
-    """Adds pidx, a running index from 0 by ``order`` within each scene."""
-    return points.withColumn("pidx", F.row_number().over(W.partitionBy(*scene).orderBy(*order)) - 1)
+    """Adds pidx, a running index from 0 by ``order`` within each scene. Points of one value of the
+    first order column are numbered apart and moved by the sizes of those before them, so no task
+    holds a whole scene. Nulls come first, in scenes of their own where a scene is null."""
+    at = [*scene, order[0]]
+    sizes = points.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*scene).orderBy(order[0]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(at)], before.alias("_before"))
+    within = points.withColumn("_within", F.row_number().over(W.partitionBy(*at).orderBy(*order)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(at)])
+    return within.join(moved, same).select(*points.columns, (F.col("_before") + F.col("_within") - 1).alias("pidx"))
 
 
 def scatter_default(grid: DataFrame, values: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
