@@ -245,7 +245,7 @@ def crf_grid(spark, sf_dir):
 
 def rf_train_predict(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
-    model = forest.fit(rows.where("vec_id % 2 = 0"), 16, 8, 4)
+    model = forest.fit(rows)
     return forest.posterior(model, rows).select("vec_id", "label", decode.argmax(F.col("prob")).alias("predicted"))
 
 
