@@ -334,6 +334,11 @@ def test_html_repeats():
         hit = [sum(v in o for o in windows) >= 2 for v in ws]
         want = [any(hit[max(0, i - html_text.DEPTH + 1) : i + 1]) for i in range(len(w))]
         assert html_text.covered(np.array([tally[k] for k in x.tolist()]), 2, len(w)).tolist() == want
+    anchors, pairs = [html_text.suffixes("http://h/", [x])[2].tolist() for x in texts], {}
+    assert all(len(x) == len(ws) for x, ws in zip(anchors, windows, strict=True))
+    assert all(pairs.setdefault(v, y) == y for x, ws in zip(anchors, windows, strict=True) for v, y in zip(ws, x, strict=True))  # equal suffixes have one anchor
+    long = [str(k) for k in range(5000)]
+    assert len(set(html_text.suffixes(None, [" ".join(long)])[2].tolist())) < 0.3 * len(long)
 
 
 def test_quality_rules(docs, rows, nothing):

@@ -8,7 +8,10 @@ DEPTH tokens, so equal passages become neighbours; a maximal run of tokens whose
 pages is a repeat of DEPTH tokens or more. Every suffix takes part. Sorting is shared out: a suffix
 goes, as a hash of host and first DEPTH tokens, to the table partition that owns the hash, packed
 and sorted with the others of its block of pages; the partition answers its blocks with the number
-of pages of each repeated one. A passage common to half of a host is one key of each block, so no
+of pages of each repeated one. To carry little, suffixes are asked for in two steps. A suffix's
+anchor is the run of ANCHOR of its DEPTH tokens with the smallest hash; equal suffixes have the
+same anchor, and a text has a fifth as many different anchors as tokens. Only suffixes whose anchor repeats on MIN_PAGES
+pages of the host are asked for themselves: no repeat is missed. A passage common to half of a host is one key of each block, so no
 host is hot. Blocks hold about BLOCK_CHARS characters (a longer page is a block of its own).
 
 What becomes of a repeat depends on its zone:
@@ -41,10 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .packed import pack, slices, unpack
 
 DEPTH = 16
+#: Tokens of an anchor.
+ANCHOR = 8
 MIN_PAGES = 2
 HOST_SHARE, MIN_IN_ARTICLE = 0.25, 3
 COPY_SHARE = 0.9
@@ -163,19 +168,27 @@ class _Hash(dict):
 _memo = _Hash()
 
 
-def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = keys * np.uint64(0x9E3779B97F4A7C15)
+    return keys ^ (keys >> np.uint64(31))
+
+
+def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the page's suffixes (host and first DEPTH tokens, hashed to ``bits`` bits) in order,
-    and which block each of the page's tokens lies in."""
+    which block each of the page's tokens lies in, and the keys of the suffixes' anchors."""
     words = [text.split() for text in texts]
     block = np.repeat(np.arange(len(words)), [len(w) for w in words])
     ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, len(block))
-    n = max(0, len(ids) - DEPTH + 1)
-    keys = np.full(n, xxhash.xxh64_intdigest(host(url), 9), np.uint64)
-    for k in range(DEPTH if n else 0):
-        keys = (keys ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(31)
+    n, m = max(0, len(ids) - DEPTH + 1), max(0, len(ids) - ANCHOR + 1)
+    runs = np.full(m, xxhash.xxh64_intdigest(host(url), 9), np.uint64)
+    for k in range(ANCHOR if n else 0):
+        runs = _mixed(runs ^ ids[k : k + m])
+    keys, anchors = runs[:n], runs[:n].copy()
+    for k in range(1, DEPTH - ANCHOR + 1 if n else 1):
+        keys = _mixed(keys ^ ids[ANCHOR + k - 1 : ANCHOR + k - 1 + n])
+        np.minimum(anchors, runs[k : k + n], out=anchors)
     shift = np.uint64(64 - bits)
-    return keys >> shift << shift, block
+    return keys >> shift << shift, block, _mixed(anchors) >> shift << shift
 
 
 def host_key(url: str | None) -> np.uint64:
@@ -218,30 +231,67 @@ def _rows(batch: pa.RecordBatch | pa.Table):
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _distinct(row: dict, bits: int) -> np.ndarray:
-    """The keys of a block's distinct pages, each page's once, and each page's host key."""
-    seen, parts = set(), [np.empty(0, np.uint64)]
+def _distinct(row: dict):
+    """url and texts of a block's distinct pages."""
+    seen = set()
     for url, texts in zip(row["url"], row["texts"], strict=True):
         mark = (host(url), tuple(texts))
         if mark not in seen:
             seen.add(mark)
-            parts += [np.unique(suffixes(url, texts, bits)[0]), np.array([host_key(url)])]
-    return np.concatenate(parts)
+            yield url, texts
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
 
 
-def _request(buckets: int, bits: int):
+def _requests(p: int, parts: list[np.ndarray], buckets: int) -> dict[str, pa.Array]:
+    """A block's keys by table partition. parts: each page's keys, each once."""
+    keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
+    at = slices(keys, buckets)
+    full = np.flatnonzero(np.diff(at)).tolist()
+    data = [full, [p] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
+    return {n: pa.array(c, t) for n, c, t in zip(("b", "p", "keys", "counts"), data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)}
+
+
+def _ask_anchors(buckets: int, bits: int):
     def of(batches):
         for batch in batches:
             for row in _rows(batch):
-                keys, counts = np.unique(_distinct(row, bits), return_counts=True)
-                at = slices(keys, buckets)
-                full = np.flatnonzero(np.diff(at)).tolist()
-                data = [full, [row["p"]] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["b", "p", "keys", "counts"])
+                parts = []
+                for url, texts in _distinct(row):
+                    anchors = suffixes(url, texts, bits)[2]
+                    parts.append(np.unique(anchors[_starts(anchors)]))
+                yield pa.RecordBatch.from_pydict(_requests(row["p"], parts, buckets))
 
     return of
 
 
+def _answered(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block that other pages share, sorted, and on how many pages each is."""
+    keys, pages = (np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py(), kind) for x in answers.column(c))]) for c, kind in (("shared", True), ("pages", False)))
+    order = np.argsort(keys)
+    return keys[order], pages[order]
+
+
+def _ask_suffixes(blocks: pa.Table, answers: pa.Table, buckets: int, bits: int) -> pa.Table:
+    """Asks for the suffixes whose anchor other pages share, and for each distinct page's host key."""
+    shared, _ = _answered(answers)
+    out = [pa.table(_requests(0, [], buckets))]
+    for row in _rows(blocks):
+        parts = []
+        for url, texts in _distinct(row):
+            keys, _, anchors = suffixes(url, texts, bits)
+            if len(shared) and len(keys):
+                at = _starts(anchors)
+                hit = shared[np.minimum(np.searchsorted(shared, anchors[at]), len(shared) - 1)] == anchors[at]
+                parts.append(np.unique(keys[np.repeat(hit, np.diff(at, append=len(keys)))]))
+            parts.append(np.array([host_key(url)]))
+        out.append(pa.table(_requests(row["p"], parts, buckets)))
+    return pa.concat_tables(out)
+
+
 def _neighbours(rows: pa.Table) -> pa.Table:
     """Sorts the suffixes of one table partition; answers each block with those of its keys that
     MIN_PAGES distinct pages share, and how many do."""
@@ -268,7 +318,7 @@ def covered(pages: np.ndarray, least: float, n: int) -> np.ndarray:
 def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray, bits: int = 64) -> str:
     """The page's main text. ``shared``: sorted keys of passages that other pages have as well,
     ``pages``: on how many."""
-    keys, block = suffixes(url, texts, bits)
+    keys, block, _ = suffixes(url, texts, bits)
     found = np.zeros(len(keys), np.int64)
     of_host = 1
     if len(shared):
@@ -298,9 +348,7 @@ def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.nd
 
 
 def _extract(blocks: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
-    keys, pages = (np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py(), kind) for x in answers.column(c))]) for c, kind in (("shared", True), ("pages", False)))
-    order = np.argsort(keys)
-    keys, pages = keys[order], pages[order]
+    keys, pages = _answered(answers)
     ids, urls, texts = [], [], []
     for row in _rows(blocks):
         ids += row["page_id"]
@@ -316,8 +364,12 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     tokens = found.agg(F.sum("tokens")).head()[0] or 0
     buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
     bits = min(64, math.ceil(math.log2(max(1, tokens) / COLLIDING)))
-    asked = found.mapInArrow(_request(buckets, bits), "b long, p long, keys binary, counts binary")
-    answers = materialize(asked.groupBy("b").applyInArrow(_neighbours, "p long, shared binary, pages binary"), "shared")
+    asked, answer = "b long, p long, keys binary, counts binary", "p long, shared binary, pages binary"
+    anchors = found.mapInArrow(_ask_anchors(buckets, bits), asked)
+    anchors = materialize(anchors.groupBy("b").applyInArrow(_neighbours, answer), "anchors")
+    repeats = found.groupBy("p").cogroup(anchors.groupBy("p")).applyInArrow(lambda blocks, answers: _ask_suffixes(blocks, answers, buckets, bits), asked)
+    answers = materialize(repeats.groupBy("b").applyInArrow(_neighbours, answer), "shared")
+    discard(anchors)
     return found.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(lambda blocks, answers: _extract(blocks, answers, bits), "page_id long, url string, text string, n_chars long")
 
 
