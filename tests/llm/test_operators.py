@@ -321,6 +321,21 @@ def test_html_names(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()} == {k: "t w" for k in range(len(rows))}
 
 
+def test_pii_classifier_decides(spark):
+    """Matches that fail their check are candidates and refused, well-supported looser ones are added."""
+    good = [f"mail a{k}@b.com, login from 10.0.0.{k}, card 4111 1111 1111 1111, call +1 212 555 01{k:02}" for k in range(40)]
+    bad = [f"order 9999 8888 7777 {6000 + k} of build 1.2.{k}.999 and +12 345{k:02} end" for k in range(40)]
+    bad = [x for x in bad if not any(base_spans(x, k) for k in pii.KINDS)]
+    assert len(bad) > 30
+    loose = "phone (212) 555-0199 now"
+    table = [(k, t, "en", "a", 0, 7, 7, 7, 7) for k, t in enumerate([*good, *bad, *[loose] * 20, None])]
+    found = {r["doc_id"]: r for r in pii.find_private(spark.createDataFrame(table, DOCS)).collect()}
+    added = {i: [(x["s"], x["e"]) for k in pii.KINDS for x in r[f"added_{k}"]] for i, r in found.items()}
+    at = len(good) + len(bad)
+    assert [added.pop(at + k) for k in range(20)] == [[(6, 20)]] * 20
+    assert not any(added.values())
+
+
 def test_html_repeats():
     """Covered tokens by all pairs of windows."""
     rng = np.random.default_rng(8)

@@ -2,7 +2,9 @@
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers. Looser patterns find
 further candidates (numbers in national form, addresses spelt with "at" and "dot", card-like
-digit groups). Labelers (pattern, gazetteer, context, border, length) vote -1, 0 or 1 on every
+digit groups); matches that fail their check (a part above 255, Luhn's sum, the number of digits)
+are candidates with the pattern's vote against them, unless another candidate overlaps, so that
+votes can be told apart. Labelers (pattern, gazetteer, context, border, length) vote -1, 0 or 1 on every
 candidate. The votes and a few shape features make a signature, of which there are a bounded
 number; signature counts over all documents are all that expectation-maximisation needs to
 estimate each labeler's reliability, and all that the final classifier (logistic regression on
@@ -57,6 +59,8 @@ GAZETTEER = {
     "card": r"^(4|5[1-5]|3[47]|6011|65|2[2-7])",
     "phone": r"^\(?(\+?1|\+[2-9][0-9]|[2-9][0-9]{2})",
 }
+#: Kinds whose matches may fail their check; these are candidates with the pattern's vote against.
+FAILED = ("ip", "card", "phone")
 VOTERS = ("pattern", "gazetteer", "context", "border", "length")
 SHAPES = ("separated", "long")
 SURE = 0.9
@@ -92,6 +96,18 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str, passed: bool):
+    """Whether a span's match passes its kind's check, or whether it fails."""
+    return lambda x: _valid(kind, x["m"]) if passed else ~_valid(kind, x["m"])
+
+
+def _failing(kind: str, m: Column) -> Column:
+    """Whether a match of a base pattern that does not count is a candidate: numbers of a card's
+    length, dotted groups and international numbers, all but runs too short for any of them."""
+    n = F.length(_digits(m))
+    return {"ip": F.lit(True), "card": n.between(12, 19), "phone": n >= 7}.get(kind, F.lit(False))
+
+
 def _located(found: str, gaps: str, valid) -> Column:
     """Spans (s, e, m) of the matches ``found`` between ``gaps`` that ``valid`` accepts."""
     start = F.expr(f"named_struct('at', 0, 'i', 0, 'out', {_EMPTY})")
@@ -123,18 +139,24 @@ def spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.col("_t")
     rows = docs.select(key, F.coalesce("text", F.lit("")).alias("_t"))
     for kind in KINDS:
-        rows = _scan(rows, text, BASE[kind], NEEDS[kind], f"base_{kind}", lambda m, k=kind: _valid(k, m))
+        rows = _scan(rows, text, BASE[kind], NEEDS[kind], f"base_{kind}", lambda m, k=kind: _valid(k, m) | _failing(k, m))
+        if kind in FAILED:
+            rows = rows.withColumn(f"failed_{kind}", F.filter(f"base_{kind}", _checked(kind, False))).withColumn(f"base_{kind}", F.filter(f"base_{kind}", _checked(kind, True)))
     for kind, pattern in LOOSE.items():
         rows = _scan(rows, text, pattern, {"email": "dot"}.get(kind, ""), f"loose_{kind}", lambda m: F.lit(True))
         rows = rows.withColumn(f"loose_{kind}", F.when(F.size(f"loose_{kind}") > 0, F.filter(f"loose_{kind}", _clear_of(f"base_{kind}"))).otherwise(F.col(f"loose_{kind}")))
 
-    def judged(kind: str, base: bool):
+    for kind in FAILED:
+        for other in (*(f"base_{k}" for k in KINDS), *(f"loose_{k}" for k in LOOSE)):
+            rows = rows.withColumn(f"failed_{kind}", F.when(F.size(f"failed_{kind}") > 0, F.filter(f"failed_{kind}", _clear_of(other))).otherwise(F.col(f"failed_{kind}")))
+
+    def judged(kind: str, base: bool, failed: bool = False):
         def of(x: Column) -> Column:
             m, before, after = x["m"], F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))), F.substring(text, x["e"] + 1, 1)
             vote = lambda yes, no=None: F.when(yes, 1).otherwise(0 if no is None else F.when(no, -1).otherwise(0))
             digits = F.length(_digits(m))
             size = {"email": F.length(m) <= 80, "ip": F.length(m) >= 7, "card": digits.isin(13, 15, 16), "phone": digits.between(10, 13)}[kind]
-            pattern = F.lit(1 if base else 0) if kind != "card" or base else vote(_luhn(_digits(m)), ~_luhn(_digits(m)))
+            pattern = F.lit(-1 if failed else 1 if base else 0) if kind != "card" or base or failed else vote(_luhn(_digits(m)), ~_luhn(_digits(m)))
             odd = F.substring(before, -1, 1).rlike(r"[\w.@/=-]") | after.rlike(r"[\w@/=-]")
             in_gazetteer = m.rlike(GAZETTEER[kind])
             return F.struct(x["s"].alias("s"), x["e"].alias("e"), pattern.alias("pattern"), vote(in_gazetteer, ~in_gazetteer).alias("gazetteer"), vote(before.rlike(CUES[kind])).alias("context"), vote(~odd, odd).alias("border"), vote(size, ~size).alias("length"), m.rlike(r"[\x20()-]").cast("int").alias("separated"), (F.length(m) > 16).cast("int").alias("long"))
@@ -143,12 +165,13 @@ def spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     out = [F.transform(f"base_{k}", judged(k, True)).alias(f"base_{k}") for k in KINDS]
     out += [F.transform(f"loose_{k}", judged(k, False)).alias(f"loose_{k}") for k in LOOSE]
+    out += [F.transform(f"failed_{k}", judged(k, False, True)).alias(f"failed_{k}") for k in FAILED]
     return rows.select(key, *out)
 
 
 def vote_counts(found: DataFrame) -> list:
     """A row for each signature: kind, base, votes, shapes, n. At most 2 * 4 * 3**5 * 4 rows."""
-    groups = [(k, b) for b, kinds in (("base", KINDS), ("loose", LOOSE)) for k in kinds]
+    groups = [(k, b) for b, kinds in (("base", KINDS), ("loose", LOOSE), ("failed", FAILED)) for k in kinds]
 
     def signature(kind: str, base: bool):
         return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), *[x[v].alias(v) for v in (*VOTERS, *SHAPES)])
@@ -196,7 +219,7 @@ def fit(counts: list) -> dict[str, float]:
         return dict.fromkeys([*names, ""], 0.0) | {"": -5.0}
     votes = np.array([[r[v] for v in VOTERS] for r in counts])
     n, base = np.array([float(r["n"]) for r in counts]), np.array([r["base"] for r in counts])
-    post, _ = reliabilities(votes, n, np.where(base, 0.95, 0.3))
+    post, _ = reliabilities(votes, n, np.where(base, 0.95, np.where(votes[:, VOTERS.index("pattern")] < 0, 0.05, 0.3)))
     shapes = np.array([[r["kind"] == k for k in KINDS] + [r[v] for v in (*VOTERS, *SHAPES)] for r in counts], float)
     return dict(zip([*names, ""], classifier(shapes, n, post).tolist(), strict=True))
 
@@ -221,7 +244,9 @@ def judge(found: DataFrame, weights: dict[str, float], key: str = "doc_id") -> D
 
     plain = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    return found.select(key, *[plain(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS], *[(plain(F.filter(f"loose_{k}", sure(k))) if k in LOOSE else none).alias(f"added_{k}") for k in KINDS])
+    further = {k: [f"{g}_{k}" for g, kinds in (("loose", LOOSE), ("failed", FAILED)) if k in kinds] for k in KINDS}
+    added = {k: F.concat(none, *[plain(F.filter(c, sure(k))) for c in further[k]]) for k in KINDS}
+    return found.select(key, *[plain(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS], *[added[k].alias(f"added_{k}") for k in KINDS])
 
 
 def _listed(prefixes: tuple[str, ...]) -> Column:
