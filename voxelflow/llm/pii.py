@@ -21,7 +21,9 @@ get equal results; very long texts are read whole; columns beside doc_id and tex
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,9 +148,10 @@ def spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         rows = _scan(rows, text, pattern, {"email": "dot"}.get(kind, ""), f"loose_{kind}", lambda m: F.lit(True))
         rows = rows.withColumn(f"loose_{kind}", F.when(F.size(f"loose_{kind}") > 0, F.filter(f"loose_{kind}", _clear_of(f"base_{kind}"))).otherwise(F.col(f"loose_{kind}")))
 
-    for kind in FAILED:
-        for other in (*(f"base_{k}" for k in KINDS), *(f"loose_{k}" for k in LOOSE)):
-            rows = rows.withColumn(f"failed_{kind}", F.when(F.size(f"failed_{kind}") > 0, F.filter(f"failed_{kind}", _clear_of(other))).otherwise(F.col(f"failed_{kind}")))
+    others = [*(f"base_{k}" for k in KINDS), *(f"loose_{k}" for k in LOOSE)]
+    clear = lambda x: functools.reduce(operator.and_, [_clear_of(c)(x) for c in others])
+    rows = rows.select("*", *[F.when(F.size(f"failed_{k}") > 0, F.filter(f"failed_{k}", clear)).otherwise(F.col(f"failed_{k}")).alias(f"_{k}") for k in FAILED])
+    rows = rows.drop(*[f"failed_{k}" for k in FAILED]).withColumnsRenamed({f"_{k}": f"failed_{k}" for k in FAILED})
 
     def judged(kind: str, base: bool, failed: bool = False):
         def of(x: Column) -> Column:
