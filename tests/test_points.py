@@ -119,8 +119,8 @@ def test_crf(spark):
     points = _crf_points(spark)
     same = crf.mean_field(points, 2, 0.0, 0.0).join(points, "pidx").collect()
     assert all(r["q"] == pytest.approx(r["p"]) for r in same)
-    exact = {r["pidx"]: r["q"] for r in crf.mean_field(points, 2, 0.0, 1.0).collect()}
-    near = {r["pidx"]: r["q"] for r in crf.mean_field(points, 2, 0.0, 1.0, exact=False).collect()}
+    exact = {r["pidx"]: r["q"] for r in crf.mean_field(points, 2, 0.0, 1.0, method="exact").collect()}
+    near = {r["pidx"]: r["q"] for r in crf.mean_field(points, 2, 0.0, 1.0, method="grid").collect()}
     assert all(sum(q) == pytest.approx(1) for q in exact.values())
     assert np.mean([abs(exact[k][0] - near[k][0]) for k in exact]) < 0.03
 

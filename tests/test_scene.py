@@ -36,7 +36,7 @@ def _members(spark):
 def test_response(spark):
     members = _members(spark)
     posterior = spark.createDataFrame([(w, v, [0.9, 0.1] if v == 1 else [0.2, 0.8]) for w in "ab" for v in (1, 2, 3)], "waypoint_id string, vid int, prob array<double>")
-    rows = {r["waypoint_id"]: r for r in scene.respond(members, posterior, 2, exact=True).collect()}
+    rows = {r["waypoint_id"]: r for r in scene.respond(members, posterior, 2, method="exact").collect()}
     assert set(rows) == {"a", "b"}
     for r in rows.values():
         assert list(r["label"]) == [0] * 12 + [1] * 12  # the small supervoxel is gone, points by supervoxel and idx

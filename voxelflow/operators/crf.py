@@ -2,9 +2,10 @@
 
 Points: scene, pidx, p (array of class probabilities), f6 and f3 (scaled features). A message is
 the kernel-weighted mean of the other points' marginals, so agreeing neighbours lower the energy.
-``exact`` joins the points of a scene with each other, for scenes of some thousand points;
-``grid`` sums marginals over cells one sigma wide and exchanges them between near cells, so its
-work is in proportion to the points."""
+``lattice`` filters on the permutohedral lattice, in proportion to the points: on 5,000 points of a
+room its messages are off by 0.01 at the mean and 0.08 in 99 of 100 cases at most (see the tests).
+``exact`` joins the points of a scene with each other, for scenes of some thousand points; ``grid``
+sums marginals over cells one sigma wide and exchanges them between near cells."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelflow.operators.decode import argmax
+from voxelflow.operators.lattice import lattice_messages
 from voxelflow.operators.lineage import cut
 
 
@@ -51,15 +53,25 @@ def grid_messages(points: DataFrame, feature: str, classes: int, dims: int, radi
     return own.select("scene", "pidx", *[F.when(rest > 1e-9, (F.col(f"s{c}") - F.get(q, F.lit(c))) / rest).otherwise(0.0).alias(f"m{c}") for c in range(classes)])
 
 
-def mean_field(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, exact: bool = True, dims: tuple[int, int] = (6, 3)) -> DataFrame:
+def messages(points: DataFrame, feature: str, classes: int, dims: int, method: str = "lattice", q: str = "q") -> DataFrame:
+    """scene, pidx, m0..: the messages of one kernel by ``lattice``, ``exact`` or ``grid``."""
+    if method == "exact":
+        return kernel_messages(points, feature, classes, q)
+    if method == "grid":
+        return grid_messages(points, feature, classes, dims, 1 if dims > 3 else 2, q)
+    if method == "lattice":
+        return lattice_messages(points, feature, classes, dims, q)
+    raise ValueError(f"unknown method {method}")
+
+
+def mean_field(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, method: str = "lattice", dims: tuple[int, int] = (6, 3)) -> DataFrame:
     """scene, pidx, q: marginals after the iterations."""
     now = points.withColumn("q", F.col("p"))
     for _ in range(iterations):
         kernels = [(f, w, d) for f, w, d in (("f6", appearance, dims[0]), ("f3", smoothness, dims[1])) if w]
         total, names = now.select("scene", "pidx", "p", "f6", "f3"), []
         for f, w, d in kernels:
-            m = kernel_messages(now, f, classes) if exact else grid_messages(now, f, classes, d, 1 if d > 3 else 2)
-            m = m.select("scene", "pidx", *[(F.col(f"m{c}") * w).alias(f"{f}_{c}") for c in range(classes)])
+            m = messages(now, f, classes, d, method).select("scene", "pidx", *[(F.col(f"m{c}") * w).alias(f"{f}_{c}") for c in range(classes)])
             total = total.join(m, ["scene", "pidx"], "left")
             names.append(f)
         energy = [F.ln(F.greatest(F.get("p", F.lit(c)), F.lit(1e-6))) + sum((F.coalesce(F.col(f"{f}_{c}"), F.lit(0.0)) for f in names), F.lit(0.0)) for c in range(classes)]

@@ -61,13 +61,13 @@ def valid_points(members: DataFrame, keys: list[str], scene: list[str], min_poin
     return voxels.at_least(members, keys, min_points).groupBy(*scene).agg(F.sum("n").alias("n_points"), F.count("*").alias("n_voxels"))
 
 
-def smoothed(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, exact: bool = False) -> DataFrame:
+def smoothed(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, method: str = "lattice") -> DataFrame:
     """Marginals of points scene, pidx, x, y, z, r, g, b, p: the CRF on scaled features."""
     f6, f3 = crf.scaled_features(tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in "rgb"))
-    return crf.mean_field(points.select("scene", "pidx", "p", f6.alias("f6"), f3.alias("f3")), classes, appearance, smoothness, iterations, exact)
+    return crf.mean_field(points.select("scene", "pidx", "p", f6.alias("f6"), f3.alias("f3")), classes, appearance, smoothness, iterations, method)
 
 
-def label_cloud(members: DataFrame, model: RandomForestClassificationModel | DataFrame, classes: int, edges: DataFrame | None = None, min_points: int = 10, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def label_cloud(members: DataFrame, model: RandomForestClassificationModel | DataFrame, classes: int, edges: DataFrame | None = None, min_points: int = 10, method: str = "lattice") -> tuple[DataFrame, DataFrame]:
     """A request answered for every waypoint at once: (labelled points, label frequencies).
 
     members: waypoint_id, vid, idx, x, y, z, r, g, b. Supervoxels below ``min_points`` go; features
@@ -78,7 +78,7 @@ def label_cloud(members: DataFrame, model: RandomForestClassificationModel | Dat
     large = voxels.keep_large(members, keys, min_points)
     found = model if isinstance(model, DataFrame) else forest.posterior(model, voxels.features(large, keys, edges=edges))
     points = decode.point_index(posterior_of_points(large, found, keys), ["waypoint_id"], ["vid", "idx"])
-    q = smoothed(points.withColumnRenamed("waypoint_id", "scene"), classes, exact=exact).withColumnRenamed("scene", "waypoint_id")
+    q = smoothed(points.withColumnRenamed("waypoint_id", "scene"), classes, method=method).withColumnRenamed("scene", "waypoint_id")
     out = points.join(q, ["waypoint_id", "pidx"]).select("waypoint_id", "pidx", "x", "y", "z", decode.argmax(F.col("q")).alias("label"), F.col("q").alias("prob"))
     return out, decode.label_frequencies(out, ["waypoint_id"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
-from voxelflow.operators import crf, decode, forest, rectify, scene, supervoxel, voxels
+from voxelflow.operators import crf, decode, forest, lattice, rectify, scene, supervoxel, voxels
 from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds
 from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
@@ -227,7 +227,7 @@ def crf_gaussian_messages(spark, sf_dir):
 
 
 def _marginals(spark, sf_dir):
-    return crf.mean_field(_slices(spark, sf_dir), 3, 2.0, 1.0, 2)
+    return crf.mean_field(_slices(spark, sf_dir), 3, 2.0, 1.0, 2, "exact")
 
 
 def crf_mean_field_2iter(spark, sf_dir):
@@ -239,7 +239,24 @@ def crf_map(spark, sf_dir):
 
 
 def crf_grid(spark, sf_dir):
-    found = crf.mean_field(_slices(spark, sf_dir), 3, 0.0, 1.0, 2, exact=False)
+    found = crf.mean_field(_slices(spark, sf_dir), 3, 0.0, 1.0, 2, "grid")
+    return found.select("scene", "pidx", *[F.round(F.get("q", F.lit(i)), 4).alias(f"q{i}") for i in range(3)])
+
+
+def crf_lattice_splat(spark, sf_dir):
+    """What each vertex of the smoothness kernel's lattice receives."""
+    corners = lattice.simplex(_slices(spark, sf_dir), "f3", 3)
+    return lattice.splat(corners, [F.get("p", F.lit(i)) for i in range(3)], 3).select("scene", *lattice.coordinates(3), *_rounded("n", "v0", "v1", "v2", digits=5))
+
+
+def crf_lattice_messages(spark, sf_dir):
+    m = crf.messages(_slices(spark, sf_dir), "f6", 3, 6, q="p")
+    return m.select("scene", "pidx", *_rounded("m0", "m1", "m2", digits=4))
+
+
+def crf_lattice(spark, sf_dir):
+    """Marginals with both kernels in linear time."""
+    found = crf.mean_field(_slices(spark, sf_dir), 3, 2.0, 1.0, 2)
     return found.select("scene", "pidx", *[F.round(F.get("q", F.lit(i)), 4).alias(f"q{i}") for i in range(3)])
 
 
@@ -436,6 +453,63 @@ def _mean_field_sql(final: str) -> str:
     return f"WITH {_slices_sql()}, {', '.join(steps)} {final.format(last)}"
 
 
+def _lattice_sql(name: str, source: str, features: list[str]) -> list[str]:
+    """CTEs: {name}_splat has the vertices' sums, {name} the messages of the marginals q0, q1, q2 of ``source``."""
+    d = len(features)
+    n = d + 1
+    each = lambda f: ", ".join(f(i) for i in range(n))
+    keep = "scene, pidx, q0, q1, q2"
+    keys = [f"c{i}" for i in range(d)]
+    scaled = ", ".join(f"{f} * {n * (2 / 3) ** 0.5 / ((i + 1) * (i + 2)) ** 0.5!r} AS s{i}" for i, f in enumerate(features))
+    lifted = each(lambda i: " + ".join(["0.0", *[f"s{k}" for k in range(i, d)]]) + (f" - {i} * s{i - 1}" if i else "") + f" AS e{i}")
+    rank = each(lambda i: " + ".join(["t", *[f"CAST(d{j} {'>=' if j < i else '>'} d{i} AS INT)" for j in range(n) if j != i]]) + f" AS k{i}")
+    turn = each(lambda i: f"CASE WHEN k{i} < 0 THEN 1 WHEN k{i} > {d} THEN -1 ELSE 0 END AS m{i}")
+    way = lambda m: 1 + 2 * 0.5**n if m == 0 else 0.5**m + 0.5 ** (n - m)
+    alone = " + ".join(f"b{k} * b{m} * {way(abs(k - m))!r}" for k in range(n) for m in range(n))
+    corner = " UNION ALL ".join(f"SELECT {keep}, alone, b{k} AS w, " + ", ".join(f"CAST(r{i} + CASE WHEN k{i} <= {d - k} THEN {k} ELSE {k - n} END AS BIGINT) AS c{i}" for i in range(d)) + f" FROM {name}_b" for k in range(n))
+    out = [
+        f"{name}_s AS (SELECT {keep}, {scaled} FROM {source})",
+        f"{name}_e AS (SELECT {keep}, {lifted} FROM {name}_s)",
+        f"{name}_r AS (SELECT *, {each(lambda i: f'floor(e{i} / {n} + 0.5) AS r{i}')} FROM {name}_e)",
+        f"{name}_d AS (SELECT *, {each(lambda i: f'e{i} - r{i} * {n} AS d{i}')}, CAST({' + '.join(f'r{i}' for i in range(n))} AS INT) AS t FROM {name}_r)",
+        f"{name}_k AS (SELECT {keep}, {each(lambda i: f'e{i}, r{i}')}, {rank} FROM {name}_d)",
+        f"{name}_m AS (SELECT *, {turn} FROM {name}_k)",
+        f"{name}_n AS (SELECT {keep}, {each(lambda i: f'e{i}')}, {each(lambda i: f'k{i} + m{i} * {n} AS k{i}')}, {each(lambda i: f'(r{i} + m{i}) * {n} AS r{i}')} FROM {name}_m)",
+        f"{name}_v AS (SELECT *, list_reverse_sort([{each(lambda i: f'(e{i} - r{i}) / {n}')}]) AS v FROM {name}_n)",
+        f"{name}_w AS (SELECT *, 1 + v[{n}] - v[1] AS b0, {', '.join(f'v[{n - k}] - v[{n + 1 - k}] AS b{k}' for k in range(1, n))} FROM {name}_v)",
+        f"{name}_b AS MATERIALIZED (SELECT *, {alone} AS alone FROM {name}_w)",
+        f"{name}_c AS MATERIALIZED ({corner})",
+        f"{name}_splat AS MATERIALIZED (SELECT scene, {', '.join(keys)}, sum(w) AS n, sum(w * q0) AS v0, sum(w * q1) AS v1, sum(w * q2) AS v2 FROM {name}_c GROUP BY scene, {', '.join(keys)})",
+    ]
+    last, every = f"{name}_splat", [*keys, f"(-({' + '.join(keys)}))"]
+    for j in range(n):
+        lead = 1 if j == 0 else 0
+        window = f"(PARTITION BY scene, {', '.join(f'{every[i]} - {every[lead]}' for i in range(n) if i not in (j, lead))} ORDER BY {every[lead]})"
+        blurred = ", ".join(f"{c} + 0.5 * (CASE WHEN lag({every[lead]}) OVER w = {every[lead]} - 1 THEN lag({c}) OVER w ELSE 0.0 END + CASE WHEN lead({every[lead]}) OVER w = {every[lead]} + 1 THEN lead({c}) OVER w ELSE 0.0 END) AS {c}" for c in ("n", "v0", "v1", "v2"))
+        out.append(f"{name}_x{j} AS MATERIALIZED (SELECT scene, {', '.join(keys)}, {blurred} FROM {last} WINDOW w AS {window})")
+        last = f"{name}_x{j}"
+    out.append(f"{name}_y AS (SELECT scene, pidx, any_value(q0) AS q0, any_value(q1) AS q1, any_value(q2) AS q2, any_value(alone) AS alone, sum(w * n) - any_value(alone) AS rest, sum(w * v0) AS v0, sum(w * v1) AS v1, sum(w * v2) AS v2 FROM {name}_c JOIN {last} USING (scene, {', '.join(keys)}) GROUP BY scene, pidx)")
+    mean = ", ".join(f"CASE WHEN rest > 1e-6 THEN greatest(0.0, least(1.0, (v{c} - alone * q{c}) / rest)) ELSE 0.0 END AS m{c}" for c in range(3))
+    return [*out, f"{name} AS MATERIALIZED (SELECT scene, pidx, {mean} FROM {name}_y)"]
+
+
+_A6, _D3 = [f"a{i}" for i in range(6)], [f"d{i}" for i in range(3)]
+_Q0 = "q0 AS (SELECT *, p0 AS q0, p1 AS q1, p2 AS q2 FROM sl)"
+
+
+def _lattice_field_sql() -> str:
+    steps, last = [_Q0], "q0"
+    for k in (1, 2):
+        steps += [*_lattice_sql(f"a{k}", last, _A6), *_lattice_sql(f"s{k}", last, _D3)]
+        energy = ", ".join(f"ln(greatest(q.p{c}, 1e-6)) + 2.0 * coalesce(a.m{c}, 0) + 1.0 * coalesce(s.m{c}, 0) AS x{c}" for c in range(3))
+        steps.append(f"en{k} AS (SELECT q.*, {energy} FROM {last} q LEFT JOIN a{k} a USING (scene, pidx) LEFT JOIN s{k} s USING (scene, pidx))")
+        top = "greatest(x0, x1, x2)"
+        total = f"(exp(x0-{top}) + exp(x1-{top}) + exp(x2-{top}))"
+        steps.append(f"q{k} AS (SELECT scene, pidx, p0, p1, p2, {', '.join(_A6 + _D3)}, " + ", ".join(f"exp(x{c}-{top}) / {total} AS q{c}" for c in range(3)) + f" FROM en{k})")
+        last = f"q{k}"
+    return f"WITH {_slices_sql()}, {', '.join(steps)} SELECT scene, pidx, round(q0, 4) AS q0, round(q1, 4) AS q1, round(q2, 4) AS q2 FROM {last}"
+
+
 _BIT = lambda c: " + ".join(f"((((p_partkey >> {i}) & 1)) << {7 - i // 3})" for i in range(c, 24, 3))
 _LIN = lambda c: f"(CASE WHEN {c}/255.0 <= 0.04045 THEN {c}/255.0/12.92 ELSE pow(({c}/255.0 + 0.055)/1.055, 2.4) END)"
 _ROOT = lambda c: f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0/3) ELSE 7.787*{c} + 16.0/116 END)"
@@ -479,6 +553,9 @@ SQL = {
     "crf_gaussian_messages": f"WITH {_slices_sql()}, w AS (SELECT a.scene, a.pidx, b.p0, b.p1, b.p2, exp(-0.5*((a.d0-b.d0)*(a.d0-b.d0) + (a.d1-b.d1)*(a.d1-b.d1) + (a.d2-b.d2)*(a.d2-b.d2))) AS k FROM sl a JOIN sl b ON a.scene = b.scene AND a.pidx <> b.pidx) SELECT scene, pidx, round(sum(k*p0)/sum(k), 5) AS m0, round(sum(k*p1)/sum(k), 5) AS m1, round(sum(k*p2)/sum(k), 5) AS m2 FROM w GROUP BY scene, pidx",
     "crf_mean_field_2iter": _mean_field_sql("SELECT scene, pidx, round(q0, 4) AS q0, round(q1, 4) AS q1, round(q2, 4) AS q2 FROM {}"),
     "crf_map": _mean_field_sql("SELECT scene, pidx, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS label FROM {}"),
+    "crf_lattice_splat": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _D3))} SELECT scene, c0, c1, c2, round(n, 5) AS n, round(v0, 5) AS v0, round(v1, 5) AS v1, round(v2, 5) AS v2 FROM l_splat",
+    "crf_lattice_messages": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _A6))} SELECT scene, pidx, round(m0, 4) AS m0, round(m1, 4) AS m1, round(m2, 4) AS m2 FROM l",
+    "crf_lattice": _lattice_field_sql(),
     "supervoxel_grid": f"WITH pc AS ({_PC}) SELECT 0 AS scene, CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z, round(avg(r), 7) AS r FROM pc GROUP BY 2, 3, 4",
     "supervoxel_adjacency": f"WITH pc AS ({_PC}), v AS (SELECT DISTINCT CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k FROM pc) SELECT 0 AS scene, a.i, a.j, a.k, count(*) AS neighbours FROM v a JOIN v b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1 AND NOT (a.i = b.i AND a.j = b.j AND a.k = b.k) GROUP BY 2, 3, 4",
     "minmax_rescale": "SELECT p_partkey, round((p_retailprice - lo)/(hi - lo)*255.0, 4) AS scaled FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)",
@@ -492,7 +569,7 @@ QUERIES = {
         majority_class_distribution, taxonomy_last_wins, strict_label_lookup, depth_validity_filter, backproject_rigid, center_uncenter, rgb_to_lab, segment_id_codec, voxel_group_size_having,
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
-        crf_mean_field_2iter, crf_map, crf_grid, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, plane_fit, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay,
+        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, plane_fit, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay,
         config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }
