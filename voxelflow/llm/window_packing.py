@@ -46,7 +46,7 @@ SENTENCE, ELSEWHERE = 4, 48
 #: A run of tokens without sentence end longer than GAP may be cut every STEP tokens.
 GAP, STEP = 192, 64
 STRETCH = 1 << 19
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 #: Costs are whole numbers of this unit, a window costs 1 besides.
 _UNIT = 1 << 32
 #: Sentence marks, and what may follow them within the sentence.
@@ -69,17 +69,23 @@ def sentence_tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _tables[path]
 
 
-def cut_places(ids: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places inside a document where a window may end, ascending, with their penalties."""
-    ends, begins, alone = tables
-    places = np.flatnonzero((ends[ids[:-1]] & begins[ids[1:]]) | alone[ids[:-1]]) + 1
-    bounds = np.concatenate([[0], places, [len(ids)]])
+def cut_places(ids: np.ndarray, ends: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window may begin or end in the ids of documents that end at ``ends``, with
+    their penalties; both ascend from 0 to the last end."""
+    stops, begins, alone = tables
+    sentence = np.flatnonzero((stops[ids[:-1]] & begins[ids[1:]]) | alone[ids[:-1]]) + 1
+    bounds = np.union1d(np.r_[0, ends], sentence)
     wide = np.flatnonzero(np.diff(bounds) > GAP)
-    more = [np.arange(bounds[k] + STEP, bounds[k + 1], STEP) for k in wide.tolist()]
-    both = np.concatenate([places, *more])
-    penalty = np.concatenate([np.full(len(places), SENTENCE), np.full(len(both) - len(places), ELSEWHERE)])
-    order = np.argsort(both, kind="stable")
-    return both[order], penalty[order]
+    inside = [np.arange(bounds[k] + STEP, bounds[k + 1], STEP) for k in wide.tolist()]
+    # the last tokens rarely fill a window: they may be cut into powers of two
+    tail = len(ids) - np.arange(1, min(length, len(ids)))
+    fee = np.full(len(ids) + 1, -1, np.int64)
+    for more in (*inside, tail):
+        fee[more] = ELSEWHERE
+    fee[sentence] = SENTENCE
+    fee[ends], fee[0] = 0, 0
+    places = np.flatnonzero(fee >= 0)
+    return places, fee[places]
 
 
 def windows(places: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> tuple[list[int], int]:
@@ -87,29 +93,35 @@ def windows(places: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> tu
     places where windows begin and end, and their cost (padding and penalties). Neighbouring places
     stand no farther apart than ``length``."""
     n = len(places)
-    exact: dict[int, list[int]] = {}
-    for k in range(length.bit_length()):
-        if 1 << k > length:
-            break
+    to, since = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range((length - 1).bit_length()):  # a full window needs no padding anyway
         at = np.searchsorted(places, places - (1 << k))
-        for j in np.flatnonzero(places[at] == places - (1 << k)).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
-    p, fee = places.tolist(), (penalty.astype(np.int64)).tolist()
+        hit = np.flatnonzero(places[at] == places - (1 << k))
+        to.append(hit)
+        since.append(at[hit])
+    to, since = np.concatenate(to), np.concatenate(since)
+    order = np.argsort(to, kind="stable")
+    to, since, t = [*to[order].tolist(), n], since[order].tolist(), 0
+    p, fee = places.tolist(), (penalty.astype(np.int64) * _UNIT + 1).tolist()
     cost, level, back = [0] * n, [0] * n, [0] * n
-    level[0] = p[0] * _UNIT
-    queue = deque([0])
+    level[0], following = p[0] * _UNIT, to[0]
+    queue, full = deque([0]), length * _UNIT
     for j in range(1, n):
         here = p[j]
         while p[queue[0]] < here - length:
             queue.popleft()
         i = queue[0]
-        best = level[i] + (length - here) * _UNIT
-        for k in exact.get(j, ()):
+        here *= _UNIT
+        best = level[i] + full - here
+        while following == j:
+            k = since[t]
             if cost[k] < best:
                 best, i = cost[k], k
-        cost[j] = best = best + fee[j] * _UNIT + 1
+            t += 1
+            following = to[t]
+        cost[j] = best = best + fee[j]
         back[j] = i
-        level[j] = high = best + here * _UNIT
+        level[j] = high = best + here
         while queue and level[queue[-1]] >= high:
             queue.pop()
         queue.append(j)
@@ -147,19 +159,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def stretch_pieces(docs: list[tuple[int | None, np.ndarray]], tables, length: int = LENGTH) -> list[tuple]:
     """Pieces (document, start, length, crc32, tokens of the document, window, offset, ids) of consecutive documents."""
-    places, fees, starts, at = [np.array([0])], [np.array([0])], [], 0
-    for _, ids in docs:
-        inner, fee = cut_places(ids, tables)
-        starts.append(at)
-        at += len(ids)
-        places += [inner + starts[-1], np.array([at])]
-        fees += [fee, np.array([0])]
-    places, fees = np.concatenate(places), np.concatenate(fees)
-    # the last tokens of a stretch rarely fill a window: they may be cut into powers of two
-    tail = np.setdiff1d(at - np.arange(1, length), places)
-    places, fees = np.r_[places, tail[tail > 0]], np.r_[fees, np.full((tail > 0).sum(), ELSEWHERE)]
-    order = np.argsort(places, kind="stable")
-    places, fees = places[order], fees[order]
+    ends = np.cumsum([len(ids) for _, ids in docs])
+    starts = [0, *ends[:-1].tolist()]
+    places, fees = cut_places(np.concatenate([ids for _, ids in docs]), ends, tables, length)
     bounds = places[windows(places, fees, length)[0]].tolist()
     out, w = [], 0
     for (doc, ids), start in zip(docs, starts, strict=True):
