@@ -3,11 +3,11 @@
 Only the histogram of piece lengths (as many rows as a sequence has tokens, whatever the corpus)
 reaches the driver. The covering program "fewest sequences so that every length is packed as often
 as it occurs" is solved by multiplicative weights: lengths have prices, a knapsack over the prices
-finds the most valuable sequence around each length, lengths that get covered too fast grow
-cheaper. Its numbers are rounded up while pieces last, and the program is solved again for what
-rounding left. The few pieces after that are packed best-fit decreasing, again on counts. Pieces
-then look up their places: the r-th piece of a length has its place in the list of places for that
-length.
+finds the most valuable sequence around each length, the best of them are taken in whole numbers
+(rounded down to the pieces there are), and lengths that a round used up faster grow cheaper in the
+next, which solves the program for what is left. The few pieces that fill no sequence well are packed
+best-fit decreasing, again on counts. Pieces then look up their places: the r-th piece of a length
+has its place in the list of places for that length.
 
 Defined cases: a null or empty text is the closing token alone; the tokenizer's added tokens in a
 text are what the tokenizer makes of them; rows that repeat a doc_id are
@@ -33,17 +33,15 @@ from .common import materialize, table
 
 LENGTH = 2048
 END_ID = 0
-#: Rounds of the program and how sharply prices answer; how often it is solved again for what rounding left, and
-#: the share of empty places in a sequence that each such phase accepts.
-ROUNDS, STEP = 24, 0.1
-PHASES, EMPTY = 8, (0.0, 0.0, 0.001, 0.001, 0.002, 0.005)
+#: How sharply weights answer, and settings of the program in the order they are tried: how much long pieces
+#: are favoured, sequences taken in a round, and empty places that a sequence may have in turn.
+STEP = 0.1
+TRIES = [(0.3, 100, (0, 2, 8)), (0.3, 100, (0, 2)), (1.0, 100, (0, 2)), (0.1, 30, (0, 2)), (3.0, 30, (0, 2)), (0.0, 20, (0, 2)), (0.3, 50, (0, 1)), (0.1, 50, (0, 2, 16))]
 CHUNK = 1000
-_MEMO = 1_000_000
 #: Fixed value: how byte-level BPE splits a text before merging.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of these characters are split alike by every version of Unicode.
-_LATIN = re.compile("[\n -~¡-ɏ]+")
-_BLANKS = re.compile(r"\s (?:\s|\Z)")
+#: Texts of these characters are split alike by every version of Unicode.
+_LATIN = re.compile("[\n -~¡-ɏ]*")
 _loaded: dict = {}
 
 
@@ -70,8 +68,8 @@ def _merger(path: str):
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes. Byte-level BPE never merges across the blank before
-    a word, so the ids of " word" are remembered and a text's ids are those of its words in turn."""
+    """Token ids as little-endian 32-bit bytes. Texts of Latin letters go through the faster merger of
+    the same vocabulary, others and those that hold added tokens through the tokenizer itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,39 +77,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.words: dict[str, bytes] = {}
         self.merger = _merger(path)
-        probe = [" probing,", "Überprüfung's\n12", " été!!"]
+        probe = [" probing,", "Überprüfung's\n12", " été!!", "a  b   \n\n c", "I'll, we'd 'S x1234 --- "]
         if [self.merger.encode_ordinary(x) for x in probe] != [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]:
             self.merger = None
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Adds the ids of " word" for new words."""
-        plain = [x for x in words if _LATIN.fullmatch(x)] if self.merger else []
-        merge = self.merger.encode_ordinary if self.merger else None
-        self.words.update((x, array("I", merge(" " + x)).tobytes()) for x in plain)
-        rest = list(words.difference(plain)) if len(plain) < len(words) else []
-        self.words.update(zip(rest, self._ids([" " + x for x in rest]), strict=True))
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, one text after another."""
-        for start in range(0, len(texts), 256):
-            some = texts[start : start + 256]
-            if len(self.words) > _MEMO:
-                self.words.clear()
-            # white space on both sides of a blank is one piece with it; added tokens may hold blanks
-            parts = [None if _BLANKS.search(x) or self.special.search(x) else x.split(" ") for x in some]
-            heads = self._ids([x.pop(0) if x else text for x, text in zip(parts, some, strict=True)])
-            found = [list(map(self.words.get, x or ())) for x in parts]
-            new = {w for x, ids in zip(parts, found, strict=True) if None in ids for w, v in zip(x, ids, strict=True) if v is None}
-            self._learn(new)
-            for head, x, ids in zip(heads, parts, found, strict=True):
-                if None in ids:
-                    ids = [self.words[w] if v is None else v for w, v in zip(x, ids, strict=True)]
-                yield head + b"".join(ids)
+        for text in texts:
+            if self.merger and _LATIN.fullmatch(text) and not self.special.search(text):
+                yield array("I", self.merger.encode_ordinary(text)).tobytes()
+            else:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def _encoder(path: str) -> Encoder:
@@ -182,29 +159,36 @@ def configuration(first: int, choice: list[int], length: int) -> tuple[tuple[int
     return tuple(sorted(found.items(), reverse=True))
 
 
-def fractional(need: np.ndarray, length: int, rounds: int = ROUNDS, step: float = STEP, seed: int = 0) -> dict[tuple, float]:
-    """The configuration program by multiplicative weights: configurations and how many sequences
-    of each, so that every length is covered. In each round a knapsack over the prices finds the
-    best sequence around each length, and a length that the round has not covered by 1 / rounds of
-    its need gets as many as it lacks. Lengths covered ahead of time get cheaper, others dearer.
-    Prices start as shares of a sequence, which no price system beats by more than empty places."""
-    sizes = np.flatnonzero(need)[::-1]
-    share, used, found = np.arange(length + 1) / length, np.zeros(length + 1), {}
-    rng = np.random.default_rng(seed)
-    for t in range(1, rounds + 1):
-        ahead = np.where(need > 0, used / np.maximum(need, 1) * rounds - (t - 1), 0.0)  # in rounds
-        price = np.where(need > 0, share * np.exp(-step * np.clip(ahead, -4, 8) - 1e-3 * rng.random(length + 1)), 0.0)
-        choice = best_fill(price, length)[1].tolist()
-        quota = need * t / rounds
-        for k in sizes.tolist():
-            lacks = quota[k] - used[k]
-            if lacks > 1e-9:
-                key = configuration(k, choice, length)
-                copies = lacks / dict(key)[k]
-                found[key] = found.get(key, 0.0) + copies
-                for j, m in key:
-                    used[j] += m * copies
-    return found
+def rounds_of(left: np.ndarray, length: int, favour: float, batch: int, empty: tuple[int, ...], seed: int) -> list[tuple[dict[int, int], int]]:
+    """The configuration program by multiplicative weights, in whole sequences. Each round prices the
+    lengths, a knapsack over the prices finds the most valuable sequence around each, and from the
+    longest on up to ``batch`` of these sequences are taken as often as pieces last. A price is the
+    length's share of a sequence times its weight. Weights begin at 1 + favour * share, so that long
+    pieces are placed first and short ones are kept to fill up, and fall by what a round used of the
+    length. When no sequence has at most empty[k] places left, the program goes on with
+    empty[k + 1]. Takes its pieces from ``left``."""
+    share, rng = np.arange(length + 1) / length, np.random.default_rng(seed)
+    weight, plan, level = 1 + favour * share, [], 0
+    while left.any():
+        price = np.where(left > 0, share * weight * (1 - 1e-3 * rng.random(length + 1)), 0.0)
+        choice, before, taken = best_fill(price, length)[1].tolist(), left.copy(), 0
+        for k in np.flatnonzero(left)[::-1].tolist():
+            if taken == batch:
+                break
+            if left[k]:
+                key = [(j, min(m, int(left[j]))) for j, m in configuration(k, choice, length) if left[j]]
+                copies = min(int(left[j]) // m for j, m in key)
+                if length - sum(j * m for j, m in key) <= empty[level]:
+                    plan.append((dict(key), copies))
+                    taken += 1
+                    for j, m in key:
+                        left[j] -= m * copies
+        weight *= np.exp(-STEP * (before - left) / np.maximum(before, 1))
+        if not taken:
+            level += 1
+            if level == len(empty):
+                break
+    return plan
 
 
 def solve(counts: np.ndarray, length: int = LENGTH) -> list[tuple[dict[int, int], int]]:
@@ -214,30 +198,23 @@ def solve(counts: np.ndarray, length: int = LENGTH) -> list[tuple[dict[int, int]
 
 
 def planned(counts: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """``solve``, and how many of its entries come from the program. The program's numbers are
-    rounded up as long as pieces last, fullest sequences first, and what stays is a smaller program,
-    PHASES times at most; best-fit packs the rest."""
-    left = counts.astype(np.int64).copy()
-    plan: list[tuple[dict[int, int], int]] = []
-    if left[length:].sum():
-        plan.append(({length: 1}, int(left[length])))
-        left[length] = 0
-    for phase in range(PHASES):
-        if not left.sum():
-            break
-        empty = length * EMPTY[min(phase, len(EMPTY) - 1)]
-        found = fractional(left.astype(float), length, seed=phase)
-        waste = {key: length - sum(k * m for k, m in key) for key in found}
-        before = len(plan)
-        for key in sorted(found, key=lambda key: (waste[key], -found[key], key)):
-            copies = min(math.ceil(found[key] - 1e-9), *(int(left[k]) // m for k, m in key))
-            if copies and waste[key] <= empty:
-                plan.append((dict(key), copies))
-                for k, m in key:
-                    left[k] -= m * copies
-        if len(plan) == before and phase >= len(EMPTY) - 1:
+    """``solve``, and how many of its entries come from the program. The program is solved with one
+    setting of TRIES after another until the number of sequences is the least there can be, or
+    one in 100,000 more; the fewest count. What a setting leaves (pieces that fill no sequence well) is packed best-fit."""
+    full = [({length: 1}, int(counts[length]))] if counts[length] else []
+    rest = counts.astype(np.int64).copy()
+    rest[length] = 0
+    bound, best, least = -(-int((rest * np.arange(length + 1)).sum()) // length), None, None
+    for seed, (favour, batch, empty) in enumerate(TRIES):
+        left = rest.copy()
+        program = rounds_of(left, length, favour, batch, empty, seed)
+        plan = program + best_fit(left, length)
+        n = sum(copies for _, copies in plan)
+        if least is None or n < least:
+            best, least = (full + plan, len(full) + len(program)), n
+        if least <= bound + bound // 100_000:
             break
-    return plan + best_fit(left, length), len(plan)
+    return best
 
 
 def best_fit(counts: np.ndarray, length: int) -> list[tuple[dict[int, int], int]]:
