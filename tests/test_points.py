@@ -186,7 +186,7 @@ def test_stream_replay(spark, tmp_path):
         spark.createDataFrame([("w1", k, v), (f"x{k}", k, v)], "w string, ts int, v string").write.parquet(str(tmp_path / "in" / f"f{k}"))
     source = spark.readStream.schema("w string, ts int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     cache.keep_latest(source, ["w"], ["ts"], str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
-    assert {r["w"]: r["v"] for r in cache.state(spark, str(tmp_path / "state")).collect()} == {"w1": "c", "x0": "a", "x1": "b", "x2": "c"}
+    assert {r["w"]: r["v"] for r in cache.state(spark, str(tmp_path / "state"), source.schema).collect()} == {"w1": "c", "x0": "a", "x1": "b", "x2": "c"}
 
 
 @pytest.mark.parametrize("channels", [1, 3, 4])

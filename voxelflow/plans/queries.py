@@ -14,7 +14,7 @@ from voxelflow.operators import crf, decode, forest, lattice, rectify, scene, su
 from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds
 from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
-from voxelflow.streaming import cache
+from voxelflow.streaming import cache, service
 
 CLASSES = {"signup": 0, "purchase": 1, "click": 2, "view": 3, "error": -1}
 ENTRIES = [
@@ -286,12 +286,58 @@ def supervoxel_full(spark, sf_dir):
     return p.groupBy("vid").agg(F.count("*").alias("n")).join(degree, "vid", "left")
 
 
+def voxel_normals(spark, sf_dir):
+    """The normal of each voxel, from the moments of the voxels around it."""
+    v = supervoxel.voxel_grid(_scened(spark, sf_dir), 5.0, scatter=True)
+    found = supervoxel.voxel_normals(v, supervoxel.adjacency(v))
+    return found.select("scene", "i", "j", "k", *_rounded("nx", "ny", "nz"))
+
+
+def supervoxel_camera_grid(spark, sf_dir):
+    """The cells of a single camera, and each point's distance from its cell's mean depth."""
+    p = _scened(spark, sf_dir)
+    v = supervoxel.voxel_grid(p, 0.25, camera=True)
+    near = p.select("z", *supervoxel.cells(0.25, True)).join(v.select("i", "j", "k", F.col("z").alias("mz")), ["i", "j", "k"])
+    back = near.groupBy("i", "j", "k").agg(F.max(F.abs(F.col("z") - F.col("mz"))).alias("depth"))
+    # times n: the means themselves can lie just between two rounded values, and the order of adding then decides
+    return v.join(back, ["i", "j", "k"]).select("scene", "i", "j", "k", "n", *[F.round(F.col(c) * F.col("n"), 5).alias(c) for c in ("x", "y", "z", "depth")])
+
+
+def supervoxel_camera(spark, sf_dir):
+    """Supervoxels of a single camera's cloud: sizes, and points that no supervoxel holds (vid 0)."""
+    p, edges, _ = supervoxel.supervoxels(_scened(spark, sf_dir), 0.25, 1.0, camera=True)
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "vid")
+    return p.groupBy("vid").agg(F.count("*").alias("n")).join(degree, "vid", "left")
+
+
 def plane_fit(spark, sf_dir):
     p = _points(spark, sf_dir).withColumn("y", F.col("y") / 100)
     found = rectify.extrinsics(rectify.fit_plane(p, ["vid"], 0.05))
     return found.select("vid", "inliers", *_rounded("nx", "ny", "nz", "d", digits=4))
 
 
+#: Hypotheses of a plane in the queries, and how near a point must be; no distance between the given points is just that.
+_PLANES, _NEAR = 20, 0.0512345
+
+
+def _identified(spark, sf_dir) -> DataFrame:
+    """Points of ten scenes with ids, nearly level."""
+    p = _table(spark, sf_dir, "lineitem")
+    return p.select((F.col("l_suppkey") % 10).alias("vid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), (F.col("l_extendedprice") / 1000).alias("z"))
+
+
+def plane_hypotheses(spark, sf_dir):
+    """Planes through three drawn points of a scene, and how many of its points agree with each."""
+    p = _identified(spark, sf_dir)
+    found = rectify.scores(p, rectify.hypotheses(p, ["vid"], "idx", _PLANES), ["vid"], _NEAR)
+    return found.select("vid", "h", *_rounded("nx", "ny", "nz", "d", digits=6), "score")
+
+
+def plane_consensus(spark, sf_dir):
+    found = rectify.consensus_plane(_identified(spark, sf_dir), ["vid"], "idx", _NEAR, _PLANES)
+    return found.select("vid", *_rounded("nx", "ny", "nz", "d", digits=5), "inliers")
+
+
 def minmax_rescale(spark, sf_dir):
     s = decode.rescale(_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
     return s.select("p_partkey", F.round("scaled", 4).alias("scaled"))
@@ -303,15 +349,54 @@ def fused_latest_by_waypoint(spark, sf_dir):
     return state.select("vid", "event_id", "value", "fused_frame")
 
 
+def _run(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{what}-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+
+
 def stream_cache_replay(spark, sf_dir):
     """Events as a stream of files; the state after the last micro-batch."""
-    shared = shared_folder(spark)
-    run = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    run = _run(spark, "stream")
     batch = _table(spark, sf_dir, "events")
     source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     rows = source.select(F.col("user_id").alias("vid"), "ts", "event_id", "event_type", "value")
     cache.keep_latest(rows, ["vid"], ["ts", "event_id"], f"{run}/state", f"{run}/checkpoint").awaitTermination()
-    return cache.state(spark, f"{run}/state").select("vid", "event_id", "value")
+    return cache.state(spark, f"{run}/state", rows.schema).select("vid", "event_id", "value")
+
+
+def stream_cache_snapshots(spark, sf_dir):
+    """Events arriving in five batches, by the remainder of event_id; the cache as published after each."""
+    run, files = _run(spark, "stream"), 4
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("vid"), "ts", "event_id", F.col("event_type").alias("frame_id"), "value")
+    for k in range(5):  # one after another: a stream takes files in the order of their times
+        rows.where(F.col("event_id") % 5 == k).repartition(files).write.mode("append").parquet(f"{run}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{run}/in")
+    cache.keep_latest(source, ["vid"], ["ts", "event_id"], f"{run}/state", f"{run}/checkpoint", buckets=16, snapshots=f"{run}/published", kept_snapshots=None).awaitTermination()
+    found = spark.read.option("basePath", f"{run}/published").parquet(f"{run}/published")
+    return found.select(F.col("version").cast("int").alias("version"), "vid", "event_id", "value", "fused_frame")
+
+
+def _service_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(clouds, origins): a supplier is a waypoint, a line number an instance; suppliers in debt have no origin."""
+    p = _table(spark, sf_dir, "lineitem")
+    rows = p.select(
+        F.col("l_suppkey").alias("waypoint_id"), F.col("l_linenumber").cast("long").alias("instance_number"), (F.col("l_partkey") % 50).alias("vid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"),
+        (F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_orderkey") % 256).cast("int").alias("g"), ((F.col("l_partkey") + F.col("l_orderkey")) % 256).cast("int").alias("b"),
+    )
+    origins = _table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("waypoint_id"), (F.col("s_acctbal") / 1000).alias("ox"), F.lit(0.0).alias("oy"), F.lit(1.0).alias("oz"))
+    return rows, origins
+
+
+def request_outcomes(spark, sf_dir):
+    """Orders as a stream of requests: which are answered, with how many points, and why others are not."""
+    run = _run(spark, "requests")
+    rows, origins = _service_tables(spark, sf_dir)
+    schema = _table(spark, sf_dir, "orders").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/orders*.parquet")
+    instance = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 9)
+    requests = source.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 130).alias("waypoint_id"), instance.alias("instance_number"))
+    service.report_outcomes(requests, rows, origins, f"{run}/outcomes", f"{run}/checkpoint", min_points=5).awaitTermination()
+    return spark.read.parquet(f"{run}/outcomes")
 
 
 def config_overlay(spark, sf_dir):
@@ -330,7 +415,10 @@ def service_response_pack(spark, sf_dir):
 
 
 def label_counts(spark, sf_dir):
-    return taxonomy_counts(taxonomy(spark, ENTRIES))
+    """Names and labels of the taxonomy, and how many of its labels the events hold."""
+    entries = taxonomy(spark, ENTRIES)
+    met = _events(spark, sf_dir).select("label").distinct().join(F.broadcast(entries.select("label").distinct()), "label")  # a list of labels
+    return taxonomy_counts(entries).crossJoin(met.where("label >= 0").agg(F.count("*").alias("n_met")))  # one row each
 
 
 def label_report(spark, sf_dir):
@@ -510,6 +598,49 @@ def _lattice_field_sql() -> str:
     return f"WITH {_slices_sql()}, {', '.join(steps)} SELECT scene, pidx, round(q0, 4) AS q0, round(q1, 4) AS q1, round(q2, 4) AS q2 FROM {last}"
 
 
+def _normals_sql() -> str:
+    near = "abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1"
+    first = ", ".join(f"sum(b.n * (b.m{c} - a.m{c})) AS s{c}" for c in "xyz")
+    second = ", ".join(f"sum(b.{p} + b.n * (b.m{p[0]} - a.m{p[0]}) * (b.m{p[1]} - a.m{p[1]})) AS {p}" for p in _S)
+    return f"""WITH pc AS ({_PC}), cell AS (SELECT CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, x, y, z FROM pc),
+v AS (SELECT row_number() OVER () AS vid, i, j, k, {_STATS} FROM cell GROUP BY i, j, k),
+touch AS (SELECT a.vid AS s, b.vid AS d FROM v a JOIN v b ON {near}),
+two AS (SELECT DISTINCT a.s, b.d FROM touch a JOIN touch b ON a.d = b.s),
+sums AS (SELECT two.s AS vid, sum(b.n) AS n, {first}, {second}, any_value(a.mx) AS mx, any_value(a.my) AS my, any_value(a.mz) AS mz FROM two JOIN v a ON a.vid = two.s JOIN v b ON b.vid = two.d GROUP BY two.s),
+stats AS (SELECT vid, n, mx, my, mz, sx, sy, sz, {', '.join(f'{p} - s{p[0]} * s{p[1]} / n AS {p}' for p in _S)} FROM sums), {_EIGEN}, {_vector('va', 'l0')},
+o AS (SELECT eig.*, va.x AS vx, va.y AS vy, va.z AS vz, va.x*(mx+sx/n) + va.y*(my+sy/n) + va.z*(mz+sz/n) > 0 AS away, n >= 3 AND l1 - l0 > 1e-6 * (l0+l1+l2) AS surface FROM eig JOIN va USING (vid))
+SELECT 0 AS scene, i, j, k, {', '.join(f'CASE WHEN surface THEN round(CASE WHEN away THEN -v{c} ELSE v{c} END, 3) END AS n{c}' for c in 'xyz')} FROM o JOIN v USING (vid)"""
+
+
+def _consensus_sql(final: str) -> str:
+    import math
+
+    steps = f"""pc AS (SELECT l_suppkey % 10 AS vid, l_orderkey * 10 + l_linenumber AS idx, l_quantity AS x, l_discount AS y, l_extendedprice / 1000 AS z FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY md5('0:' || CAST(idx AS VARCHAR)), idx) - 1 AS k FROM pc QUALIFY k < {3 * _PLANES}),
+t AS (SELECT vid, CAST(k // 3 AS INT) AS h, {', '.join(f'max(CASE WHEN k % 3 = {i} THEN {c} END) AS {p}{c}' for i, p in enumerate('abc') for c in 'xyz')} FROM k GROUP BY vid, k // 3 HAVING count(*) = 3),
+n AS (SELECT *, (by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS u, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS v, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS w FROM (SELECT * RENAME (by AS by_) FROM t)),
+m AS (SELECT *, sqrt(u*u + v*v + w*w) AS size, CASE WHEN v > 0 THEN -1.0 ELSE 1.0 END / sqrt(u*u + v*v + w*w) AS up FROM n WHERE sqrt(u*u + v*v + w*w) > 1e-12),
+planes AS MATERIALIZED (SELECT vid, h, u*up AS nx, v*up AS ny, w*up AS nz, -(u*up*ax + v*up*ay + w*up*az) AS d FROM m WHERE abs(v*up) >= {math.cos(0.5)!r}),
+hits AS (SELECT vid, h, count(*) AS score FROM pc JOIN planes USING (vid) WHERE abs(nx*x + ny*y + nz*z + d) <= {_NEAR} GROUP BY vid, h),
+scored AS MATERIALIZED (SELECT planes.*, coalesce(score, 0) AS score FROM planes LEFT JOIN hits USING (vid, h)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY vid ORDER BY score DESC, h) = 1),
+near AS (SELECT pc.* FROM pc JOIN best USING (vid) WHERE abs(nx*x + ny*y + nz*z + d) <= {_NEAR}),
+stats AS (SELECT vid, {_STATS} FROM near GROUP BY vid HAVING count(*) >= 3), {_EIGEN}, {_vector('va', 'l0')},
+fit AS (SELECT vid, va.x * s AS nx, va.y * s AS ny, va.z * s AS nz, -s * (va.x*mx + va.y*my + va.z*mz) AS d FROM (SELECT *, CASE WHEN y > 0 THEN -1.0 ELSE 1.0 END AS s FROM va) va JOIN eig USING (vid))"""
+    return f"WITH {steps} {final}"
+
+
+def _outcomes_sql() -> str:
+    return """WITH q AS (SELECT o_orderkey AS request_id, o_custkey % 130 AS waypoint_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 9 END AS instance_number FROM orders),
+p AS (SELECT l_suppkey AS w, CAST(l_linenumber AS BIGINT) AS i, l_partkey % 50 AS vid FROM lineitem),
+v AS (SELECT w, NULL AS i, vid, count(*) AS n FROM p GROUP BY w, vid UNION ALL SELECT w, i, vid, count(*) AS n FROM p GROUP BY w, i, vid),
+s AS (SELECT w, i, CAST(sum(CASE WHEN n >= 5 THEN n ELSE 0 END) AS BIGINT) AS n_points FROM v GROUP BY w, i),
+o AS (SELECT s_suppkey AS w FROM supplier WHERE s_acctbal >= 0),
+a AS (SELECT q.*, CASE WHEN s.w IS NULL THEN 'no cloud' WHEN o.w IS NULL THEN 'no origin' WHEN n_points = 0 THEN 'no supervoxel' ELSE 'ok' END AS status, n_points
+  FROM q LEFT JOIN s ON s.w = q.waypoint_id AND s.i IS NOT DISTINCT FROM q.instance_number LEFT JOIN o ON o.w = q.waypoint_id)
+SELECT request_id, waypoint_id, instance_number, status, CASE WHEN status = 'ok' THEN n_points ELSE 0 END AS n_points FROM a"""
+
+
 _BIT = lambda c: " + ".join(f"((((p_partkey >> {i}) & 1)) << {7 - i // 3})" for i in range(c, 24, 3))
 _LIN = lambda c: f"(CASE WHEN {c}/255.0 <= 0.04045 THEN {c}/255.0/12.92 ELSE pow(({c}/255.0 + 0.055)/1.055, 2.4) END)"
 _ROOT = lambda c: f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0/3) ELSE 7.787*{c} + 16.0/116 END)"
@@ -517,7 +648,7 @@ _ROOT = lambda c: f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0/3) ELSE 7.787*{c
 _LABELLED = "SELECT CAST(l_linenumber % 2 AS INT) AS scene_id, l_suppkey AS vid, l_extendedprice / 1000 AS z, l_partkey, CAST(l_orderkey % 4 - 1 AS INT) AS label FROM lineitem WHERE l_partkey % 7 <> 0"
 
 SQL = {
-    "label_counts": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT count(DISTINCT name) AS n_names, count(DISTINCT label) FILTER (label >= 0) AS n_labels FROM t",
+    "label_counts": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}) SELECT count(DISTINCT name) AS n_names, count(DISTINCT label) FILTER (label >= 0) AS n_labels, (SELECT count(DISTINCT {_LABEL}) FROM events WHERE {_LABEL} >= 0) AS n_met FROM t",
     "label_report": f"WITH t(ord, name, label, r, g, b) AS (VALUES {_ENTRIES}), u AS (SELECT label, arg_max(name, ord) AS name FROM t GROUP BY label), {_slices_sql()}, f AS (SELECT scene, unnest([0, 1, 2]) AS label, unnest([avg(p0), avg(p1), avg(p2)]) AS freq FROM sl GROUP BY scene) SELECT scene, name, round(freq, 6) AS freq FROM f LEFT JOIN u USING (label)",
     "training_scan": f"WITH pc AS ({_LABELLED}), big AS (SELECT scene_id, vid, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(CASE WHEN l_partkey % 256 < 17 THEN 1.0 ELSE 0.0 END), 6) AS h0 FROM pc GROUP BY 1, 2 HAVING count(*) >= 200), c AS (SELECT scene_id, vid, label, count(*) AS k FROM pc WHERE label >= 0 GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY scene_id, vid ORDER BY k DESC, label) AS o FROM c) SELECT scene_id, vid, n, label, mean_z, h0 FROM big JOIN m USING (scene_id, vid) WHERE o = 1",
     "valid_point_totals": f"WITH pc AS ({_LABELLED}), big AS (SELECT scene_id, vid, count(*) AS n FROM pc GROUP BY 1, 2 HAVING count(*) >= 250) SELECT scene_id, CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_voxels FROM big GROUP BY 1",
@@ -558,9 +689,15 @@ SQL = {
     "crf_lattice": _lattice_field_sql(),
     "supervoxel_grid": f"WITH pc AS ({_PC}) SELECT 0 AS scene, CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z, round(avg(r), 7) AS r FROM pc GROUP BY 2, 3, 4",
     "supervoxel_adjacency": f"WITH pc AS ({_PC}), v AS (SELECT DISTINCT CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k FROM pc) SELECT 0 AS scene, a.i, a.j, a.k, count(*) AS neighbours FROM v a JOIN v b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1 AND NOT (a.i = b.i AND a.j = b.j AND a.k = b.k) GROUP BY 2, 3, 4",
+    "plane_hypotheses": _consensus_sql("SELECT vid, h, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(d, 6) AS d, score FROM scored"),
+    "plane_consensus": _consensus_sql("SELECT vid, round(nx, 5) AS nx, round(ny, 5) AS ny, round(nz, 5) AS nz, round(d, 5) AS d, count(*) AS inliers FROM fit JOIN pc USING (vid) WHERE abs(nx*x + ny*y + nz*z + d) <= " + str(_NEAR) + " GROUP BY vid, nx, ny, nz, d"),
+    "voxel_normals": _normals_sql(),
+    "supervoxel_camera_grid": f"WITH pc AS ({_PC}), c AS (SELECT CAST(floor(x / z / 0.25) AS BIGINT) AS i, CAST(floor(y / z / 0.25) AS BIGINT) AS j, CAST(floor(ln(z) / 0.25) AS BIGINT) AS k, x, y, z, avg(z) OVER (PARTITION BY floor(x / z / 0.25), floor(y / z / 0.25), floor(ln(z) / 0.25)) AS mz FROM pc) SELECT 0 AS scene, i, j, k, count(*) AS n, round(avg(x) * count(*), 5) AS x, round(avg(y) * count(*), 5) AS y, round(avg(z) * count(*), 5) AS z, round(max(abs(z - mz)) * count(*), 5) AS depth FROM c GROUP BY 2, 3, 4",
     "minmax_rescale": "SELECT p_partkey, round((p_retailprice - lo)/(hi - lo)*255.0, 4) AS scaled FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)",
     "fused_latest_by_waypoint": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, first_value(event_type) OVER (ORDER BY ts DESC, event_id DESC) AS f FROM events) SELECT user_id AS vid, event_id, value, f AS fused_frame FROM r WHERE k = 1",
     "stream_cache_replay": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id AS vid, event_id, value FROM r WHERE k = 1",
+    "stream_cache_snapshots": "WITH r AS (SELECT b.k AS version, e.*, row_number() OVER (PARTITION BY b.k, user_id ORDER BY ts DESC, event_id DESC) AS o, first_value(event_type) OVER (PARTITION BY b.k ORDER BY ts DESC, event_id DESC) AS f FROM events e JOIN range(5) b(k) ON event_id % 5 <= b.k) SELECT CAST(version AS INT) AS version, user_id AS vid, event_id, value, f AS fused_frame FROM r WHERE o = 1",
+    "request_outcomes": _outcomes_sql(),
     "config_overlay": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CAST(1 AS BIGINT) AS mode FROM events",
 }
 QUERIES = {
@@ -569,7 +706,7 @@ QUERIES = {
         majority_class_distribution, taxonomy_last_wins, strict_label_lookup, depth_validity_filter, backproject_rigid, center_uncenter, rgb_to_lab, segment_id_codec, voxel_group_size_having,
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
-        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, plane_fit, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay,
+        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes,
         config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }
