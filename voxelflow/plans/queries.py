@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
-from voxelflow.operators import crf, decode, forest, lattice, rectify, scene, supervoxel, voxels
+from voxelflow.operators import crf, decode, forest, lattice, rectify, scan, scene, supervoxel, voxels
 from voxelflow.operators.lineage import shared_folder
-from voxelflow.sources import clouds
+from voxelflow.sources import clouds, files
 from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
 from voxelflow.streaming import cache, service
 
@@ -399,6 +399,28 @@ def request_outcomes(spark, sf_dir):
     return spark.read.parquet(f"{run}/outcomes")
 
 
+_WIDTH, _HEIGHT = 40, 30
+
+
+def id_image_round_trip(spark, sf_dir):
+    """Supervoxel-id images of eight scenes, written as PNG files from tasks and read back."""
+    path = f"{_run(spark, 'images')}/voxel"
+    p = _table(spark, sf_dir, "lineitem")
+    members = p.groupBy((F.col("l_suppkey") % 8).cast("string").alias("scene_id"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % (_WIDTH * _HEIGHT)).alias("idx")).agg(F.max("l_partkey").cast("int").alias("vid"))
+    grid = members.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_WIDTH * _HEIGHT - 1).cast("long"))).alias("idx"), F.lit(_WIDTH).alias("width"), F.lit(_HEIGHT).alias("height"))
+    files.write_images(files.id_images(grid, members), path)
+    r, g_, b = (F.get("values", F.lit(i)) for i in range(3))
+    found = files.read_images(spark, path).select("scene_id", "idx", codec.rgb_to_segment_id(r, g_, b).alias("vid"))
+    return found.where("vid > 0")
+
+
+def scan_report(spark, sf_dir):
+    """Which scenes can be scanned: customers as the list, orders, events and labels as files of three kinds."""
+    t = lambda name, c, kind: _table(spark, sf_dir, name).select(F.col(c).alias("scene_id"), F.lit(kind).alias("kind"))
+    found = t("orders", "o_custkey", "depth").union(t("events", "user_id", "color")).union(t("labels", "doc_id", "label"))
+    return scan.report(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scene_id")), found, ["depth", "color", "label"])
+
+
 def config_overlay(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("m"))
     over = F.map_from_arrays(F.array(F.lit("mode"), F.lit("k")), F.array(F.lit(1).cast("long"), F.when(F.col("event_id") % 2 == 0, F.col("event_id"))))
@@ -616,11 +638,11 @@ def _consensus_sql(final: str) -> str:
     import math
 
     steps = f"""pc AS (SELECT l_suppkey % 10 AS vid, l_orderkey * 10 + l_linenumber AS idx, l_quantity AS x, l_discount AS y, l_extendedprice / 1000 AS z FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY md5('0:' || CAST(idx AS VARCHAR)), idx) - 1 AS k FROM pc QUALIFY k < {3 * _PLANES}),
-t AS (SELECT vid, CAST(k // 3 AS INT) AS h, {', '.join(f'max(CASE WHEN k % 3 = {i} THEN {c} END) AS {p}{c}' for i, p in enumerate('abc') for c in 'xyz')} FROM k GROUP BY vid, k // 3 HAVING count(*) = 3),
-n AS (SELECT *, (by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS u, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS v, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS w FROM (SELECT * RENAME (by AS by_) FROM t)),
+k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY md5('0:' || CAST(idx AS VARCHAR)), idx, x, y, z) - 1 AS k FROM pc QUALIFY k < {3 * _PLANES}),
+t AS (SELECT vid, CAST(k // 3 AS INT) AS h, {', '.join(f'max(CASE WHEN k % 3 = {i} THEN {c} END) AS {p}_{c}' for i, p in enumerate('abc') for c in 'xyz')} FROM k GROUP BY vid, k // 3 HAVING count(*) = 3),
+n AS (SELECT *, (b_y-a_y)*(c_z-a_z) - (b_z-a_z)*(c_y-a_y) AS u, (b_z-a_z)*(c_x-a_x) - (b_x-a_x)*(c_z-a_z) AS v, (b_x-a_x)*(c_y-a_y) - (b_y-a_y)*(c_x-a_x) AS w FROM t),
 m AS (SELECT *, sqrt(u*u + v*v + w*w) AS size, CASE WHEN v > 0 THEN -1.0 ELSE 1.0 END / sqrt(u*u + v*v + w*w) AS up FROM n WHERE sqrt(u*u + v*v + w*w) > 1e-12),
-planes AS MATERIALIZED (SELECT vid, h, u*up AS nx, v*up AS ny, w*up AS nz, -(u*up*ax + v*up*ay + w*up*az) AS d FROM m WHERE abs(v*up) >= {math.cos(0.5)!r}),
+planes AS MATERIALIZED (SELECT vid, h, u*up AS nx, v*up AS ny, w*up AS nz, -(u*up*a_x + v*up*a_y + w*up*a_z) AS d FROM m WHERE abs(v*up) >= {math.cos(0.5)!r}),
 hits AS (SELECT vid, h, count(*) AS score FROM pc JOIN planes USING (vid) WHERE abs(nx*x + ny*y + nz*z + d) <= {_NEAR} GROUP BY vid, h),
 scored AS MATERIALIZED (SELECT planes.*, coalesce(score, 0) AS score FROM planes LEFT JOIN hits USING (vid, h)),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY vid ORDER BY score DESC, h) = 1),
@@ -698,6 +720,8 @@ SQL = {
     "stream_cache_replay": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id AS vid, event_id, value FROM r WHERE k = 1",
     "stream_cache_snapshots": "WITH r AS (SELECT b.k AS version, e.*, row_number() OVER (PARTITION BY b.k, user_id ORDER BY ts DESC, event_id DESC) AS o, first_value(event_type) OVER (PARTITION BY b.k ORDER BY ts DESC, event_id DESC) AS f FROM events e JOIN range(5) b(k) ON event_id % 5 <= b.k) SELECT CAST(version AS INT) AS version, user_id AS vid, event_id, value, f AS fused_frame FROM r WHERE o = 1",
     "request_outcomes": _outcomes_sql(),
+    "id_image_round_trip": f"SELECT CAST(l_suppkey % 8 AS VARCHAR) AS scene_id, (l_orderkey * 7 + l_linenumber) % {_WIDTH * _HEIGHT} AS idx, CAST(max(l_partkey) AS INT) AS vid FROM lineitem GROUP BY 1, 2",
+    "scan_report": "WITH f AS (SELECT o_custkey AS scene_id, 'depth' AS kind FROM orders UNION SELECT user_id, 'color' FROM events UNION SELECT doc_id, 'label' FROM labels), h AS (SELECT scene_id, bool_or(kind = 'depth') AS d, bool_or(kind = 'color') AS c, bool_or(kind = 'label') AS l FROM f GROUP BY scene_id), j AS (SELECT coalesce(c_custkey, scene_id) AS scene_id, c_custkey IS NOT NULL AS listed, coalesce(d, false) AS d, coalesce(c, false) AS c, coalesce(l, false) AS l FROM customer FULL JOIN h ON scene_id = c_custkey) SELECT scene_id, CASE WHEN NOT listed THEN 'unlisted' WHEN d AND c AND l THEN 'complete' ELSE 'incomplete' END AS status, concat_ws(',', CASE WHEN NOT d THEN 'depth' END, CASE WHEN NOT c THEN 'color' END, CASE WHEN NOT l THEN 'label' END) AS missing FROM j",
     "config_overlay": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CAST(1 AS BIGINT) AS mode FROM events",
 }
 QUERIES = {
@@ -706,7 +730,7 @@ QUERIES = {
         majority_class_distribution, taxonomy_last_wins, strict_label_lookup, depth_validity_filter, backproject_rigid, center_uncenter, rgb_to_lab, segment_id_codec, voxel_group_size_having,
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
-        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes,
+        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes, id_image_round_trip, scan_report,
         config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }

@@ -63,11 +63,11 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("scene_id"), "content")
 
 
-def pixels(spark: SparkSession, path: str) -> DataFrame:
+def pixels(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """scene_id, idx, width, height, values (array<int>) of PNG files; one file is one task's row."""
 
     def of(batches: Iterator[pd.DataFrame]):
@@ -82,26 +82,26 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(of, "scene_id string, idx long, width int, height int, values array<int>")
 
 
-def _rgb(spark: SparkSession, path: str) -> DataFrame:
+def _rgb(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return pixels(spark, path).select("scene_id", "idx", "width", "height", *[F.get("values", F.lit(i)).alias(c) for i, c in enumerate("rgb")])
 
 
-def load_color(spark: SparkSession, path: str) -> DataFrame:
+def load_color(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Colours as Lab in the slots b (L), g (a), r (b)."""
     rows = _rgb(spark, path)
     light, a, b = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     return rows.select("scene_id", "idx", "width", "height", b.alias("r"), a.alias("g"), light.alias("b"))
 
 
-def load_depth(spark: SparkSession, path: str) -> DataFrame:
+def load_depth(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return pixels(spark, path).select("scene_id", "idx", "width", "height", F.get("values", F.lit(0)).alias("d"))
 
 
-def load_label(spark: SparkSession, path: str, taxonomy: DataFrame) -> DataFrame:
+def load_label(spark: SparkSession, path: str | list[str], taxonomy: DataFrame) -> DataFrame:
     return colors_to_labels(_rgb(spark, path), taxonomy).select("scene_id", "idx", "label")
 
 
-def load_voxel(spark: SparkSession, path: str) -> DataFrame:
+def load_voxel(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Supervoxel ids; 0 means none."""
     return _rgb(spark, path).select("scene_id", "idx", rgb_to_segment_id(F.col("r"), F.col("g"), F.col("b")).alias("vid"))
 
@@ -144,6 +144,12 @@ def decode_matrix(data: bytes) -> np.ndarray:
     return np.frombuffer(data, _ELEMENTS[kind % 8], cols * rows * channels, 20).reshape(rows, cols, channels)
 
 
+def decode_matrix_rows(head: bytes, data: bytes, rows: int) -> np.ndarray:
+    """[row, column, channel] of some rows of a matrix, from its header and their bytes."""
+    cols, _, channels, _, kind = struct.unpack("=5i", head)
+    return np.frombuffer(data, _ELEMENTS[kind % 8], cols * rows * channels).reshape(rows, cols, channels)
+
+
 def load_matrix(spark: SparkSession, path: str) -> DataFrame:
     """scene_id, idx, values (array<double>) of raw matrices."""
 
