@@ -118,6 +118,18 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): (node, component), component the smallest
     node. Alternating large-star and small-star rounds, each materialized; a node without edges

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialize, row_key, table
+from .common import free_names, materialize, row_key, table, WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -141,12 +141,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resample(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each row as often as the mix takes it, with its own columns. Rows
     are told apart by all their columns; fully equal ones come as often as they are taken together."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    each = mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
-    each = materialize(each.where("_copies > 0").select(F.col("doc_id").alias("_row"), "_copies", "_n"), "copies")
+    key, row, copies, n, copy = free_names(docs, "_key", "_row", "_copies", "_n", "_copy")
+    keyed = docs.withColumn(key, row_key(docs))
+    each = mix(keyed.select(F.col(key).alias("doc_id"), "source", "text")).groupBy("doc_id").agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(n))
+    each = materialize(each.where(F.col(copies) > 0).select(F.col("doc_id").alias(row), copies, n), "copies")
 
     def of(rows: DataFrame) -> DataFrame:
-        return keyed.join(rows, F.col("_key") == F.col("_row")).drop("_key", "_row", "_n")
+        return keyed.join(rows, F.col(key) == F.col(row)).drop(key, row, n)
 
-    both = of(each.where("_n = 1")).union(of(each.where("_n > 1")).dropDuplicates())
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    both = of(each.where(F.col(n) == 1)).union(of(each.where(F.col(n) > 1)).dropDuplicates())
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
