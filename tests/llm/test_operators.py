@@ -532,3 +532,65 @@ def test_embeddings_double(spark):
     frame = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(v)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect()}
     assert got == {k: (3, k % 4) for k in range(16)}
+
+
+def linked(v, threshold=0.9):
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("kind", ["ball", "chain", "two balls"])
+def test_embeddings_dense(spark, monkeypatch, kind):
+    """Crowded regions, in buckets of several blocks: within one ball, wider than a ball, two balls that touch."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "CROWD", 16)
+    rng, d = np.random.default_rng(8), 32
+    axes = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    noise = rng.standard_normal((600, d)) * 0.002
+    if kind == "ball":
+        v = axes[0] + noise
+    elif kind == "chain":  # an arc of 80 degrees
+        angle = rng.uniform(0, 1.4, 600)
+        v = np.cos(angle)[:, None] * axes[0] + np.sin(angle)[:, None] * axes[1] + noise
+    else:
+        far = math.acos(0.9) * 0.98
+        v = np.where(rng.random(600)[:, None] < 0.5, axes[0], math.cos(far) * axes[0] + math.sin(far) * axes[1]) + noise
+    v = np.concatenate([v, v[:20], rng.standard_normal((50, d))])
+    near = linked(v)
+    group = least(range(len(v)), roots(len(v), zip(*np.nonzero(near), strict=True)))
+    frame = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(v.astype(np.float32))], "vec_id long, embedding array<float>").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect()}
+    assert [got[k][1] for k in range(len(v))] == [group[k] for k in range(len(v))]
+    counts = np.array([got[k][0] for k in range(len(v))])
+    assert (counts <= near.sum(1)).all() and counts.sum() >= 0.998 * near.sum()
+
+
+def test_embedding_estimates():
+    """Unbiased, and within the bound."""
+    rng, d = np.random.default_rng(9), 64
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 20000, d)))
+    y = 0.8 * x + 0.6 * y
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    (code, _, a), (_, planes, b) = embeddings.codes(x), embeddings.codes(y)
+    guess, error = embeddings.estimates(code, a[:, 0], planes, b, d)
+    off = guess - (x * y).sum(1)
+    assert abs(off.mean()) < 0.003 and (np.abs(off) <= error).mean() > 0.9995
+    assert error.max() < 0.6 and code.shape == (20000, 1) and planes.shape == (20000, embeddings.PLANES, 1)
+
+
+def test_embedding_pairs_of_runs():
+    """Against a double loop; each pair of a block with itself once, of two blocks from left to right."""
+    rng = np.random.default_rng(10)
+    run = np.sort(rng.integers(0, 40, 200))
+    ball, kind = rng.integers(0, 6, 200), rng.integers(0, 3, 200)
+    left, right = kind != 1, kind != 2
+    got = sorted((int(i), int(j)) for a, b in embeddings.run_pairs(run, left, right, ball, 50) for i, j in zip(a, b, strict=True))
+    want = []
+    for i in range(200):
+        for j in range(i + 1, 200):
+            if run[i] == run[j] and ball[i] != ball[j] and (left[i] and right[j] or left[j] and right[i]):
+                want.append((i, j) if left[i] and right[j] else (j, i))
+    assert got == sorted(want)
