@@ -321,6 +321,32 @@ def test_html_names(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, rows)).collect()} == {k: "t w" for k in range(len(rows))}
 
 
+def test_html_elements_and_hints(spark):
+    """Names count on every element, hidden parts go, words that also name parts of an article are hints."""
+    page = "<article><h1>t</h1><p>w</p>{}<p>end</p></article>"
+    lost = ["<p class='advertisement'>Buy now</p>", "<ul><li class='comment'>reader says</li></ul>", "<div style='color:red; display: none'>x</div>", "<p hidden>x</p>", "<p class=ad>x<b>y</b>", "<div aria-hidden='true'><p>x</p></div>", "<ul><li class='ad'>x<li class='promo'>y</ul>", "<dl><dt id=cookie-notice>x<dd class=newsletter>y</dl>"]
+    kept = {"<div class='alert'><p>Storm alert body</p></div>": "Storm alert body", "<section class='search'><p>Binary search halves the range.</p></section>": "Binary search halves the range.", "<ul><li class='ad'>x<li>y</ul>": "y", "<p class='ad'>x<p>y</p>": "y", "<p data-hidden='x'>y</p>": "y", "<p class='lead'>y</p>": "y"}
+    rows = [(k, f"http://e{k}.x/", page.format(x)) for k, x in enumerate([*lost, *kept])]
+    want = ["t w end"] * len(lost) + [f"t w {x} end" for x in kept.values()]
+    assert [r["text"] for r in html_text.extract(pages_of(spark, rows)).orderBy("page_id").collect()] == want
+    # the evidence decides about a hint: an alert on many pages of the host goes
+    same = " ".join(f"storm{k}" for k in range(20))
+    alerts = [(k, "http://a.x/", f"<article><p>{own(k)}</p><div class='alert'><p>{same if k < 5 else own(100 + k)}</p></div></article>") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages_of(spark, alerts)).collect()}
+    assert got == {k: own(k) if k < 5 else f"{own(k)} {own(100 + k)}" for k in range(8)}
+
+
+def test_html_layout(spark):
+    """Repeated pages count once wherever their rows lie; any cut into blocks gives the same texts."""
+    same = " ".join(f"notice{k}" for k in range(40))
+    plain = [(k, "http://h.x/", f"<body><div>{same}</div><div>{own(k)}</div></body>") for k in (0, 0, 0, 1, 2, 3, 4, 5)]
+    alone = [(20, "http://one.x/", f"<body><div>{same}</div><div>{own(20)}</div></body>")] * 3
+    want = sorted([(k, own(k)) for k, *_ in plain] + [(20, f"{same} {own(20)}")] * 3)
+    for parts, chars in ((1, 10**7), (1, 10), (3, 10), (8, 10**7), (8, 500)):
+        got = html_text.extract(pages_of(spark, plain + alone).repartition(parts), block_chars=chars).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == want
+
+
 def test_pii_classifier_decides(spark):
     """Matches that fail their check are candidates and refused, well-supported looser ones are added."""
     good = [f"mail a{k}@b.com, login from 10.0.0.{k}, card 4111 1111 1111 1111, call +1 212 555 01{k:02}" for k in range(40)]

@@ -26,7 +26,7 @@ What becomes of a repeat depends on its zone:
 * chrome goes though it is unique.
 
 Defined cases: null and empty html give empty text; pages of no or equal url are separate pages, a
-null url is a host; repeated rows count once as evidence when they lie in one block; an article
+null url is a host; equal pages of a host count once as evidence, wherever their rows lie; an article
 inside a wrapper with a chrome name is an article; broken or cut markup is read as far as it goes;
 columns beside page_id, url and html are not read.
 """
@@ -72,6 +72,8 @@ _CHROME_WORDS = set(
     "comment comments reply replies respond disqus discussion newsletter subscribe subscription signup login search toolbar pagination pager skip copyright disclaimer".split()
 )
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
+#: Of these, words that also name parts of an article: alone they are a hint, and evidence decides.
+_EITHER_WORDS = set("alert copyright disclaimer discussion header masthead notification promotion recommended replies reply respond search toolbar".split())
 #: Parts of names that add nothing to a chrome word beside them.
 _NEUTRAL_WORDS = set("area bar block body bottom box btn button buttons col column container cta form global group icon icons inner item items left link links list main panel primary right row section site text top widget wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -79,18 +81,23 @@ _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
 _BODY = re.compile(r"""\bitemprop\s*=\s*["']?articleBody""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|\Z)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s>"']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+#: Elements whose end is understood where one of the same set begins.
+_SIBLINGS = [{"li"}, {"dt", "dd"}, {"td", "th"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}]
 
 
 def _named(names: str, within: int) -> int:
-    """What class and id names say: CHROME if a whole name is made of chrome and neutral words,
-    HINTED if a name holds a chrome word among others."""
+    """What class and id names say: CHROME if a whole name is made of chrome and neutral words, HINTED
+    if a name holds a chrome word among others or is made of words that also name parts of an article."""
     found = within
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         chrome = [w for w in words if w in _CHROME_WORDS]
         if chrome and all(w in _CHROME_WORDS or w in _NEUTRAL_WORDS for w in words):
-            if not (within == ARTICLE and set(chrome) <= {"header", "masthead"}):
+            if not set(chrome) <= _EITHER_WORDS:
                 return CHROME
+            if not (within == ARTICLE and set(chrome) <= {"header", "masthead"}):
+                found = HINTED
         elif chrome:
             found = HINTED
     return found
@@ -102,7 +109,7 @@ def _zone(tag: str, attributes: str, within: tuple[int, bool]) -> tuple[int, boo
     zone, firm = within
     role = _ROLE.search(attributes)
     role_name = role.group(1).lower() if role else ""
-    if firm or role_name in _CHROME_ROLES or tag in _CHROME_TAGS and not (tag == "header" and zone == ARTICLE):
+    if firm or _HIDDEN.search(attributes) or role_name in _CHROME_ROLES or tag in _CHROME_TAGS and not (tag == "header" and zone == ARTICLE):
         return CHROME, True
     if tag in ("article", "main") or role_name in ("main", "article") or _BODY.search(attributes):
         return ARTICLE, False
@@ -135,6 +142,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         close()
         prose = tag in _PROSE_TAGS and not m.group(1) or prose and tag == "br"
+        if not m.group(1) and stack and tag not in ("br", "hr") and (stack[-1][0] == "p" or any(tag in x and stack[-1][0] in x for x in _SIBLINGS)):
+            zone = stack.pop()[1]
+        if tag in _PROSE_TAGS and tag not in _CONTAINERS:
+            # such an element opens a zone only where its markup says so
+            if not m.group(1):
+                inner = _zone(tag, m.group(3), zone) if m.group(3).strip() else zone
+                if inner != zone:
+                    stack.append((tag, zone))
+                    zone = inner
+            elif stack and stack[-1][0] == tag:
+                zone = stack.pop()[1]
+            continue
         if tag in _SKIP:
             if not m.group(1) and not m.group(3).endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?" + ("|(?=<body\\b)" if tag == "head" else ""), re.I).search(page, at)
@@ -196,8 +215,13 @@ def host_key(url: str | None) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(host(url), 11))
 
 
-PAGES = "p long, page_id array<long>, url array<string>, zones array<array<int>>, texts array<array<string>>, tokens long"
-_PAGE_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.string())), pa.int64())
+PAGES = "p long, page_id array<long>, url array<string>, zones array<array<int>>, texts array<array<string>>, marks array<long>, tokens long"
+_PAGE_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.string())), pa.list_(pa.int64()), pa.int64())
+
+
+def mark(url: str | None, texts: list[str]) -> int:
+    """What equal pages of a host share."""
+    return xxhash.xxh64_intdigest("\0".join([host(url), *texts]), 13) - (1 << 63)
 
 
 def _read(limit: int):
@@ -218,7 +242,8 @@ def _read(limit: int):
                 if held and n + size > limit:
                     yield block()
                     k, held, n = k + 1, [], 0
-                held.append((page_id.as_py(), url.as_py(), [z for z, _ in found], [x for _, x in found]))
+                texts = [x for _, x in found]
+                held.append((page_id.as_py(), url.as_py(), [z for z, _ in found], texts, mark(url.as_py(), texts)))
                 n += size
         if held:
             yield block()
@@ -231,14 +256,21 @@ def _rows(batch: pa.RecordBatch | pa.Table):
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _distinct(row: dict):
-    """url and texts of a block's distinct pages."""
-    seen = set()
-    for url, texts in zip(row["url"], row["texts"], strict=True):
-        mark = (host(url), tuple(texts))
-        if mark not in seen:
-            seen.add(mark)
-            yield url, texts
+def _weighed(row: dict):
+    """url, texts and weight as evidence of a block's pages: of equal pages of a host one in the whole
+    table counts, the others ask without counting."""
+    copies = set(row["copies"] or ())
+    for k, (url, texts) in enumerate(zip(row["url"], row["texts"], strict=True)):
+        yield url, texts, int(k not in copies)
+
+
+def _with_copies(found: DataFrame) -> DataFrame:
+    """The blocks with ``copies``, the places of pages that repeat a page of the table that counts already."""
+    marks = found.select("p", F.posexplode("marks").alias("i", "mark"))
+    repeated = marks.groupBy("mark").agg(F.count("*").alias("n"), F.min(F.struct("p", "i")).alias("first")).where("n > 1").select("mark", "first")
+    rest = marks.join(repeated, "mark").where(F.struct("p", "i") != F.col("first"))
+    copies = rest.groupBy("p").agg(F.collect_list("i").alias("copies"))  # as many as the block has pages at most
+    return found.join(materialize(copies, "copies").hint("shuffle_hash"), "p", "left")
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -246,9 +278,10 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
 
 
-def _requests(p: int, parts: list[np.ndarray], buckets: int) -> dict[str, pa.Array]:
-    """A block's keys by table partition. parts: each page's keys, each once."""
-    keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
+def _requests(p: int, parts: list[tuple[np.ndarray, int]], buckets: int) -> dict[str, pa.Array]:
+    """A block's keys by table partition. parts: each page's keys, each once, and the page's weight."""
+    keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(x for x, _ in parts)]), return_inverse=True)
+    counts = np.bincount(at, np.repeat([w for _, w in parts], [len(x) for x, _ in parts]) if parts else None, len(keys))
     at = slices(keys, buckets)
     full = np.flatnonzero(np.diff(at)).tolist()
     data = [full, [p] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
@@ -260,9 +293,9 @@ def _ask_anchors(buckets: int, bits: int):
         for batch in batches:
             for row in _rows(batch):
                 parts = []
-                for url, texts in _distinct(row):
+                for url, texts, weight in _weighed(row):
                     anchors = suffixes(url, texts, bits)[2]
-                    parts.append(np.unique(anchors[_starts(anchors)]))
+                    parts.append((np.unique(anchors[_starts(anchors)]), weight))
                 yield pa.RecordBatch.from_pydict(_requests(row["p"], parts, buckets))
 
     return of
@@ -281,13 +314,13 @@ def _ask_suffixes(blocks: pa.Table, answers: pa.Table, buckets: int, bits: int)
     out = [pa.table(_requests(0, [], buckets))]
     for row in _rows(blocks):
         parts = []
-        for url, texts in _distinct(row):
+        for url, texts, weight in _weighed(row):
             keys, _, anchors = suffixes(url, texts, bits)
             if len(shared) and len(keys):
                 at = _starts(anchors)
                 hit = shared[np.minimum(np.searchsorted(shared, anchors[at]), len(shared) - 1)] == anchors[at]
-                parts.append(np.unique(keys[np.repeat(hit, np.diff(at, append=len(keys)))]))
-            parts.append(np.array([host_key(url)]))
+                parts.append((np.unique(keys[np.repeat(hit, np.diff(at, append=len(keys)))]), weight))
+            parts.append((np.array([host_key(url)]), weight))
         out.append(pa.table(_requests(row["p"], parts, buckets)))
     return pa.concat_tables(out)
 
@@ -365,9 +398,10 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     buckets = 1 << max(4, (tokens // TABLE_KEYS).bit_length())
     bits = min(64, math.ceil(math.log2(max(1, tokens) / COLLIDING)))
     asked, answer = "b long, p long, keys binary, counts binary", "p long, shared binary, pages binary"
-    anchors = found.mapInArrow(_ask_anchors(buckets, bits), asked)
+    held = _with_copies(found)
+    anchors = held.mapInArrow(_ask_anchors(buckets, bits), asked)
     anchors = materialize(anchors.groupBy("b").applyInArrow(_neighbours, answer), "anchors")
-    repeats = found.groupBy("p").cogroup(anchors.groupBy("p")).applyInArrow(lambda blocks, answers: _ask_suffixes(blocks, answers, buckets, bits), asked)
+    repeats = held.groupBy("p").cogroup(anchors.groupBy("p")).applyInArrow(lambda blocks, answers: _ask_suffixes(blocks, answers, buckets, bits), asked)
     answers = materialize(repeats.groupBy("b").applyInArrow(_neighbours, answer), "shared")
     discard(anchors)
     return found.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(lambda blocks, answers: _extract(blocks, answers, bits), "page_id long, url string, text string, n_chars long")
