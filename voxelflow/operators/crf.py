@@ -64,14 +64,21 @@ def messages(points: DataFrame, feature: str, classes: int, dims: int, method: s
     raise ValueError(f"unknown method {method}")
 
 
-def mean_field(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, method: str = "lattice", dims: tuple[int, int] = (6, 3)) -> DataFrame:
-    """scene, pidx, q: marginals after the iterations."""
+def _supported(c: int, classes: int, compatibility: list[list[float]] | None) -> Column:
+    if compatibility is None:
+        return F.col(f"m{c}")
+    return sum((F.col(f"m{k}") * float(compatibility[c][k]) for k in range(classes)), F.lit(0.0))
+
+
+def mean_field(points: DataFrame, classes: int, appearance: float = 10.0, smoothness: float = 5.0, iterations: int = 2, method: str = "lattice", dims: tuple[int, int] = (6, 3), compatibility: list[list[float]] | None = None) -> DataFrame:
+    """scene, pidx, q: marginals after the iterations. ``compatibility`` [class of a point, class of its
+    neighbours] weighs the messages; without it only equal classes support each other (Potts)."""
     now = points.withColumn("q", F.col("p"))
     for _ in range(iterations):
         kernels = [(f, w, d) for f, w, d in (("f6", appearance, dims[0]), ("f3", smoothness, dims[1])) if w]
         total, names = now.select("scene", "pidx", "p", "f6", "f3"), []
         for f, w, d in kernels:
-            m = messages(now, f, classes, d, method).select("scene", "pidx", *[(F.col(f"m{c}") * w).alias(f"{f}_{c}") for c in range(classes)])
+            m = messages(now, f, classes, d, method).select("scene", "pidx", *[(_supported(c, classes, compatibility) * w).alias(f"{f}_{c}") for c in range(classes)])
             total = total.join(m, ["scene", "pidx"], "left")
             names.append(f)
         energy = [F.ln(F.greatest(F.get("p", F.lit(c)), F.lit(1e-6))) + sum((F.coalesce(F.col(f"{f}_{c}"), F.lit(0.0)) for f in names), F.lit(0.0)) for c in range(classes)]

@@ -5,12 +5,13 @@ with features. SQL holds the same results in DuckDB's dialect; values are rounde
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
-from voxelflow.operators import crf, decode, forest, lattice, rectify, scan, scene, supervoxel, voxels
+from voxelflow.operators import crf, crf_learning, decode, density, forest, importance, lattice, rectify, scan, scene, supervoxel, voxels
 from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds, files
 from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
@@ -260,6 +261,28 @@ def crf_lattice(spark, sf_dir):
     return found.select("scene", "pidx", *[F.round(F.get("q", F.lit(i)), 4).alias(f"q{i}") for i in range(3)])
 
 
+def crf_gradient(spark, sf_dir):
+    """Log likelihood of labels, and its gradient by kernel weights and compatibility, where learning starts."""
+    points = _slices(spark, sf_dir).withColumn("label", (F.col("pidx") % 4 - 1).cast("int"))
+    found, by_weight, by_pair, n = crf_learning.likelihood(crf_learning.with_messages(points, 3), np.array([2.0, 1.0]), np.eye(3))
+    row = {"n": n, "l": found, "w0": by_weight[0], "w1": by_weight[1]} | {f"c{i}{j}": by_pair[i, j] for i in range(3) for j in range(3)}
+    return spark.createDataFrame([(n, *[round(float(v), 5) for k, v in row.items() if k != "n"])], "n long, " + ", ".join(f"{k} double" for k in row if k != "n"))
+
+
+def importance_swaps(spark, sf_dir):
+    """Whose values held-out rows get for each of five columns, and how often that changes them."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("features"))
+    each = importance.swapped(rows.where(importance.held_out("vec_id")), "vec_id", 5)
+    own = F.get("features", F.col("c"))
+    return each.groupBy("c").agg(F.count("*").alias("n"), F.sum((F.col("value") != own).cast("long")).alias("changed"), F.countDistinct("donor").alias("donors"), F.sum(F.col("donor") * (F.col("id") % 7)).alias("mark"))
+
+
+def cloud_divergence(spark, sf_dir):
+    """Divergence of the points of the first labels from those of the others, in three components."""
+    p = _slices(spark, sf_dir).select("scene", "pidx", *[F.get("f3", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+    return density.divergence(p.where("scene < 5"), p.where("scene >= 5"), 1.0, "pidx").select("n", F.round("kl", 6).alias("kl"))
+
+
 def rf_train_predict(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
     model = forest.fit(rows)
@@ -663,6 +686,27 @@ a AS (SELECT q.*, CASE WHEN s.w IS NULL THEN 'no cloud' WHEN o.w IS NULL THEN 'n
 SELECT request_id, waypoint_id, instance_number, status, CASE WHEN status = 'ok' THEN n_points ELSE 0 END AS n_points FROM a"""
 
 
+def _gradient_sql() -> str:
+    energy = ", ".join(f"ln(greatest(q.p{c}, 1e-6)) + 2.0 * coalesce(a.m{c}, 0) + 1.0 * coalesce(s.m{c}, 0) AS x{c}" for c in range(3))
+    messages = ", ".join(f"coalesce({t}.m{c}, 0) AS {t}{c}" for t in "as" for c in range(3))
+    top = "greatest(x0, x1, x2)"
+    off = ", ".join(f"CAST(y = {c} AS INT) - exp(x{c} - {top}) / (exp(x0 - {top}) + exp(x1 - {top}) + exp(x2 - {top})) AS o{c}" for c in range(3))
+    weight = ", ".join(f"round(avg({' + '.join(f'o{c} * {t}{c}' for c in range(3))}), 5) AS w{k}" for k, t in enumerate("as"))
+    pair = ", ".join(f"round(avg(o{i} * (2.0 * a{j} + 1.0 * s{j})), 5) AS c{i}{j}" for i in range(3) for j in range(3))
+    return f"""WITH {_slices_sql()}, {_Q0}, {', '.join([*_lattice_sql('a', 'q0', _A6), *_lattice_sql('s', 'q0', _D3)])},
+e AS (SELECT q.pidx % 4 - 1 AS y, {messages}, {energy} FROM q0 q LEFT JOIN a USING (scene, pidx) LEFT JOIN s USING (scene, pidx)),
+o AS (SELECT *, {off}, CASE y WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END - {top} - ln(exp(x0 - {top}) + exp(x1 - {top}) + exp(x2 - {top})) AS l FROM e WHERE y >= 0)
+SELECT count(*) AS n, round(avg(l), 5) AS l, {weight}, {pair} FROM o"""
+
+
+_DIVERGENCE = f"""WITH {_slices_sql()}, p AS (SELECT scene < 5 AS one, pidx, d0 AS x, d1 AS y, d2 AS z FROM sl),
+c AS (SELECT one, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY one, floor(x / 0.25), floor(y / 0.25), floor(z / 0.25)),
+t AS (SELECT one, sum(n) AS total FROM c GROUP BY one),
+s AS (SELECT p.pidx, c.one, sum(CASE WHEN o <= 16 THEN n * exp(-o / 2) ELSE 0 END) AS s FROM (SELECT * FROM p WHERE one) p CROSS JOIN c CROSS JOIN LATERAL (SELECT (p.x-c.x)*(p.x-c.x) + (p.y-c.y)*(p.y-c.y) + (p.z-c.z)*(p.z-c.z) AS o) GROUP BY p.pidx, c.one),
+d AS (SELECT pidx, one, greatest(s / (total * pow(2 * pi(), 1.5)), 1e-9) AS d FROM s JOIN t USING (one))
+SELECT count(*) AS n, round(avg(ln(a.d / b.d)), 6) AS kl FROM d a JOIN d b ON a.pidx = b.pidx AND a.one AND NOT b.one"""
+
+
 _BIT = lambda c: " + ".join(f"((((p_partkey >> {i}) & 1)) << {7 - i // 3})" for i in range(c, 24, 3))
 _LIN = lambda c: f"(CASE WHEN {c}/255.0 <= 0.04045 THEN {c}/255.0/12.92 ELSE pow(({c}/255.0 + 0.055)/1.055, 2.4) END)"
 _ROOT = lambda c: f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0/3) ELSE 7.787*{c} + 16.0/116 END)"
@@ -709,6 +753,9 @@ SQL = {
     "crf_lattice_splat": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _D3))} SELECT scene, c0, c1, c2, round(n, 5) AS n, round(v0, 5) AS v0, round(v1, 5) AS v1, round(v2, 5) AS v2 FROM l_splat",
     "crf_lattice_messages": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _A6))} SELECT scene, pidx, round(m0, 4) AS m0, round(m1, 4) AS m1, round(m2, 4) AS m2 FROM l",
     "crf_lattice": _lattice_field_sql(),
+    "crf_gradient": _gradient_sql(),
+    "importance_swaps": "WITH h AS (SELECT vec_id AS id, embedding, row_number() OVER (ORDER BY substr(md5('oob:' || vec_id), 1, 2), md5('oob:' || vec_id), vec_id) AS place, count(*) OVER () AS n FROM embeddings WHERE CAST('0x' || substr(md5('oob:' || vec_id), 1, 8) AS BIGINT) % 3 = 0), e AS (SELECT a.id, k.c, a.embedding[k.c + 1] AS own, b.id AS donor, b.embedding[k.c + 1] AS value FROM h a CROSS JOIN range(5) k(c) JOIN h b ON b.place = (a.place - 1 + 7919 * (k.c + 1)) % a.n + 1) SELECT CAST(c AS INT) AS c, count(*) AS n, CAST(sum(CAST(value <> own AS INT)) AS BIGINT) AS changed, count(DISTINCT donor) AS donors, CAST(sum(donor * (id % 7)) AS BIGINT) AS mark FROM e GROUP BY c",
+    "cloud_divergence": _DIVERGENCE,
     "supervoxel_grid": f"WITH pc AS ({_PC}) SELECT 0 AS scene, CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z, round(avg(r), 7) AS r FROM pc GROUP BY 2, 3, 4",
     "supervoxel_adjacency": f"WITH pc AS ({_PC}), v AS (SELECT DISTINCT CAST(floor(x/5.0) AS BIGINT) AS i, CAST(floor(y/5.0) AS BIGINT) AS j, CAST(floor(z/5.0) AS BIGINT) AS k FROM pc) SELECT 0 AS scene, a.i, a.j, a.k, count(*) AS neighbours FROM v a JOIN v b ON abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 AND abs(a.k-b.k) <= 1 AND NOT (a.i = b.i AND a.j = b.j AND a.k = b.k) GROUP BY 2, 3, 4",
     "plane_hypotheses": _consensus_sql("SELECT vid, h, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(d, 6) AS d, score FROM scored"),
@@ -730,7 +777,7 @@ QUERIES = {
         majority_class_distribution, taxonomy_last_wins, strict_label_lookup, depth_validity_filter, backproject_rigid, center_uncenter, rgb_to_lab, segment_id_codec, voxel_group_size_having,
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
-        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes, id_image_round_trip, scan_report,
+        crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, crf_gradient, importance_swaps, cloud_divergence, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes, id_image_round_trip, scan_report,
         config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }
