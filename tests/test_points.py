@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import codec
 from voxelflow.functions import geometry as g
-from voxelflow.operators import crf, decode, rectify, supervoxel, voxels
+from voxelflow.operators import crf, decode, forest, rectify, supervoxel, voxels
 from voxelflow.sources import calibration, clouds, images
 from voxelflow.sources.config import Config, colors_to_labels, frequency_report, label_names, parse_arguments, parse_json, taxonomy, taxonomy_counts
 from voxelflow.streaming import cache
@@ -161,6 +161,44 @@ def test_config(spark, tmp_path):
         parse_arguments(["--a"])
 
 
+def test_config_of_files(spark, tmp_path):
+    """A value from the file that a key names, and scene lists."""
+    (tmp_path / "more.json").write_text('{"extra": 7, "other": 1}')
+    (tmp_path / "c.json").write_text(f'{{"root_dir": "{tmp_path}/", "extra": "more.json", "train": ["s1", "s2"]}}')
+    c = Config.read(spark, str(tmp_path / "c.json"))
+    assert c.from_file(spark, "extra", int) == 7 and c.path("extra") == f"{tmp_path}/more.json"
+    assert [r["scene_id"] for r in c.scenes(spark, "train").collect()] == ["s1", "s2"]
+
+
+def test_observations(spark):
+    rows = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 1.0), ("b", 1, 2.0)], "waypoint_id string, instance_number int, x double")
+    assert clouds.observations(rows, "a").count() == 2 and clouds.observations(rows, "a", 2).head()["x"] == 1.0
+    assert clouds.observations(rows, "c").count() == 0
+
+
+def test_forest_is_saved(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(int(v[0] > 0), v.tolist()) for v in rng.normal(0, 1, (200, 4))], "label int, features array<double>")
+    model = forest.fit(rows, trees=5, depth=4, min_split=4)
+    forest.save(model, str(tmp_path / "m"))
+    one, two = (forest.posterior(m, rows).select("prob").collect() for m in (model, forest.load(str(tmp_path / "m"))))
+    assert one == two and np.mean([r["prob"][1] > 0.5 for r in one]) == pytest.approx(rows.agg({"label": "avg"}).head()[0], abs=0.1)
+
+
+def test_features_of_null_keys(spark):
+    """A null scene and a null voxel are groups like others, with neighbours."""
+    rng = np.random.default_rng(6)
+    rows = [(s, v, *map(float, rng.normal(0, 1, 3)), 1, 2, 3) for s, v in ((None, 1), (None, 2), (0, None), (0, 1)) for _ in range(12)]
+    points = spark.createDataFrame(rows, "scene int, vid int, x double, y double, z double, r int, g int, b int")
+    edges = spark.createDataFrame([(None, 1, 2), (None, 2, 1), (0, 1, None)], "scene int, src int, dst int")
+    got = {(r["scene"], r["vid"]): r for r in voxels.features(points, ["scene", "vid"], edges=edges).collect()}
+    assert set(got) == {(None, 1), (None, 2), (0, None), (0, 1)} and all(r["n"] == 12 for r in got.values())
+    assert {k: r["has_neighbors"] for k, r in got.items()} == {(None, 1): True, (None, 2): True, (0, None): False, (0, 1): True}
+    plain = {(r["scene"], r["vid"]): r["features"] for r in voxels.features(points, ["scene", "vid"]).collect()}
+    assert all(r["features"][:65] == pytest.approx(plain[k]) for k, r in got.items())
+    assert voxels.keep_large(points, ["scene", "vid"], 12).count() == 48
+
+
 def test_images(spark, tmp_path):
     depth = np.array([[0, 1, 999], [1000, 10000, 10001]], np.uint16)
     (tmp_path / "s1.png").write_bytes(images.encode_png(depth))

@@ -71,3 +71,11 @@ def response(points: DataFrame, frequencies: DataFrame) -> DataFrame:
     packed = points.groupBy("waypoint_id").agg(F.array_sort(F.collect_list(F.struct("pidx", "label", "prob", F.struct("x", "y", "z").alias("point")))).alias("p"))
     freq = frequencies.groupBy("waypoint_id").agg(F.array_sort(F.collect_list(F.struct("label", "freq"))).alias("f"))
     return packed.join(freq, "waypoint_id").select("waypoint_id", F.col("p.label").alias("label"), F.flatten("p.prob").alias("label_probabilities"), F.col("f.freq").alias("label_frequencies"), F.col("p.point").alias("points"))
+
+
+def unpacked_response(packed: DataFrame, classes: int) -> DataFrame:
+    """Rows of a response: waypoint_id, no (place in the arrays), x, y, z, label, p0.. and share, the
+    frequency of the label in its waypoint."""
+    rows = packed.select("waypoint_id", "label_probabilities", "label_frequencies", F.posexplode(F.arrays_zip("points", "label")).alias("no", "e"))
+    prob = [F.get("label_probabilities", F.col("no") * classes + c).alias(f"p{c}") for c in range(classes)]
+    return rows.select("waypoint_id", "no", "e.points.*", F.col("e.label").alias("label"), *prob, F.get("label_frequencies", F.col("e.label").cast("int")).alias("share"))

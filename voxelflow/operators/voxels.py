@@ -19,6 +19,13 @@ _SCATTER = ("xx", "xy", "xz", "yy", "yz", "zz")
 _HIST = [f"h{i}" for i in range(3 * BINS)]
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` by keys, in which a null equals a null."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def at_least(points: DataFrame, keys: list[str], size: int = 10) -> DataFrame:
     """Groups with ``size`` points or more, and their size n."""
     return points.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= size)
@@ -26,7 +33,7 @@ def at_least(points: DataFrame, keys: list[str], size: int = 10) -> DataFrame:
 
 def keep_large(points: DataFrame, keys: list[str], size: int = 10) -> DataFrame:
     """The points of large groups."""
-    return points.join(at_least(points, keys, size).select(*keys), keys, "left_semi")
+    return joined(points, at_least(points, keys, size).select(*keys), keys, "left_semi")
 
 
 def majority_label(members: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -62,9 +69,7 @@ def statistics(points: DataFrame, keys: list[str], compat: bool = False) -> Data
     moments = points.groupBy(*keys).agg(n.alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *scatter)
     counted = points.select(*keys, F.explode(F.array(*bins)).alias("bin")).where("bin is not null").groupBy(*keys, "bin").agg(n.alias("m"))
     held = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "m"))).alias("_h"))  # one entry a bin at most
-    held = held.select(*[F.col(k).alias(f"_{k}") for k in keys], "_h")
-    same = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    both = moments.join(held, same, "left")
+    both = joined(moments, held, keys, "left")
     return both.select(*moments.columns, *[F.coalesce(F.col("_h")[i], F.lit(0)).cast("long").alias(f"h{i}") for i in range(3 * BINS)])
 
 
@@ -73,10 +78,10 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     n = F.sum("n")
     total = parts.groupBy(*keys).agg(n.alias("n"), *[(F.sum(F.col("n") * F.col(f"m{c}")) / n).alias(f"m{c}") for c in "xyz"], *[F.sum(k).alias(k) for k in _HIST])
     means = total.select(*keys, *[F.col(f"m{c}").alias(f"t{c}") for c in "xyz"])
-    shifted = parts.join(means, keys)
+    shifted = joined(parts, means, keys)
     d = {c: F.col(f"m{c}") - F.col(f"t{c}") for c in "xyz"}
     scatter = shifted.groupBy(*keys).agg(*[F.sum(F.col(p) + F.col("n") * d[p[0]] * d[p[1]]).alias(p) for p in _SCATTER])
-    return total.join(scatter, keys)
+    return joined(total, scatter, keys)
 
 
 def shape(stats: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -99,12 +104,31 @@ def shape(stats: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
     return axes.withColumns({"nah": F.when(most > 0, F.col("nz") * F.col("sigma_l") / most).otherwise(0.0), "tah": F.when(most > 0, F.col("a2z") * F.col("sigma_s") / most).otherwise(0.0)})
 
 
+_AXES = [f"a{i}{c}" for i in range(3) for c in "xyz"]
+
+
+def _along() -> list[Column]:
+    p = (F.col("x"), F.col("y"), F.col("z"))
+    return [g.dot(p, tuple(F.col(f"a{i}{c}") for c in "xyz")) for i in range(3)]
+
+
 def extents(points: DataFrame, shaped: DataFrame, keys: list[str]) -> DataFrame:
     """bb1 bb2 bb3: extent of each group's points along its axes."""
-    axes = shaped.select(*keys, *[f"a{i}{c}" for i in range(3) for c in "xyz"])
-    p = (F.col("x"), F.col("y"), F.col("z"))
-    along = [g.dot(p, tuple(F.col(f"a{i}{c}") for c in "xyz")) for i in range(3)]
-    return points.join(axes, keys).groupBy(*keys).agg(*[(F.max(a) - F.min(a)).alias(f"bb{i + 1}") for i, a in enumerate(along)])
+    met = joined(points.select(*keys, "x", "y", "z"), shaped.select(*keys, *_AXES), keys)
+    return met.groupBy(*keys).agg(*[(F.max(a) - F.min(a)).alias(f"bb{i + 1}") for i, a in enumerate(_along())])
+
+
+def reaches(points: DataFrame, shaped: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
+    """bb1..3, the extents of each group's points along its axes, and n_bb1..3, those of its points
+    and of the points of its neighbours. pairs: keys of the group and _of, the neighbour. The axes go
+    to the points, once for each neighbour, and only maxima and minima leave the tasks."""
+    *scene, vid = keys
+    axes = shaped.select(*keys, *_AXES)
+    met = axes.withColumns({"_of": F.col(vid), "_self": F.lit(True)}).unionByName(joined(pairs, axes, keys).withColumn("_self", F.lit(False)))
+    rows = joined(points.select(*scene, F.col(vid).alias("_of"), "x", "y", "z"), met.withColumnRenamed(vid, "_center"), [*scene, "_of"])
+    own = lambda a: F.when(F.col("_self"), a)
+    sums = [x for i, a in enumerate(_along()) for x in ((F.max(own(a)) - F.min(own(a))).alias(f"bb{i + 1}"), (F.max(a) - F.min(a)).alias(f"n_bb{i + 1}"))]
+    return rows.groupBy(*scene, "_center").agg(*sums).withColumnRenamed("_center", vid)
 
 
 def _own(prefix: str = "") -> list[Column]:
@@ -118,24 +142,19 @@ def features(points: DataFrame, keys: list[str], origin: tuple = (0.0, 0.0, 0.0)
     the last, src, dst) 2 * LAYOUT - 2 values, zero where a group has no neighbour, and
     has_neighbors. The neighbourhood is the group's points and, for each edge, its neighbour's;
     compat: for each edge the group's own points again, and two entries as literally written
-    (index 119 the plain sigma_l, index 122 zero)."""
+    (index 119 the plain sigma_l, index 122 zero). A null key is a group of its own."""
     *scene, vid = keys
     own_stats = cut(statistics(points, keys, compat))
     shaped = shape(own_stats, origin)
-    own = shaped.join(extents(points, shaped, keys), keys)
     if edges is None:
-        return own.select(*keys, "n", F.array(*_own()).alias("features"))
+        return joined(shaped, extents(points, shaped, keys), keys).select(*keys, "n", F.array(*_own()).alias("features"))
     pairs = edges.select(*scene, F.col("src").alias(vid), F.col("src" if compat else "dst").alias("_of"))
     stats = own_stats.select(*scene, F.col(vid).alias("_of"), *[c for c in own_stats.columns if c not in keys])
-    around = own_stats.unionByName(pairs.join(stats, [*scene, "_of"]).drop("_of"))
-    around = around.join(pairs.select(*keys).distinct(), keys, "left_semi")
+    around = own_stats.unionByName(joined(pairs, stats, [*scene, "_of"]).drop("_of"))
+    around = joined(around, pairs.select(*keys).distinct(), keys, "left_semi")
     near = shape(merged(around, keys), origin)
-    axes = shaped.select(*keys, *[f"a{i}{c}" for i in range(3) for c in "xyz"])
-    theirs = pairs.join(points.select(*scene, F.col(vid).alias("_of"), "x", "y", "z"), [*scene, "_of"]).drop("_of")
-    reach = extents(points.select(*keys, "x", "y", "z").unionByName(theirs), axes, keys)  # on the centre's axes
-    near = near.join(reach, keys)
     near = near.select(*keys, *[F.col(c).alias(f"n_{c}") for c in near.columns if c not in keys])
-    both = own.join(near, keys, "left")
+    both = joined(joined(shaped, reaches(points, shaped, keys, pairs), keys), near, keys, "left")
     a, b = _own(), _own("n_")
     turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(tuple(F.col(f"n{c}") for c in "xyz"), tuple(F.col(f"n_n{c}") for c in "xyz")))))
     differ = lambda i: b[i] - a[i]

@@ -14,7 +14,7 @@ from voxelflow.functions import geometry as g
 from voxelflow.operators import crf, crf_learning, decode, density, forest, importance, lattice, rectify, scan, scene, supervoxel, voxels
 from voxelflow.operators.lineage import shared_folder
 from voxelflow.sources import clouds, files
-from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, taxonomy, taxonomy_counts
+from voxelflow.sources.config import colors_to_labels, frequency_report, labels_to_colors, overlaid, taxonomy, taxonomy_counts
 from voxelflow.streaming import cache, service
 
 CLASSES = {"signup": 0, "purchase": 1, "click": 2, "view": 3, "error": -1}
@@ -176,7 +176,7 @@ def image_semi_join(spark, sf_dir):
 def pixel_zip_join(spark, sf_dir):
     depth = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").alias("d"))
     label = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality")
-    return depth.join(label, "idx").groupBy("d", "quality").agg(F.count("*").alias("n"), F.sum("idx").alias("sum_idx"))
+    return clouds.zipped([depth, label], ("idx",)).groupBy("d", "quality").agg(F.count("*").alias("n"), F.sum("idx").alias("sum_idx"))
 
 
 def scatter_default(spark, sf_dir):
@@ -446,10 +446,7 @@ def scan_report(spark, sf_dir):
 
 def config_overlay(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,long>").alias("m"))
-    over = F.map_from_arrays(F.array(F.lit("mode"), F.lit("k")), F.array(F.lit(1).cast("long"), F.when(F.col("event_id") % 2 == 0, F.col("event_id"))))
-    kept = F.map_filter(over, lambda k, v: v.isNotNull())
-    base = F.map_filter(F.coalesce("m", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>"))), lambda k, v: ~F.map_contains_key(kept, k))
-    both = F.map_concat(base, kept)
+    both = overlaid(F.col("m"), {"mode": F.lit(1).cast("long"), "k": F.when(F.col("event_id") % 2 == 0, F.col("event_id"))})
     return e.select("event_id", both["k"].alias("k"), both["mode"].alias("mode"))
 
 
@@ -459,6 +456,13 @@ def service_response_pack(spark, sf_dir):
     return packed.select("waypoint_id", F.size("label").alias("n_points"), F.size("label_probabilities").alias("n_values"), F.size("label_frequencies").alias("n_classes"), F.size("points").alias("n_xyz"))
 
 
+def service_response_points(spark, sf_dir):
+    """The response's arrays, taken apart again: place, label and probabilities of each point, and its waypoint's share of its label."""
+    p = _slices(spark, sf_dir).select(F.col("scene").cast("string").alias("waypoint_id"), "pidx", *[F.get("f3", F.lit(i)).alias(c) for i, c in enumerate("xyz")], decode.argmax(F.col("p")).alias("label"), F.col("p").alias("prob"))
+    packed = decode.response(p, decode.label_frequencies(p, ["waypoint_id"]))
+    return decode.unpacked_response(packed, 3).select("waypoint_id", "no", "label", *_rounded("x", "p0", "p1", "p2", "share", digits=5))
+
+
 def label_counts(spark, sf_dir):
     """Names and labels of the taxonomy, and how many of its labels the events hold."""
     entries = taxonomy(spark, ENTRIES)
@@ -753,6 +757,7 @@ SQL = {
     "crf_lattice_splat": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _D3))} SELECT scene, c0, c1, c2, round(n, 5) AS n, round(v0, 5) AS v0, round(v1, 5) AS v1, round(v2, 5) AS v2 FROM l_splat",
     "crf_lattice_messages": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _A6))} SELECT scene, pidx, round(m0, 4) AS m0, round(m1, 4) AS m1, round(m2, 4) AS m2 FROM l",
     "crf_lattice": _lattice_field_sql(),
+    "service_response_points": f"WITH {_slices_sql()}, a AS (SELECT CAST(scene AS VARCHAR) AS waypoint_id, pidx, d0, p0, p1, p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS label FROM sl) SELECT waypoint_id, CAST(row_number() OVER (PARTITION BY waypoint_id ORDER BY pidx) - 1 AS INT) AS no, label, round(d0, 5) AS x, round(p0, 5) AS p0, round(p1, 5) AS p1, round(p2, 5) AS p2, round(CASE label WHEN 0 THEN avg(p0) OVER w WHEN 1 THEN avg(p1) OVER w ELSE avg(p2) OVER w END, 5) AS share FROM a WINDOW w AS (PARTITION BY waypoint_id)",
     "crf_gradient": _gradient_sql(),
     "importance_swaps": "WITH h AS (SELECT vec_id AS id, embedding, row_number() OVER (ORDER BY substr(md5('oob:' || vec_id), 1, 2), md5('oob:' || vec_id), vec_id) AS place, count(*) OVER () AS n FROM embeddings WHERE CAST('0x' || substr(md5('oob:' || vec_id), 1, 8) AS BIGINT) % 3 = 0), e AS (SELECT a.id, k.c, a.embedding[k.c + 1] AS own, b.id AS donor, b.embedding[k.c + 1] AS value FROM h a CROSS JOIN range(5) k(c) JOIN h b ON b.place = (a.place - 1 + 7919 * (k.c + 1)) % a.n + 1) SELECT CAST(c AS INT) AS c, count(*) AS n, CAST(sum(CAST(value <> own AS INT)) AS BIGINT) AS changed, count(DISTINCT donor) AS donors, CAST(sum(donor * (id % 7)) AS BIGINT) AS mark FROM e GROUP BY c",
     "cloud_divergence": _DIVERGENCE,
@@ -778,6 +783,6 @@ QUERIES = {
         voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
         crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, crf_gradient, importance_swaps, cloud_divergence, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes, id_image_round_trip, scan_report,
-        config_overlay, service_response_pack, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
+        config_overlay, service_response_pack, service_response_points, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
     )
 }

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from voxelflow.functions import geometry as g
 
 
+def zipped(images: list[DataFrame], keys: tuple[str, ...] = ("scene_id", "idx")) -> DataFrame:
+    """Pixels that all images have, side by side by scene and place."""
+    rows = images[0]
+    for more in images[1:]:
+        rows = rows.join(more, list(keys))
+    return rows
+
+
 def create_cloud(depth: DataFrame, color: DataFrame, label: DataFrame | None, calibration: DataFrame, rectified: bool = True) -> DataFrame:
     """scene_id, idx, x, y, z, r, g, b(, label): images zipped by (scene_id, idx) and back-projected.
     depth: scene_id, idx, width, d; color: scene_id, idx, r, g, b; calibration: resolved. Points
     without valid depth have null coordinates."""
-    rows = depth.select("scene_id", "idx", "width", "d").join(color.select("scene_id", "idx", "r", "g", "b"), ["scene_id", "idx"])
-    if label is not None:
-        rows = rows.join(label.select("scene_id", "idx", "label"), ["scene_id", "idx"])
+    labels = [] if label is None else [label.select("scene_id", "idx", "label")]
+    rows = zipped([depth.select("scene_id", "idx", "width", "d"), color.select("scene_id", "idx", "r", "g", "b"), *labels])
     rows = rows.join(calibration.select("scene_id", "k_inverse", "rigid", "t"), "scene_id")
     z = g.depth_metres(F.col("d"))
     ray = ((F.col("idx") % F.col("width")) * z, F.floor(F.col("idx") / F.col("width")) * z, z)

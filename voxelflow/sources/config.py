@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COMMENT = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', re.S)
@@ -72,6 +72,15 @@ class Config:
         return spark.createDataFrame([(x,) for x in self.get(key)], "scene_id string")
 
 
+def overlaid(base: Column, over: dict[str, Column]) -> Column:
+    """A map column with overrides: an override that is not null wins over the base's value of its
+    key, one that is null leaves the base alone; a null base has no values."""
+    kind = "map<string,long>"
+    given = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in over]), F.array(*over.values())).cast(kind), lambda k, v: v.isNotNull())
+    kept = F.map_filter(F.coalesce(base, F.create_map().cast(kind)), lambda k, v: ~F.map_contains_key(given, k))
+    return F.map_concat(kept, given)
+
+
 TAXONOMY = "ord int, name string, label int, r int, g int, b int"
 
 
