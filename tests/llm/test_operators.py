@@ -246,6 +246,55 @@ def test_ordinal(spark, docs, rows, nothing):
     assert ordinal.classify(nothing, labels, 3).count() == 0
 
 
+def ordinal_objective(w, thresholds, rows, grades, decay):
+    """Mean log likelihood of grades less the penalty, row by row."""
+    total = 0.0
+    for x, y in zip(rows, grades, strict=True):
+        margin = sum(w[i] for i in x)
+        below = [0.0, *(1 / (1 + math.exp(-(t - margin))) for t in thresholds), 1.0]  # P(grade < k)
+        total += math.log(max(1e-12, below[y + 1] - below[y]))
+    return total / len(rows) - decay / 2 * sum(v * v for v in w.values())
+
+
+def test_ordinal_fit_against_a_reference():
+    """The fit's likelihood against plain coordinate search from the fit and from nothing; thresholds ascend,
+    and the scores are those of the formula."""
+    rng = np.random.default_rng(7)
+    grades = rng.integers(0, 3, 150)
+    index = [np.unique(np.concatenate([rng.integers(0, 3, 1), rng.choice([5, 6], 1) if y == 0 else np.empty(0, int), np.array([7]) if y == 1 and rng.random() < 0.8 else np.empty(0, int)])).astype(np.int64) for y in grades]
+    decay = 1e-2
+    model = ordinal.fit(grades, index, 3, rounds=3000, decay=decay)
+    used = ordinal.telling(grades, index, 3)
+    assert {5, 6, 7} <= set(used.tolist()) and (np.diff(model.thresholds) >= 0).all()
+    rows = [[i for i in x.tolist() if i in set(used.tolist())] for x in index]
+
+    def searched(w, t, steps):
+        best = ordinal_objective(w, t, rows, grades, decay)
+        size = 0.5
+        while size > 1e-3 and steps:
+            better = False
+            for k in [*w, "a", "b"]:
+                for d in (size, -size):
+                    w2, t2 = dict(w), list(t)
+                    if isinstance(k, str):
+                        t2["ab".index(k)] += d
+                    else:
+                        w2[k] += d
+                    if t2[0] < t2[1] and (got := ordinal_objective(w2, t2, rows, grades, decay)) > best:
+                        w, t, best, better = w2, t2, got, True
+            steps -= 1
+            size = size if better else size / 2
+        return best
+
+    fitted = {int(i): float(model.weights[i]) for i in used}
+    mine = ordinal_objective(fitted, model.thresholds.tolist(), rows, grades, decay)
+    assert mine >= searched(dict.fromkeys(fitted, 0.0), [-0.7, 0.7], 200) - 2e-3
+    assert mine >= searched(fitted, model.thresholds.tolist(), 50) - 2e-3
+    margin = np.array([sum(fitted.get(int(i), 0.0) for i in x) for x in index])
+    tail = model.at_least(margin)
+    assert np.allclose(tail, [[1 - 1 / (1 + math.exp(-(t - m))) for t in model.thresholds] for m in margin]) and (tail[:, 0] >= tail[:, 1]).all()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((12, 64))
