@@ -168,6 +168,18 @@ def neighbor_features_compat(spark, sf_dir):
     return _neighbors(spark, sf_dir, True)
 
 
+#: Digits of each feature: histograms, eigenvalues, curvature, normal, angles and boxes.
+_DIGITS = [3, *[8] * 51, 1, 1, 1, 6, *[4] * 4, 4, 4, 3, 3, 3]
+
+
+def neighbor_features_all(spark, sf_dir):
+    """All 128 features of each voxel, a row each."""
+    f = voxels.features(_points(spark, sf_dir), ["vid"], edges=_edges(spark, sf_dir))
+    digits = [*_DIGITS, _DIGITS[0], *_DIGITS[1:56], 4, *_DIGITS[59:65]]
+    each = F.array(*[F.round(F.get("features", F.lit(i)), d) for i, d in enumerate(digits)])
+    return f.select("vid", F.posexplode(each).alias("i", "v"))
+
+
 def image_semi_join(spark, sf_dir):
     good = _table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("vid"))
     return decode.existing_only(_points(spark, sf_dir), good, ["vid"]).groupBy("vid").agg(F.count("*").alias("n"))
@@ -566,6 +578,32 @@ SELECT a.vid, a.n, h.src IS NOT NULL AS has_neighbors, round(a.mz, 3) AS f0, rou
 FROM eiga a JOIN eigb b ON a.vid = b.vid LEFT JOIN (SELECT DISTINCT src FROM edges) h ON h.src = a.vid"""
 
 
+def _all_features_sql() -> str:
+    bins = [(c, o) for c, o in (("r", 0), ("g", 17), ("b", 34))]
+    hist = ", ".join("sum(" + " + ".join(f"CASE WHEN least({c} // 17, 16) + {o} = {i} THEN 1 ELSE 0 END" for c, o in bins) + f") AS h{i}" for i in range(51))
+
+    def shaped(k: str, source: str, axes: bool) -> str:
+        eig = _EIGEN.replace("FROM stats", f"FROM st{k}").replace("e1", f"e1{k}").replace("e2", f"e2{k}").replace("e3", f"e3{k}").replace("e4", f"e4{k}").replace("eig AS", f"eig{k} AS")
+        vectors = ", ".join(_vector(f"v{n}{k}", value).replace("FROM eig)", f"FROM eig{k})") for n, value in (("0", "l0"), ("2", "l2")))
+        values = "CASE WHEN e.mx*v0.x + e.my*v0.y + e.mz*v0.z < 0 THEN -1.0 ELSE 1.0 END AS s0, CASE WHEN v2.z < 0 THEN -1.0 ELSE 1.0 END AS s2"
+        return f"""st{k} AS (SELECT vid, {_STATS}, {hist} FROM {source} GROUP BY vid), {eig}, {vectors},
+sh{k} AS MATERIALIZED (SELECT e.*, l0 AS sp, l1-l0 AS ss, l2-l1 AS sl, greatest(l2-l1, l0, l1-l0) AS most, v0.x AS ax, v0.y AS ay, v0.z AS az, v2.x AS cx, v2.y AS cy, v2.z AS cz, {values} FROM eig{k} e JOIN v0{k} v0 USING (vid) JOIN v2{k} v2 USING (vid))"""
+
+    axes = ("p.x*ax + p.y*ay + p.z*az", "p.x*(cy*az - cz*ay) + p.y*(cz*ax - cx*az) + p.z*(cx*ay - cy*ax)", "p.x*cx + p.y*cy + p.z*cz")
+    box = lambda k, source: f"bx{k} AS (SELECT p.vid, {', '.join(f'max({a}) - min({a}) AS bb{i + 1}' for i, a in enumerate(axes))} FROM {source} p JOIN sha ON sha.vid = p.vid GROUP BY p.vid)"
+    own = lambda t, b: [f"{t}.mz", *[f"{t}.h{i} / {t}.n" for i in range(51)], f"{t}.sp", f"{t}.ss", f"{t}.sl", f"{t}.l0 / ({t}.l0 + {t}.l1 + {t}.l2)", *[f"{t}.s0 * {t}.a{c}" for c in "xyz"], f"acos(greatest(-1.0, least(1.0, {t}.s0 * {t}.az)))", f"{t}.s0 * {t}.az * {t}.sl / {t}.most", f"{t}.s2 * {t}.cz * {t}.ss / {t}.most", *[f"{b}.bb{i}" for i in (1, 2, 3)]]
+    a, b = own("a", "p"), own("b", "q")
+    turn = "acos(greatest(-1.0, least(1.0, a.s0*b.s0*(a.ax*b.ax + a.ay*b.ay + a.az*b.az))))"
+    differ = lambda i: f"({b[i]}) - ({a[i]})"
+    every = [*a, b[0], *[differ(i) for i in range(1, 56)], turn, *[differ(i) for i in range(59, 65)]]
+    digits = [*_DIGITS, _DIGITS[0], *_DIGITS[1:56], 4, *_DIGITS[59:65]]
+    return f"""WITH pc AS ({_PC}), s AS (SELECT s_suppkey AS k FROM supplier), edges AS (SELECT a.k AS src, b.k AS dst FROM s a JOIN s b ON b.k = a.k - 1 OR b.k = a.k + 1),
+allp AS (SELECT * FROM pc UNION ALL SELECT e.src AS vid, p.x, p.y, p.z, p.r, p.g, p.b FROM edges e JOIN pc p ON p.vid = e.dst),
+{shaped('a', 'pc', True)}, {shaped('b', 'allp', False)}, {box('a', 'pc')}, {box('b', 'allp')},
+f AS (SELECT a.vid, [{', '.join(f'round({v}, {d})' for v, d in zip(every, digits, strict=True))}] AS v FROM sha a JOIN shb b USING (vid) JOIN bxa p USING (vid) JOIN bxb q USING (vid))
+SELECT vid, CAST(unnest(range(128)) AS INT) AS i, unnest(v) AS v FROM f"""
+
+
 def _slices_sql() -> str:
     raw = ", ".join(f"exp(CAST(embedding[{11 + i}] AS DOUBLE) * 4) AS r{i}" for i in range(3))
     f6 = ", ".join(f"CAST(embedding[{1 + i}] AS DOUBLE) * 4 AS a{i}" for i in range(6))
@@ -742,6 +780,7 @@ SQL = {
     "voxel_normal_bbox": f"WITH pc AS ({_PC}), stats AS (SELECT vid, {_STATS} FROM pc GROUP BY vid), {_EIGEN}, {_vector('va', 'l0')}, {_vector('vc', 'l2')}, ax AS (SELECT e.vid, mx, my, mz, va.x AS ax, va.y AS ay, va.z AS az, vc.x AS cx, vc.y AS cy, vc.z AS cz FROM eig e JOIN va ON va.vid = e.vid JOIN vc ON vc.vid = e.vid), b3 AS (SELECT *, cy*az - cz*ay AS bx, cz*ax - cx*az AS by_, cx*ay - cy*ax AS bz FROM ax), box AS (SELECT p.vid, max(p.x*ax + p.y*ay + p.z*az) - min(p.x*ax + p.y*ay + p.z*az) AS bb1, max(p.x*bx + p.y*by_ + p.z*bz) - min(p.x*bx + p.y*by_ + p.z*bz) AS bb2, max(p.x*cx + p.y*cy + p.z*cz) - min(p.x*cx + p.y*cy + p.z*cz) AS bb3 FROM pc p JOIN b3 ON b3.vid = p.vid GROUP BY p.vid), sg AS (SELECT *, CASE WHEN mx*ax + my*ay + mz*az < 0 THEN -1 ELSE 1 END AS s FROM ax) SELECT sg.vid, round(s*ax, 4) AS nx, round(s*ay, 4) AS ny, round(s*az, 4) AS nz, round(bb1, 3) AS bb1, round(bb2, 3) AS bb2, round(bb3, 3) AS bb3 FROM sg JOIN box ON box.vid = sg.vid",
     "neighbor_features_intended": _neighbor_sql(False),
     "neighbor_features_compat": _neighbor_sql(True),
+    "neighbor_features_all": _all_features_sql(),
     "image_semi_join": "SELECT l_suppkey AS vid, count(*) AS n FROM lineitem WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) GROUP BY l_suppkey",
     "pixel_zip_join": "SELECT e.label AS d, l.quality, count(*) AS n, CAST(sum(e.vec_id) AS BIGINT) AS sum_idx FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id GROUP BY 1, 2",
     "scatter_default": "SELECT p.p_partkey AS idx, coalesce(v.n, -1) AS label FROM part p LEFT JOIN (SELECT user_id * 7 AS idx, count(*) AS n FROM events GROUP BY 1) v ON v.idx = p.p_partkey",
@@ -780,7 +819,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         majority_class_distribution, taxonomy_last_wins, strict_label_lookup, depth_validity_filter, backproject_rigid, center_uncenter, rgb_to_lab, segment_id_codec, voxel_group_size_having,
-        voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat,
+        voxel_centroid, voxel_color_histogram_intended, voxel_color_histogram_compat, voxel_scatter_matrix, voxel_eigen_shape, voxel_normal_bbox, neighbor_features_intended, neighbor_features_compat, neighbor_features_all,
         image_semi_join, pixel_zip_join, scatter_default, jitter_expand, jitter_accumulate_compat, point_index, argmax_decode, label_frequencies, unary_energy, crf_gaussian_messages,
         crf_mean_field_2iter, crf_map, crf_grid, crf_lattice_splat, crf_lattice_messages, crf_lattice, crf_gradient, importance_swaps, cloud_divergence, rf_train_predict, supervoxel_grid, supervoxel_adjacency, supervoxel_full, voxel_normals, supervoxel_camera_grid, supervoxel_camera, plane_fit, plane_hypotheses, plane_consensus, minmax_rescale, fused_latest_by_waypoint, stream_cache_replay, stream_cache_snapshots, request_outcomes, id_image_round_trip, scan_report,
         config_overlay, service_response_pack, service_response_points, label_counts, label_report, training_scan, valid_point_totals, posterior_to_points, published_cloud, published_cloud_size,
