@@ -741,6 +741,34 @@ o AS (SELECT *, {off}, CASE y WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END - {top}
 SELECT count(*) AS n, round(avg(l), 5) AS l, {weight}, {pair} FROM o"""
 
 
+def _plane_sql() -> str:
+    steps, near = [f"pc AS (SELECT vid, x, y / 100 AS y, z FROM ({_PC}))"], "pc"
+    for k in range(3):
+        eig = _EIGEN.replace("FROM stats", f"FROM st{k}").replace("e1", f"e1_{k}").replace("e2", f"e2_{k}").replace("e3", f"e3_{k}").replace("e4", f"e4_{k}").replace("eig AS", f"eig{k} AS")
+        steps += [f"st{k} AS (SELECT vid, {_STATS} FROM {near} GROUP BY vid HAVING count(*) >= 3)", eig, _vector(f"v{k}", "l0").replace("FROM eig)", f"FROM eig{k})")]
+        steps.append(f"p{k} AS MATERIALIZED (SELECT vid, n, v.x * s AS nx, v.y * s AS ny, v.z * s AS nz, -s * (v.x*mx + v.y*my + v.z*mz) AS d FROM (SELECT *, CASE WHEN y > 0 THEN -1.0 ELSE 1.0 END AS s FROM v{k}) v JOIN eig{k} USING (vid))")
+        if k < 2:
+            steps.append(f"n{k} AS MATERIALIZED (SELECT pc.* FROM pc JOIN p{k} USING (vid) WHERE abs(nx*x + ny*y + nz*z + d) <= {0.05 * 4.0 ** (1 - k)!r})")
+            near = f"n{k}"
+    return f"WITH {', '.join(steps)} SELECT vid, n AS inliers, round(nx, 4) AS nx, round(ny, 4) AS ny, round(nz, 4) AS nz, round(d, 4) AS d FROM p2"
+
+
+def _grid_sql() -> str:
+    """Two mean-field steps of the smoothness kernel by way of cells, as ``crf.grid_messages``."""
+    steps, last = [_Q0, "sp AS (SELECT a.i, b.i AS j, c.i AS k, exp(-0.5 * (a.i*a.i + b.i*b.i + c.i*c.i)) AS w FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i))"], "q0"
+    cell = "CAST(floor(d0) AS BIGINT) AS c0, CAST(floor(d1) AS BIGINT) AS c1, CAST(floor(d2) AS BIGINT) AS c2"
+    for k in (1, 2):
+        steps.append(f"s{k} AS (SELECT scene, {cell}, count(*) AS n, sum(q0) AS s0, sum(q1) AS s1, sum(q2) AS s2 FROM {last} GROUP BY ALL)")
+        steps.append(f"g{k} AS MATERIALIZED (SELECT scene, c0 + i AS c0, c1 + j AS c1, c2 + k AS c2, sum(w * n) AS n, sum(w * s0) AS s0, sum(w * s1) AS s1, sum(w * s2) AS s2 FROM s{k}, sp GROUP BY 1, 2, 3, 4)")
+        energy = ", ".join(f"ln(greatest(p{c}, 1e-6)) + CASE WHEN n - 1 > 1e-9 THEN (s{c} - q{c}) / (n - 1) ELSE 0.0 END AS x{c}" for c in range(3))
+        steps.append(f"en{k} AS (SELECT q.scene, pidx, p0, p1, p2, d0, d1, d2, {energy} FROM (SELECT *, {cell} FROM {last}) q JOIN g{k} USING (scene, c0, c1, c2))")
+        top = "greatest(x0, x1, x2)"
+        total = f"(exp(x0-{top}) + exp(x1-{top}) + exp(x2-{top}))"
+        steps.append(f"q{k} AS (SELECT scene, pidx, p0, p1, p2, d0, d1, d2, " + ", ".join(f"exp(x{c}-{top}) / {total} AS q{c}" for c in range(3)) + f" FROM en{k})")
+        last = f"q{k}"
+    return f"WITH {_slices_sql()}, {', '.join(steps)} SELECT scene, pidx, round(q0, 4) AS q0, round(q1, 4) AS q1, round(q2, 4) AS q2 FROM {last}"
+
+
 _DIVERGENCE = f"""WITH {_slices_sql()}, p AS (SELECT scene < 5 AS one, pidx, d0 AS x, d1 AS y, d2 AS z FROM sl),
 c AS (SELECT one, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY one, floor(x / 0.25), floor(y / 0.25), floor(z / 0.25)),
 t AS (SELECT one, sum(n) AS total FROM c GROUP BY one),
@@ -797,6 +825,9 @@ SQL = {
     "crf_lattice_messages": f"WITH {_slices_sql()}, {_Q0}, {', '.join(_lattice_sql('l', 'q0', _A6))} SELECT scene, pidx, round(m0, 4) AS m0, round(m1, 4) AS m1, round(m2, 4) AS m2 FROM l",
     "crf_lattice": _lattice_field_sql(),
     "service_response_points": f"WITH {_slices_sql()}, a AS (SELECT CAST(scene AS VARCHAR) AS waypoint_id, pidx, d0, p0, p1, p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS label FROM sl) SELECT waypoint_id, CAST(row_number() OVER (PARTITION BY waypoint_id ORDER BY pidx) - 1 AS INT) AS no, label, round(d0, 5) AS x, round(p0, 5) AS p0, round(p1, 5) AS p1, round(p2, 5) AS p2, round(CASE label WHEN 0 THEN avg(p0) OVER w WHEN 1 THEN avg(p1) OVER w ELSE avg(p2) OVER w END, 5) AS share FROM a WINDOW w AS (PARTITION BY waypoint_id)",
+    "plane_fit": _plane_sql(),
+    "crf_grid": _grid_sql(),
+    "service_response_pack": "SELECT CAST(label AS VARCHAR) AS waypoint_id, CAST(count(*) AS INT) AS n_points, CAST(3 * count(*) AS INT) AS n_values, 3 AS n_classes, CAST(count(*) AS INT) AS n_xyz FROM embeddings GROUP BY label",
     "crf_gradient": _gradient_sql(),
     "importance_swaps": "WITH h AS (SELECT vec_id AS id, embedding, row_number() OVER (ORDER BY substr(md5('oob:' || vec_id), 1, 2), md5('oob:' || vec_id), vec_id) AS place, count(*) OVER () AS n FROM embeddings WHERE CAST('0x' || substr(md5('oob:' || vec_id), 1, 8) AS BIGINT) % 3 = 0), e AS (SELECT a.id, k.c, a.embedding[k.c + 1] AS own, b.id AS donor, b.embedding[k.c + 1] AS value FROM h a CROSS JOIN range(5) k(c) JOIN h b ON b.place = (a.place - 1 + 7919 * (k.c + 1)) % a.n + 1) SELECT CAST(c AS INT) AS c, count(*) AS n, CAST(sum(CAST(value <> own AS INT)) AS BIGINT) AS changed, count(DISTINCT donor) AS donors, CAST(sum(donor * (id % 7)) AS BIGINT) AS mark FROM e GROUP BY c",
     "cloud_divergence": _DIVERGENCE,
