@@ -74,3 +74,31 @@ def test_rectified_sibling(spark, tmp_path):
     assert there == f"{tmp_path}/calibration_rect"
     back = spark.read.text(there).head()
     assert back["scene_id"] == "s" and "m33" in back["value"]
+
+
+def test_scene_tables(spark):
+    """Listed scenes with all their images, in metres, with the sensor's place; the others give no rows."""
+    grid = [(s, k, 4, 1) for s in ("a", "b", "c", "no label") for k in range(4)]
+    depth = spark.createDataFrame([(*r, 1000 * r[1]) for r in grid], "scene_id string, idx long, width int, height int, d int")
+    color = spark.createDataFrame([(s, k, 1, 2, 3) for s, k, *_ in grid], "scene_id string, idx long, r int, g int, b int")
+    label = spark.createDataFrame([(s, k, k % 2) for s, k, *_ in grid if s != "no label"], "scene_id string, idx long, label int")
+    camera = calibration.resolve(spark.createDataFrame([(s, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], ("m33", [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]), [0.0, 0.0, 2.0]) for s in ("a", "b", "no label")], "scene_id string, intrinsic array<double>, rotation struct<format:string,data:array<double>>, translation array<double>"))
+    scenes = spark.createDataFrame([("a",), ("a",), ("c",), ("no label",), ("gone",)], "scene_id string")
+    cloud, origins = scene.scene_tables(scenes, depth, color, label, camera)
+    got = {(r["scene_id"], r["idx"]): (r["x"], r["y"], r["z"], r["label"]) for r in cloud.collect()}
+    assert got == {("a", 0): (None, None, None, 0), ("a", 1): (1.0, 0.0, 3.0, 1), ("a", 2): (4.0, 0.0, 4.0, 0), ("a", 3): (9.0, 0.0, 5.0, 1)}
+    assert {(r["scene_id"], r["oz"]) for r in origins.collect()} == {("a", 2.0), ("no label", 2.0)}
+
+
+def test_jittered_supervoxels(spark):
+    """Each jitter parts all points anew; edges join supervoxels of one jitter; rows to train on come for each."""
+    rng = np.random.default_rng(4)
+    rows = [("s", k, *map(float, rng.uniform(0, 1, 3) * [1, 1, 0.05]), 10, 20, 30, k % 2) for k in range(600)]
+    cloud = spark.createDataFrame(rows, "scene_id string, idx long, x double, y double, z double, r int, g int, b int, label int")
+    members, edges = scene.jittered_supervoxels(cloud, (-0.1, 0.0), 0.5, 0.1)
+    found = {(r["jitter_no"], r["n"], r["v"]) for r in members.groupBy("jitter_no").agg(F.countDistinct("idx").alias("n"), F.countDistinct("vid").alias("v")).collect()}
+    assert {(j, n) for j, n, _ in found} == {(0, 600), (1, 600)} and all(v > 3 for *_, v in found)
+    held = members.select("jitter_no", F.col("vid").alias("src")).distinct()
+    assert edges.join(held, ["jitter_no", "src"], "left_anti").count() == 0 and edges.where("src = dst").count() == 0
+    trained = scene.training_rows(members, ["scene_id", "jitter_no", "vid"], edges=edges.select("scene_id", "jitter_no", "src", "dst"))
+    assert {r["jitter_no"] for r in trained.select("jitter_no").distinct().collect()} == {0, 1} and len(trained.head()["features"]) == 128

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelflow.operators import crf, decode, forest, supervoxel, voxels
+from voxelflow.operators.lineage import cut
 from voxelflow.sources import clouds
 from voxelflow.streaming import cache
 
@@ -17,7 +18,7 @@ from voxelflow.streaming import cache
 def scene_tables(scenes: DataFrame, depth: DataFrame, color: DataFrame, label: DataFrame, calibration: DataFrame, rectified: bool = True) -> tuple[DataFrame, DataFrame]:
     """(cloud, origins) of the listed scenes: scene list, images and calibration joined by scene_id.
     A scene that lacks one of them gives no rows."""
-    wanted = lambda rows: rows.join(F.broadcast(scenes.select("scene_id").distinct()), "scene_id", "left_semi")  # noqa: E731  a list of scenes
+    wanted = lambda rows: rows.join(scenes.select("scene_id").distinct(), "scene_id", "left_semi")
     camera = wanted(calibration)
     return clouds.create_cloud(wanted(depth), color, label, camera, rectified), clouds.origins(camera, rectified)
 
@@ -35,7 +36,7 @@ def jittered_supervoxels(cloud: DataFrame, jitters: tuple[float, ...], seed_reso
         points, touch, _ = supervoxel.supervoxels(cloud.withColumnRenamed("scene_id", "scene"), resolution, seed_resolution + jitter)
         parts.append(points.where("vid > 0").withColumnRenamed("scene", "scene_id").withColumn("jitter_no", F.lit(k)))
         edges.append(touch.withColumnRenamed("scene", "scene_id").withColumn("jitter_no", F.lit(k)))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, edges)
+    return cut(reduce(DataFrame.unionByName, parts)), cut(reduce(DataFrame.unionByName, edges))
 
 
 def training_rows(members: DataFrame, keys: list[str], edges: DataFrame | None = None, min_points: int = 10, accumulate: bool = False, compat: bool = False) -> DataFrame:
