@@ -36,6 +36,7 @@ from __future__ import annotations
 import html as html_module
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -192,22 +193,47 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
-def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the page's suffixes (host and first DEPTH tokens, hashed to ``bits`` bits) in order,
-    which block each of the page's tokens lies in, and the keys of the suffixes' anchors."""
-    words = [text.split() for text in texts]
-    block = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, len(block))
-    n, m = max(0, len(ids) - DEPTH + 1), max(0, len(ids) - ANCHOR + 1)
-    runs = np.full(m, xxhash.xxh64_intdigest(host(url), 9), np.uint64)
-    for k in range(ANCHOR if n else 0):
+@dataclass
+class Suffixes:
+    """The suffixes of some pages, one page after another. Of each suffix: its key (host and first
+    DEPTH tokens, hashed), the key of its anchor, the token it begins at, its page; of each token: its
+    block of text, counted over all pages; of each page: where its tokens begin, and the end."""
+
+    keys: np.ndarray
+    anchors: np.ndarray
+    start: np.ndarray
+    page: np.ndarray
+    block: np.ndarray
+    begins: np.ndarray
+
+
+def all_suffixes(urls: list[str | None], texts: list[list[str]], bits: int = 64) -> Suffixes:
+    """Of all pages at once; keys are hashed to ``bits`` bits."""
+    words = [text.split() for page in texts for text in page]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, int(sizes.sum()))
+    of_page = np.repeat(np.arange(len(texts)), [len(page) for page in texts])
+    begins = np.concatenate([[0], np.cumsum(np.bincount(of_page, sizes, len(texts)).astype(np.int64))])
+    page = np.repeat(np.arange(len(texts)), np.diff(begins))
+    hosts = np.array([xxhash.xxh64_intdigest(host(url), 9) for url in urls], np.uint64)
+    m = max(0, len(ids) - ANCHOR + 1)
+    start = np.flatnonzero(np.arange(len(ids)) + DEPTH <= begins[1:][page]) if len(ids) else np.zeros(0, np.int64)
+    runs = hosts[page[:m]] if m else np.zeros(0, np.uint64)
+    for k in range(ANCHOR if len(start) else 0):
         runs = _mixed(runs ^ ids[k : k + m])
-    keys, anchors = runs[:n], runs[:n].copy()
-    for k in range(1, DEPTH - ANCHOR + 1 if n else 1):
-        keys = _mixed(keys ^ ids[ANCHOR + k - 1 : ANCHOR + k - 1 + n])
-        np.minimum(anchors, runs[k : k + n], out=anchors)
+    keys, anchors = runs[start], runs[start]
+    for k in range(1, DEPTH - ANCHOR + 1):
+        keys = _mixed(keys ^ ids[start + (ANCHOR + k - 1)])
+        anchors = np.minimum(anchors, runs[start + k])
     shift = np.uint64(64 - bits)
-    return keys >> shift << shift, block, _mixed(anchors) >> shift << shift
+    return Suffixes(keys >> shift << shift, _mixed(anchors) >> shift << shift, start, page[start], np.repeat(np.arange(len(words)), sizes), begins)
+
+
+def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of one page's suffixes in order, which block each of its tokens lies in, and the keys of
+    the suffixes' anchors."""
+    found = all_suffixes([url], [texts], bits)
+    return found.keys, found.block, found.anchors
 
 
 def host_key(url: str | None) -> np.uint64:
@@ -256,12 +282,12 @@ def _rows(batch: pa.RecordBatch | pa.Table):
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _weighed(row: dict):
-    """url, texts and weight as evidence of a block's pages: of equal pages of a host one in the whole
-    table counts, the others ask without counting."""
-    copies = set(row["copies"] or ())
-    for k, (url, texts) in enumerate(zip(row["url"], row["texts"], strict=True)):
-        yield url, texts, int(k not in copies)
+def _weights(row: dict) -> np.ndarray:
+    """What a block's pages count as evidence: of equal pages of a host one in the whole table counts,
+    the others ask without counting."""
+    out = np.ones(len(row["url"]), np.int64)
+    out[row["copies"] or []] = 0
+    return out
 
 
 def _with_copies(found: DataFrame) -> DataFrame:
@@ -273,15 +299,14 @@ def _with_copies(found: DataFrame) -> DataFrame:
     return found.join(materialize(copies, "copies").hint("shuffle_hash"), "p", "left")
 
 
-def _starts(values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
-
-
-def _requests(p: int, parts: list[tuple[np.ndarray, int]], buckets: int) -> dict[str, pa.Array]:
-    """A block's keys by table partition. parts: each page's keys, each once, and the page's weight."""
-    keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(x for x, _ in parts)]), return_inverse=True)
-    counts = np.bincount(at, np.repeat([w for _, w in parts], [len(x) for x, _ in parts]) if parts else None, len(keys))
+def _requests(p: int, keys: np.ndarray, page: np.ndarray, weights: np.ndarray, buckets: int) -> dict[str, pa.Array]:
+    """A block's keys by table partition, each counted once a page by the page's weight."""
+    order = np.lexsort((keys, page))
+    keys, page = keys[order], page[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (page[1:] != page[:-1])
+    keys, at = np.unique(keys[first], return_inverse=True)
+    counts = np.bincount(at, weights[page[first]], len(keys))
     at = slices(keys, buckets)
     full = np.flatnonzero(np.diff(at)).tolist()
     data = [full, [p] * len(full), [pack(keys[at[b] : at[b + 1]], True) for b in full], [pack(counts[at[b] : at[b + 1]].astype(np.uint64)) for b in full]]
@@ -292,11 +317,8 @@ def _ask_anchors(buckets: int, bits: int):
     def of(batches):
         for batch in batches:
             for row in _rows(batch):
-                parts = []
-                for url, texts, weight in _weighed(row):
-                    anchors = suffixes(url, texts, bits)[2]
-                    parts.append((np.unique(anchors[_starts(anchors)]), weight))
-                yield pa.RecordBatch.from_pydict(_requests(row["p"], parts, buckets))
+                found = all_suffixes(row["url"], row["texts"], bits)
+                yield pa.RecordBatch.from_pydict(_requests(row["p"], found.anchors, found.page, _weights(row), buckets))
 
     return of
 
@@ -309,19 +331,17 @@ def _answered(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_suffixes(blocks: pa.Table, answers: pa.Table, buckets: int, bits: int) -> pa.Table:
-    """Asks for the suffixes whose anchor other pages share, and for each distinct page's host key."""
+    """Asks for the suffixes whose anchor other pages share, and for each page's host key."""
     shared, _ = _answered(answers)
-    out = [pa.table(_requests(0, [], buckets))]
+    none = np.zeros(0, np.int64)
+    out = [pa.table(_requests(0, none.astype(np.uint64), none, none, buckets))]
     for row in _rows(blocks):
-        parts = []
-        for url, texts, weight in _weighed(row):
-            keys, _, anchors = suffixes(url, texts, bits)
-            if len(shared) and len(keys):
-                at = _starts(anchors)
-                hit = shared[np.minimum(np.searchsorted(shared, anchors[at]), len(shared) - 1)] == anchors[at]
-                parts.append((np.unique(keys[np.repeat(hit, np.diff(at, append=len(keys)))]), weight))
-            parts.append((np.array([host_key(url)]), weight))
-        out.append(pa.table(_requests(row["p"], parts, buckets)))
+        found = all_suffixes(row["url"], row["texts"], bits)
+        hit = np.zeros(len(found.keys), bool)
+        if len(shared):
+            hit = shared[np.minimum(np.searchsorted(shared, found.anchors), len(shared) - 1)] == found.anchors
+        hosts = np.array([host_key(u) for u in row["url"]], np.uint64)
+        out.append(pa.table(_requests(row["p"], np.concatenate([found.keys[hit], hosts]), np.concatenate([found.page[hit], np.arange(len(hosts))]), _weights(row), buckets)))
     return pa.concat_tables(out)
 
 
@@ -338,55 +358,74 @@ def _neighbours(rows: pa.Table) -> pa.Table:
     return pa.table({"p": rows.column("p"), "shared": pa.array([x for x, _ in out], pa.binary()), "pages": pa.array([x for _, x in out], pa.binary())})
 
 
-def covered(pages: np.ndarray, least: float, n: int) -> np.ndarray:
-    """Which of a page's n tokens lie in suffix windows that ``least`` pages or more have.
-    pages: for each suffix, how many pages have it."""
+def covered(pages: np.ndarray, least: float | np.ndarray, n: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Which of n tokens lie in suffix windows that ``least`` pages or more have. pages: for each
+    suffix, how many pages have it; start: where it begins (one at each token if not given)."""
     edges = np.zeros(n + 1, np.int64)
     hit = np.flatnonzero(pages >= least)
+    hit = hit if start is None else start[hit]
     np.add.at(edges, hit, 1)
     np.add.at(edges, hit + DEPTH, -1)
     return np.cumsum(edges)[:n] > 0
 
 
-def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray, bits: int = 64) -> str:
-    """The page's main text. ``shared``: sorted keys of passages that other pages have as well,
+def main_texts(urls: list[str | None], zones: list[list[int]], texts: list[list[str]], shared: np.ndarray, pages: np.ndarray, bits: int = 64) -> list[str]:
+    """The pages' main texts. ``shared``: sorted keys of passages that other pages have as well,
     ``pages``: on how many."""
-    keys, block, _ = suffixes(url, texts, bits)
-    found = np.zeros(len(keys), np.int64)
-    of_host = 1
+    found = all_suffixes(urls, texts, bits)
+    times, of_host = np.zeros(len(found.keys), np.int64), np.ones(len(urls), np.int64)
     if len(shared):
         place = lambda x: np.minimum(np.searchsorted(shared, x), len(shared) - 1)
-        at = place(keys)
-        found = np.where(shared[at] == keys, pages[at], 0).astype(np.int64)
-        at = place(np.array([host_key(url)]))[0]
-        of_host = int(pages[at]) if shared[at] == host_key(url) else 1
-    zone = np.array(zones, np.int64)
+        at = place(found.keys)
+        times = np.where(shared[at] == found.keys, pages[at], 0).astype(np.int64)
+        hosts = np.array([host_key(u) for u in urls], np.uint64)
+        at = place(hosts)
+        of_host = np.where(shared[at] == hosts, pages[at], 1).astype(np.int64)
+    n = len(found.block)
+    repeated = covered(times, MIN_PAGES, n, found.start)
+    least = np.maximum(MIN_IN_ARTICLE, HOST_SHARE * of_host)
+    common = covered(times, least[found.page], n, found.start)
+    starts = np.searchsorted(found.block, np.arange(sum(map(len, texts)) + 1))
+    so_far = np.concatenate([[0], np.cumsum(repeated)])
+    out, first = [], 0
+    for k, (zone, text) in enumerate(zip(zones, texts, strict=True)):
+        at, first = starts[first : first + len(text) + 1], first + len(text)
+        out.append(_main(np.array(zone, np.int64), text, at, so_far, repeated, common))
+    return out
+
+
+def _main(zone: np.ndarray, texts: list[str], at: np.ndarray, so_far: np.ndarray, repeated: np.ndarray, common: np.ndarray) -> str:
+    """One page's main text. at: where its blocks' tokens begin, and the end; so_far: repeated tokens before each."""
     marked = bool(((zone == ARTICLE) | (zone == PROSE)).any())
-    repeated = covered(found, MIN_PAGES, len(block))
-    starts = np.searchsorted(block, np.arange(len(texts) + 1))
-    share = [repeated[starts[k] : starts[k + 1]].mean() if starts[k] < starts[k + 1] else 0.0 for k in range(len(texts))]
     wanted = (zone == ARTICLE) | (zone == PROSE) if marked else zone == PLAIN
-    for k in np.flatnonzero(zone == HINTED):
-        wanted[k] = share[k] <= 0.5
-    of_main = wanted[block]
-    gone = covered(found, max(MIN_IN_ARTICLE, HOST_SHARE * of_host), len(block)) if marked else repeated
-    gone &= (zone != PROSE)[block]
-    if len(block) and repeated[of_main].sum() >= COPY_SHARE * of_main.sum():
-        gone = np.zeros(len(block), bool)
+    many = so_far[at[1:]] - so_far[at[:-1]]
+    size = np.diff(at)
+    hinted = zone == HINTED
+    wanted = np.where(hinted, many <= 0.5 * size, wanted)
+    gone = common if marked else repeated
+    whole = size[wanted].sum() and many[wanted].sum() >= COPY_SHARE * size[wanted].sum()
     out = []
     for k in np.flatnonzero(wanted):
-        lost = gone[starts[k] : starts[k + 1]]
-        out += [w for w, x in zip(texts[k].split(), lost, strict=True) if not x] if lost.any() else [texts[k]]
+        lost = gone[at[k] : at[k + 1]]
+        if whole or zone[k] == PROSE or not lost.any():
+            out.append(texts[k])
+        else:
+            out += [w for w, x in zip(texts[k].split(), lost, strict=True) if not x]
     return " ".join(out)
 
 
+def main_text(url: str | None, zones: list[int], texts: list[str], shared: np.ndarray, pages: np.ndarray, bits: int = 64) -> str:
+    """One page's main text; see ``main_texts``."""
+    return main_texts([url], [zones], [texts], shared, pages, bits)[0]
+
+
 def _extract(blocks: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     keys, pages = _answered(answers)
     ids, urls, texts = [], [], []
     for row in _rows(blocks):
         ids += row["page_id"]
         urls += row["url"]
-        texts += [main_text(u, z, t, keys, pages, bits) for u, z, t in zip(row["url"], row["zones"], row["texts"], strict=True)]
+        texts += main_texts(row["url"], row["zones"], row["texts"], keys, pages, bits)
     return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
