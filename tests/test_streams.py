@@ -147,7 +147,7 @@ def test_serve_with_a_fitted_forest(spark, tmp_path):
     clouds, origins = service_tables(spark)
     members = clouds.where("waypoint_id = 'a'").withColumn("vid", F.col("vid") * 10 + F.col("instance_number")).drop("waypoint_id")
     rows = voxels.features(members, ["vid"]).withColumn("label", (F.floor(F.col("vid") / 10) - 1).cast("int"))
-    model = forest.fit(rows.select("features", "label"), trees=5, depth=3, min_split=2)
+    model = forest.fit(rows.select("features", "label").crossJoin(spark.range(30)), trees=9, depth=3, min_split=2)  # so many that each tree sees all four supervoxels
     for k, part in enumerate((REQUESTS[:4], [*REQUESTS[4:], (20, "nowhere", None)])):
         arrive(spark, str(tmp_path / "in"), k, part, REQUEST)
     source = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))

@@ -78,7 +78,7 @@ def label_cloud(members: DataFrame, model: RandomForestClassificationModel | Dat
     keys = ["waypoint_id", "vid"]
     large = voxels.keep_large(members, keys, min_points)
     found = model if isinstance(model, DataFrame) else forest.posterior(model, voxels.features(large, keys, edges=edges))
-    points = decode.point_index(posterior_of_points(large, found, keys), ["waypoint_id"], ["vid", "idx"])
+    points = cut(decode.point_index(posterior_of_points(large, found, keys), ["waypoint_id"], ["vid", "idx"]))  # read by each kernel
     q = smoothed(points.withColumnRenamed("waypoint_id", "scene"), classes, method=method).withColumnRenamed("scene", "waypoint_id")
     out = points.join(q, ["waypoint_id", "pidx"]).select("waypoint_id", "pidx", "x", "y", "z", decode.argmax(F.col("q")).alias("label"), F.col("q").alias("prob"))
     return out, decode.label_frequencies(out, ["waypoint_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxelflow.operators import scene
+from voxelflow.operators import decode, scene
 from voxelflow.sources import clouds as sources
 
 OK, NO_CLOUD, NO_ORIGIN, NO_SUPERVOXEL = "ok", "no cloud", "no origin", "no supervoxel"
@@ -67,9 +67,10 @@ def serve(stream: DataFrame, clouds: DataFrame, origins: DataFrame, model: Rando
         requests = batch.persist()
         try:
             outcomes(requests, clouds, origins, min_points).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
-            points, frequencies = answers(requests, clouds, origins, model, classes, min_points, **more)
+            points, _ = answers(requests, clouds, origins, model, classes, min_points, **more)
             points.write.mode("overwrite").parquet(f"{path}/points/batch={number}")
-            frequencies.write.mode("overwrite").parquet(f"{path}/frequencies/batch={number}")
+            written = requests.sparkSession.read.schema(points.schema).parquet(f"{path}/points/batch={number}")
+            decode.label_frequencies(written, ["request_id"]).write.mode("overwrite").parquet(f"{path}/frequencies/batch={number}")
         finally:
             requests.unpersist()
 
