@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -177,15 +178,14 @@ def host(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-class _Hash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_memo = _Hash()
+def _token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each text has, and the hashes of all tokens. Tokens stand one space apart."""
+    parts = pc.split_pattern(pa.array([x for x in texts if x], pa.large_string()), " ")
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[[k for k, x in enumerate(texts) if x]] = np.diff(parts.offsets.to_numpy())
+    coded = parts.flatten().dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return sizes, hashes[coded.indices.to_numpy()]
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -209,9 +209,7 @@ class Suffixes:
 
 def all_suffixes(urls: list[str | None], texts: list[list[str]], bits: int = 64) -> Suffixes:
     """Of all pages at once; keys are hashed to ``bits`` bits."""
-    words = [text.split() for page in texts for text in page]
-    sizes = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter((_memo[x] for w in words for x in w), np.uint64, int(sizes.sum()))
+    sizes, ids = _token_hashes([text for page in texts for text in page])
     of_page = np.repeat(np.arange(len(texts)), [len(page) for page in texts])
     begins = np.concatenate([[0], np.cumsum(np.bincount(of_page, sizes, len(texts)).astype(np.int64))])
     page = np.repeat(np.arange(len(texts)), np.diff(begins))
@@ -226,7 +224,7 @@ def all_suffixes(urls: list[str | None], texts: list[list[str]], bits: int = 64)
         keys = _mixed(keys ^ ids[start + (ANCHOR + k - 1)])
         anchors = np.minimum(anchors, runs[start + k])
     shift = np.uint64(64 - bits)
-    return Suffixes(keys >> shift << shift, _mixed(anchors) >> shift << shift, start, page[start], np.repeat(np.arange(len(words)), sizes), begins)
+    return Suffixes(keys >> shift << shift, _mixed(anchors) >> shift << shift, start, page[start], np.repeat(np.arange(len(sizes)), sizes), begins)
 
 
 def suffixes(url: str | None, texts: list[str], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
