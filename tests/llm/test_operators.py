@@ -1,6 +1,7 @@
 """The ten operators and the pipeline's stages against brute force, with odd rows and empty tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -96,6 +97,21 @@ def test_simhash_crowds(spark):
     assert pairs(roots(len(prints), near)) == pairs(roots(len(prints), [(at[u], at[v]) for u, v in links]))
 
 
+def test_simhash_masks_cover():
+    """Every choice of four positions is dropped by some table, also where the positions' codes depend on each other."""
+    masks = np.array(simhash.covering_masks(), np.int64).view(np.uint64)
+    keeps = (masks[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)  # [table, position]
+    dropped = [sum(1 << t for t in range(len(masks)) if not keeps[t, i]) for i in range(64)]
+    assert all(dropped[a] & dropped[b] & dropped[c] & dropped[d] for a, b, c, d in itertools.combinations(range(64), 4))
+
+
+def test_simhash_dependent_positions(spark):
+    """Differences at 11, 12 and 62, and at 30, 35, 56 and 11: two pairs of sf0.1 that met in no table."""
+    prints = [-4944319249235111108, -332633230807725252, 8405823366839704545, 8477880994163626977]
+    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    assert {frozenset(x) for x in links} == {frozenset(prints[:2]), frozenset(prints[2:])}
+
+
 def good_turing(counts, least):
     """Discount by number of occurrences, as the docstring of the model states it."""
     n = Counter(counts)

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A text's fingerprint is the majority of its shingles' XXH64 bits. Every bit position has a code
-of ``radius + 1`` bits; table v (one for each code but zero) keeps the positions whose code is
+of ``radius + 1`` bits; table v (one for each code but zero) drops the positions whose code is
 orthogonal to v. Up to ``radius`` differing positions span less than the whole code space, so some
-v is orthogonal to them all: each pair within the radius meets in some table, none is lost.
+v is orthogonal to them all and drops them: each pair within the radius meets in some table, none is lost.
 
 Links are between distinct fingerprints, so copies never make pairs. In a bucket of up to
 ``crowd`` fingerprints the links are tested one by one. The members of larger buckets are linked
@@ -61,7 +61,7 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     codes = 2 ** (radius + 1)
     masks = []
     for v in range(1, codes):
-        kept = sum(1 << i for i in range(64) if ((i % (codes - 1) + 1) & v).bit_count() % 2 == 0)
+        kept = sum(1 << i for i in range(64) if ((i % (codes - 1) + 1) & v).bit_count() % 2)
         masks.append(kept - (1 << 64) if kept >> 63 else kept)
     return masks
 
