@@ -125,6 +125,35 @@ def test_crf(spark):
     assert np.mean([abs(exact[k][0] - near[k][0]) for k in exact]) < 0.03
 
 
+@pytest.mark.parametrize("block", [5, 4096])
+def test_exact_messages_of_any_blocks(spark, monkeypatch, block):
+    """Sums over all pairs, whatever the blocks: repeated points, nulls, lonely points, one far from all."""
+    monkeypatch.setattr(crf, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(k % 2, int(k % 37), rng.dirichlet([1, 1]).tolist(), rng.normal(size=3).tolist()) for k in range(80)]
+    rows += [(0, 90, [0.5, None], [0.1, 0.2, 0.3]), (0, 91, None, [0.3, 0.2, 0.3]), (1, 92, [0.5, 0.5], [0.1, None, 0.3]), (1, 93, [0.5, 0.5], None), (2, 94, [0.5, 0.5], [0.0] * 3)]
+    rows += [(0, None, [0.5, 0.5], [0.0] * 3), (None, 1, [0.5, 0.5], [0.0] * 3), (3, 95, [0.2, 0.8], [0.0] * 3), (3, 96, [0.2, 0.8], [1e3] * 3), (4, 97, [math.nan, 1.0], [0.0] * 3), (4, 98, [0.25, 0.75], [1.0] * 3)]
+    want = {}
+    for scene, i, _, f in rows:
+        for other, j, p, g in rows:
+            if None not in (scene, i, j) and scene == other and i != j:
+                w = want.setdefault((scene, i), [[], [], [], []])
+                if f and g and None not in (*f, *g):
+                    k = math.exp(-0.5 * sum((x - y) ** 2 for x, y in zip(f, g, strict=True)))
+                    w[2].append(k)
+                    for c in (0, 1):
+                        if p and p[c] is not None:
+                            w[c].append(k * p[c])
+    got = {(r["scene"], r["pidx"]): (r["m0"], r["m1"]) for r in crf.kernel_messages(spark.createDataFrame(rows, "scene int, pidx int, q array<double>, f array<double>"), "f", 2).collect()}
+    assert set(got) == set(want) and (2, 94) not in got and got[1, 92] == got[1, 93] == (None, None)
+    for key, (*sums, k, _) in want.items():
+        for c in (0, 1):
+            if not sums[c]:
+                assert got[key][c] is None
+            else:
+                assert got[key][c] == pytest.approx(math.fsum(sums[c]) / math.fsum(k) if math.fsum(k) else math.nan, rel=1e-12, nan_ok=True)
+
+
 def test_supervoxels_part_the_cloud(spark):
     rng = np.random.default_rng(2)
     p = spark.createDataFrame([(0, i, *map(float, rng.uniform(0, 0.6, 3)), 1, 2, 3) for i in range(400)], "scene int, idx int, x double, y double, z double, r int, g int, b int")

@@ -4,13 +4,15 @@ Points: scene, pidx, p (array of class probabilities), f6 and f3 (scaled feature
 the kernel-weighted mean of the other points' marginals, so agreeing neighbours lower the energy.
 ``lattice`` filters on the permutohedral lattice, in proportion to the points: on 5,000 points of a
 room its messages are off by 0.01 at the mean and 0.08 in 99 of 100 cases at most (see the tests).
-``exact`` joins the points of a scene with each other, for scenes of some thousand points; ``grid``
+``exact`` weighs all pairs of a scene's points, block by block in tasks; ``grid``
 sums marginals over cells one sigma wide and exchanges them between near cells."""
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +20,92 @@ from voxelflow.operators.decode import argmax
 from voxelflow.operators.lattice import lattice_messages
 from voxelflow.operators.lineage import cut
 
+#: Points of a block of the exact kernel, and of a side of the tiles that a task works on.
+BLOCK, TILE = 4096, 256
+
 
 def scaled_features(xyz: tuple, rgb: tuple, range_sigma: float = 0.6, color_sigma: float = 30.0, smooth_sigma: float = 0.15) -> tuple[Column, Column]:
     """f6 and f3."""
     return F.array(*[c / range_sigma for c in xyz], *[c / color_sigma for c in rgb]), F.array(*[c / smooth_sigma for c in xyz])
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+def _tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[a, b] kernel values, from the differences of each component."""
+    d, step = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        np.subtract(x[:, None], y, out=step)
+        step *= step
+        d += step
+    d *= -0.5
+    return np.exp(d, out=d)
+
+
+def _weighed(k: np.ndarray, q: np.ndarray, same: np.ndarray | None) -> np.ndarray:
+    """Sums of q by the weights k, without the ``same`` points (weight 0)."""
+    if np.isfinite(q).all():
+        return k @ q
+    each = [k * c for c in q.T]
+    return np.stack([(e if same is None else np.where(same, 0.0, e)).sum(1) for e in each], 1)
+
+
+def _block_sums(classes: int, rows: pa.Table) -> pa.Table:
+    """Kernel sums of the points of two blocks over each other (side 0 and 1), or of one block over itself
+    (side 2). A point without features gives and gets nothing, a marginal that is not given counts in w only."""
+    side, valid = rows["side"].to_numpy(), np.asarray(rows["f"].is_valid())
+    point = np.unique(rows["pidx"].to_numpy(), return_inverse=True)[1]
+    q, given = (rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), classes) for c in ("q", "given"))
+    q = np.concatenate([q, np.ones((len(side), 1))], 1)
+    f = rows["f"].combine_chunks().flatten().to_numpy()
+    f = f.reshape(valid.sum(), -1) if valid.any() else np.empty((0, 0))
+    at = np.cumsum(valid) - 1
+    own = bool((side == 2).any())
+    known = given & valid[:, None]
+    if own:
+        others = len(side) - np.bincount(point)[point]
+        seen = known.sum(0) - np.stack([np.bincount(point, c)[point] for c in known.T.astype(float)], 1)
+    else:
+        others = np.where(side == 0, (side == 1).sum(), (side == 0).sum())
+        seen = np.where(side[:, None] == 0, known[side == 1].sum(0), known[side == 0].sum(0))
+    total = np.zeros(q.shape)
+    left, right = np.flatnonzero(valid & (side != 1)), np.flatnonzero(valid & (side != 0))
+    for i in range(0, len(left), TILE):
+        a = left[i : i + TILE]
+        for j in range(0, len(right), TILE):
+            b = right[j : j + TILE]
+            k, same = _tile(f[at[a]], f[at[b]]), None
+            if own:
+                same = point[a][:, None] == point[b]
+                k[same] = 0.0
+            else:
+                total[b] += _weighed(k.T, q[a], None)
+            total[a] += _weighed(k, q[b], same)
+    seen = np.where(valid[:, None], seen, 0).astype(np.int64)
+    listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), classes).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
+    columns = [rows["scene"], rows["pidx"], pa.array(others.astype(np.int64)), pa.array(total[:, -1]), listed(np.ascontiguousarray(total[:, :-1])), listed(seen)]
+    return pa.table(columns, names=["scene", "pidx", "others", "w", "s", "seen"]).filter(pa.array(others > 0))
 
 
 def kernel_messages(points: DataFrame, feature: str, classes: int, q: str = "q") -> DataFrame:
-    """scene, pidx, m0..: exact messages of one kernel."""
-    a = points.select("scene", "pidx", F.col(feature).alias("fa"))
-    b = points.select("scene", F.col("pidx").alias("other"), F.col(feature).alias("fb"), F.col(q).alias("qb"))
-    k = F.exp(-0.5 * squared_distance(F.col("fa"), F.col("fb")))
-    pairs = a.join(b, "scene").where("pidx <> other").withColumn("k", k)
-    return pairs.groupBy("scene", "pidx").agg(*[(F.sum(F.col("k") * F.get("qb", F.lit(c))) / F.sum("k")).alias(f"m{c}") for c in range(classes)])
+    """scene, pidx, m0..: exact messages of one kernel. A scene is cut into blocks of about BLOCK points by a
+    hash of pidx; a group holds two blocks at most and gives back sums for each point, so no pair becomes a
+    row. The work is that of all pairs of a scene. Rows of one pidx are one point; a null feature has no
+    kernel; where all kernel values are too small for a double, the message is NaN, as 0 / 0 is."""
+    get = [F.get(q, F.lit(c)).cast("double") for c in range(classes)]
+    f = F.when(~F.exists(feature, lambda x: x.isNull()), F.col(feature).cast("array<double>"))
+    rows = points.where("scene is not null and pidx is not null")
+    blocks = rows.groupBy("scene").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.select("scene", "pidx", f.alias("f"), F.array(*[F.coalesce(c, F.lit(0.0)) for c in get]).alias("q"), F.array(*[c.isNotNull() for c in get]).alias("given"))
+    placed = placed.join(blocks, "scene").withColumn("block", F.pmod(F.xxhash64("pidx"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = placed.select("scene", "pidx", "f", "q", "given", side.alias("side"), F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    kind = {x.name: x.dataType.simpleString() for x in placed.schema}
+    schema = f"scene {kind['scene']}, pidx {kind['pidx']}, others long, w double, s array<double>, seen array<long>"
+    sums = dealt.groupBy("scene", "first", "second").applyInArrow(lambda group: _block_sums(classes, group), schema)
+    each = lambda name, c: F.sum(F.get(name, F.lit(c)))
+    sums = sums.groupBy("scene", "pidx").agg(F.sum("w").alias("w"), *[each("s", c).alias(f"s{c}") for c in range(classes)], *[each("seen", c).alias(f"n{c}") for c in range(classes)])
+    mean = lambda c: F.when(F.col("w") != 0, F.try_divide(f"s{c}", "w")).otherwise(F.lit(float("nan")))
+    return sums.select("scene", "pidx", *[F.when(F.col(f"n{c}") > 0, mean(c)).alias(f"m{c}") for c in range(classes)])
 
 
 def grid_messages(points: DataFrame, feature: str, classes: int, dims: int, radius: int = 2, q: str = "q") -> DataFrame:
