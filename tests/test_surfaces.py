@@ -58,6 +58,26 @@ def test_scores_count_points(spark):
         assert r["score"] == (off <= 0.2).sum() and (off < 1e-9).sum() == 3
 
 
+def test_planes_shuffle_no_points(spark, tmp_path):
+    """Tasks keep the points they draw before the shuffle, and planes are sent to the points."""
+    rng = np.random.default_rng(6)
+    points = cloud(spark, [(k % 2, p) for k, p in enumerate(rng.uniform(-1, 1, (4000, 3)))])
+    points.repartition(2).write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    planes = rectify.hypotheses(points, ["scene"], "idx", 10, angle=None)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(planes).split("Exchange", 1)[1]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # less than the points
+    try:
+        found = rectify.scores(points, planes, ["scene"], 0.2)
+        whole = plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Window [" not in whole and "Exchange hashpartitioning(scene#" not in "".join(x for x in whole.splitlines() if "h#" not in x)
+    assert found.count() == 20
+
+
 def test_normals(spark):
     """Normals of a floor and a wall, turned towards the sensor; none for lonely points."""
     rng = np.random.default_rng(4)

@@ -58,7 +58,8 @@ def hypotheses(points: DataFrame, keys: list[str], id: str, count: int = 200, ax
     plane; tasks keep their first ones before any shuffle. Left out: three points on a line, planes whose
     normal is more than ``angle`` (radians; None: any) from ``axis``. The normal has y <= 0."""
     rows = points.where("x is not null and y is not null and z is not null").select(*keys, "x", "y", "z", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string"))).alias("_order"), F.col(id).alias("_id"))
-    drawn = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("_order", "_id", "x", "y", "z")) - 1).where(F.col("_k") < 3 * count)
+    # the limit stands on the row number itself: only so does the planner set it before the shuffle too
+    drawn = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_order", "_id", "x", "y", "z"))).where(F.col("_n") <= 3 * count).withColumn("_k", F.col("_n") - 1)
     at = lambda i: F.max(F.when(F.col("_k") % 3 == i, F.struct("x", "y", "z")))
     threes = drawn.groupBy(*keys, F.floor(F.col("_k") / 3).cast("int").alias("h")).agg(*[at(i).alias(c) for i, c in enumerate("abc")]).where("a is not null and b is not null and c is not null")
     first, second = (tuple(F.col(f"{p}.{c}") - F.col(f"a.{c}") for c in "xyz") for p in "bc")
@@ -74,6 +75,7 @@ def hypotheses(points: DataFrame, keys: list[str], id: str, count: int = 200, ax
 def scores(points: DataFrame, planes: DataFrame, keys: list[str], distance: float = 0.05) -> DataFrame:
     """The planes with ``score``, how many points of their group lie within ``distance``. All are
     scored in one pass over the points; counts are summed in the tasks that read them."""
+    planes = cut(planes)  # of known size: the planes go to the points, no group of points to one task
     met = points.select(*keys, "x", "y", "z").join(planes, keys).where(_offset() <= distance)
     counted = met.groupBy(*keys, "h").agg(F.count("*").alias("score"))
     return planes.join(counted, [*keys, "h"], "left").fillna(0, ["score"])
@@ -84,8 +86,9 @@ def consensus_plane(points: DataFrame, keys: list[str], id: str, distance: float
     the points within ``distance`` of it; inliers: points within ``distance`` of the refitted plane.
     Groups without a hypothesis, or whose refitted plane leaves the axis, have no plane. ``id`` need not
     be unique: the draw is the same in every run."""
-    planes = cut(hypotheses(points, keys, id, count, axis, angle, seed))
+    planes = hypotheses(points, keys, id, count, axis, angle, seed)
     best = scores(points, planes, keys, distance).groupBy(*keys).agg(F.max_by(F.struct("nx", "ny", "nz", "d"), F.struct("score", -F.col("h"))).alias("v")).select(*keys, "v.*")
+    best = cut(best)
     near = points.join(best, keys).where(_offset() <= distance).select(*keys, "x", "y", "z")
     refined = cut(least_squares(near, keys).drop("inliers"))
     size = math.sqrt(sum(a * a for a in axis))
