@@ -1,8 +1,11 @@
 """The pipeline's near-dedup stage against all pairs of exact Jaccard similarities."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from voxelflow.llm import neardup
+from voxelflow.llm.common import row_key
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 dedup = dict(corpus_pipeline.STAGES)["near-dedup"]
@@ -57,6 +60,35 @@ def test_kept_set(spark):
     assert sorted(kept) == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
 
 
+def test_simhash_finds_candidates(spark):
+    """Without any MinHash entry the covering tables connect just what near pairs within the radius connect."""
+    given = list(dict.fromkeys(texts()))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(given)], DOCS)
+    sets = [neardup.shingles(t.encode()) for t in given]
+    prints = [neardup.simhash.majority(s) & (1 << 64) - 1 for s in sets]
+    rows = {r.doc_id: r.row for r in docs.select("doc_id", row_key(docs).alias("row")).collect()}
+    alone = spark.createDataFrame([(i, rows[i], len(s), f - (f >> 63 << 64)) for i, (s, f) in enumerate(zip(sets, prints, strict=True))], "id long, row long, size long, fp long")
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in neardup._links(docs, alone.withColumn("keys", F.array().cast("array<long>"))).collect()}
+    up = list(range(len(given)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for u, v in got:
+        up[root(u)] = root(v)
+    within = 0
+    for i in range(len(given)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            near = 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+            if near and (prints[i] ^ prints[j]).bit_count() <= neardup.simhash.RADIUS:
+                within += 1
+                assert root(i) == root(j)
+    assert within > 50
+    group, _ = groups(given)  # nothing that is not near is connected
+    assert all(group[u] == group[v] for u, v in got)
+
+
 def test_odd_rows(spark):
     """Null and repeated ids, equal rows, blank texts: one row of each group stays, nulls last."""
     long = " ".join(f"l{i}" for i in range(80))

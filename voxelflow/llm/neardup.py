@@ -1,20 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found through MinHash tables.
+"""Near-duplicates by exact Jaccard similarity of word shingles, found through SimHash and MinHash tables.
 
 A text is the set of its shingles of SHINGLE words. Two texts are near where the sets' Jaccard
-similarity is SIMILARITY or more. Candidates come from TABLES tables, each keyed by ROWS minima of
-seeded permutations of the shingle hashes: a pair just at 0.8 meets in some table but for
+similarity is SIMILARITY or more. Candidates come first from the covering tables of op1's SimHash,
+over the fingerprint of the set: all texts within simhash.RADIUS bits of each other meet there. Near texts
+may differ in more bits (15 % of them just at 0.8, and a radius that covers it leaves too few kept bits
+in a covering mask to tell texts apart), so the rest comes from TABLES MinHash tables, each keyed by
+ROWS minima of seeded permutations of the shingle hashes: a pair just at 0.8 meets in some table but for
 (1 - 0.8^6)^40 = 5e-6 of such pairs, nearer pairs more surely, unlike texts hardly ever. Candidates
-are then compared exactly, shingle by shingle. SimHash at that similarity differs in 15 % of its
-bits; a radius that covers it leaves too few kept bits in a covering mask to tell texts apart.
+of both are then compared exactly, shingle by shingle.
 
-Texts of one shingle set are one node, so copies never make pairs. Texts that meet in a crowded table
-entry (more than CROWD texts) form regions: the components of "shares a crowded entry". A region is
+Texts of one shingle set are one node, so copies never make pairs. Texts within the SimHash radius, and
+texts that meet in a crowded MinHash entry (more than CROWD texts), form regions: the components of
+"is within the radius or shares a crowded entry". A region is
 cut into blocks of about BLOCK texts, and a task compares all texts of two blocks at once: their
 shingle sets become counts of common shingles, by a matrix product for shingles that many of the texts
 hold and pair by pair for rare ones. Only one edge for each text leaves a task, to the least text it is
 connected with there, so no pairs are written or shipped, however large a group is; comparing
-costs time with the square of a region. Pairs of sparse entries are shipped, CROWD for each
-text and table at most, with their shingle hashes.
+costs time with the square of a region. Pairs of sparse entries that no region holds
+are shipped, CROWD for each text and table at most, with their shingle hashes.
 
 Defined cases: null and blank texts have no shingles and are copies of each other; a text of fewer
 than SHINGLE words is one shingle; ASCII case and white space don't count. Rows with a null or
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import _other, components, free_names, materialize, row_key
 
 SHINGLE = 5
@@ -70,7 +74,8 @@ def _signatures(texts: pa.Array) -> pa.Array:
     sets = [shingles(x.as_py()) for x in texts]
     ids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets], pa.int64())
     keys = pa.array([table_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-    return pa.StructArray.from_arrays([ids, pa.array(map(len, sets), pa.int64()), keys], names=["id", "size", "keys"])
+    prints = pa.array([simhash.majority(s) if len(s) else 0 for s in sets], pa.int64())
+    return pa.StructArray.from_arrays([ids, pa.array(map(len, sets), pa.int64()), prints, keys], names=["id", "size", "fp", "keys"])
 
 
 def near(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,19 +178,30 @@ def _named(nodes: DataFrame, group: DataFrame | None, node: str, out: str) -> Da
     return nodes.withColumn("_n", _other(node)).join(found, "_n", "left").withColumn(out, F.coalesce("_c", node)).drop("_n", "_c")
 
 
+def _within_radius(sets: DataFrame) -> DataFrame:
+    """Links (u, v) between sets within the SimHash radius; any two within it are connected."""
+    some = sets.where("size > 0").select("id", "fp")
+    prints = materialize(some.groupBy("fp").agg(F.min("id").alias("leader"), F.count("*").alias("n")), "prints")
+    same = some.select("id", _other("fp").alias("k")).join(prints.where("n > 1").select(_other("fp").alias("k"), "leader"), "k")
+    first, second = (prints.select(F.col("fp").alias(c), F.col("leader").alias(f"_{c}")) for c in "uv")
+    other = simhash.fingerprint_links(prints.select("fp")).join(first, "u").join(second, "v").select("_u", "_v")
+    return same.where("id <> leader").select("id", "leader").union(other).toDF("u", "v")
+
+
 def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between the distinct shingle sets, which connect just what near pairs connect."""
     tables = sets.select("id", "size", F.explode("keys").alias("t"))
     shared = tables.groupBy("t").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = tables.select("id", "size", _other("t").alias("t")).join(shared.select(_other("t").alias("t"), "n", "leader"), "t")
     members = materialize(members, "members")
-    wanted = members.select("id").distinct().join(sets.select("id", "row"), "id")
+    crowded = members.where((F.col("n") > CROWD) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+    region = materialize(components(crowded.union(_within_radius(sets))), "regions")
+
+    wanted = members.select("id").union(region.select("node")).distinct().join(sets.select("id", "row"), "id")
     texts = docs.select(row_key(docs).alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row")
     texts = texts.groupBy("id").agg(F.first("text").alias("text")).select("id", F.arrow_udf(_shingled, "binary")("text").alias("shingles"))
     texts = materialize(texts, "texts")
 
-    crowded = members.where((F.col("n") > CROWD) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    region = materialize(components(crowded), "regions")
     sizes = region.groupBy("component").agg(F.count("*").alias("m"))
     placed = region.withColumn("k", _other("component")).join(sizes.select(_other("component").alias("k"), "m"), "k")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -206,9 +222,9 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """row (hash), doc_id, component of each row; rows of one component are near-duplicates."""
-    signature = F.arrow_udf(_signatures, "struct<id: long, size: long, keys: array<long>>")(F.col("text").cast("binary"))
+    signature = F.arrow_udf(_signatures, "struct<id: long, size: long, fp: long, keys: array<long>>")(F.col("text").cast("binary"))
     rows = materialize(docs.select(row_key(docs).alias("row"), "doc_id", signature.alias("s")).select("row", "doc_id", "s.*"), "signatures")
-    sets = rows.groupBy("id").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    sets = rows.groupBy("id").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     group = components(_links(docs, materialize(sets, "sets")))
     return _named(rows.select("row", "doc_id", "id"), group, "id", "component").select("row", "doc_id", "component")
 

@@ -34,18 +34,21 @@ _digest = partial(xxhash.xxh64_intdigest, seed=42)
 _CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number, signed, whose bits are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a UTF-8 text, as a signed number."""
     words = (data or b"").lower().split()
     if not words:
         return 0
     grams = zip(*(words[i:] for i in range(size)), strict=False) if len(words) > size else iter([words])
-    n = max(1, len(words) - size + 1)
-    hashes = np.fromiter(map(_digest, map(b" ".join, grams)), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return majority(np.fromiter(map(_digest, map(b" ".join, grams)), "<u8", max(1, len(words) - size + 1)))
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
