@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from voxelflow.operators import crf, crf_learning, density, importance
+from voxelflow.operators import crf, crf_learning, density, forest, growing, importance
 
 POINT = "scene long, pidx long, label int, p array<double>, f6 array<double>, f3 array<double>"
 
@@ -73,6 +73,62 @@ def test_planted_column_ranks_first(spark):
         assert all(r["value"] == x[r["donor"], c] for r in of)
 
 
+def test_forest_grows_by_groups(spark, tmp_path):
+    """Every node of every tree holds just the rows that the tree draws and its splits send there; wide nodes are
+    split before their rows meet, and groups are no larger than they may be."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (900, 9))
+    x[:, 4] = np.where(np.arange(900) < 880, 0, np.where(np.arange(900) < 890, 1, 2))  # few values, two of them rare
+    x[700:] = x[700]  # no split parts these
+    y = np.where(x[:, 2] > 0.3, 2, (x[:, 5] > 0).astype(int))
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label int, features array<double>").coalesce(1)
+    for group in (60, 1 << 15):
+        model = forest.fit(rows, trees=5, depth=8, min_split=10, seed=7, group=group)
+        forest.save(model, str(tmp_path / f"m{group}"))
+        trees = {}
+        for r in spark.read.parquet(str(tmp_path / f"m{group}" / "data")).collect():
+            trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+        assert sorted(trees) == list(range(5))
+        for t, nodes in trees.items():
+            assert sorted(nodes) == list(range(len(nodes)))
+            weight = growing.drawn(np.arange(900), t, 7)
+            assert 800 < weight.sum() < 1000
+
+            def held(at, here, level):
+                n = nodes[at]  # noqa: B023
+                want = np.bincount(y[here], weight[here], 3)  # noqa: B023
+                assert n["impurityStats"] == want.tolist() and n["rawCount"] == want.sum() and n["prediction"] == want.argmax()
+                if n["leftChild"] < 0:
+                    return
+                assert level < 8 and want.max() < want.sum()
+                left = x[here, n["split"]["featureIndex"]] <= n["split"]["leftCategoriesOrThreshold"][0]
+                assert min(weight[here[left]].sum(), weight[here[~left]].sum()) >= 5  # noqa: B023
+                held(n["leftChild"], here[left], level + 1)
+                held(n["rightChild"], here[~left], level + 1)
+
+            held(0, np.arange(900), 0)
+        found = forest.posterior(model, rows).collect()
+        assert np.mean([np.argmax(r["prob"]) == r["label"] for r in found]) > 0.9
+    ids, bins = np.arange(900), rng.integers(0, 32, (900, 9)).astype(np.uint8)
+    blocks = spark.createDataFrame([(bytearray(ids[k::3].tobytes()), bytearray(y[k::3].astype(np.int32).tobytes()), bytearray(bins[k::3].tobytes())) for k in range(3)], growing.BLOCK)
+    for top in growing.tops(blocks, 900, growing.Shape(3, 8, 5, 7, 9, 3, 60)):
+        leaves = [k for k, link in enumerate(top.links) if link[0] < 0]
+        assert len(leaves) > 14 and all(top.done[k] or top.stats[k].sum() <= 60 for k in leaves)
+
+
+def test_forest_thresholds(spark):
+    """Values that only a few rows have are parted too; rows of other lengths, nulls and no rows are refused."""
+    value = [0.0] * 970 + [1.0] * 20 + [2.0] * 10
+    rows = spark.createDataFrame([(0, [v, float(k)]) for k, v in enumerate(value)], "label int, features array<double>")
+    few, many = forest._thresholds(rows, 1000)
+    assert few.tolist() == [0.0, 1.0] and len(many) == 31 and np.abs(np.diff(many) - 1000 / 32).max() <= 2
+    for odd in ([1.0], [None, 1.0], [float("nan"), 1.0], None):
+        with pytest.raises(ValueError):
+            forest.fit(rows.union(spark.createDataFrame([(0, odd)], rows.schema)), trees=2, depth=2)
+    with pytest.raises(ValueError):
+        forest.fit(rows.where("label > 0"), trees=2, depth=2)
+
+
 CLOUD = "id long, x double, y double, z double"
 
 
