@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelflow.llm import chat, embeddings, html_text, katz, mixing, ordinal, packing, pii, quality_rules, simhash
+from voxelflow.llm import chat, common, embeddings, html_text, katz, mixing, ordinal, packing, pii, quality_rules, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +113,25 @@ def test_simhash_dependent_positions(spark):
     assert {frozenset(x) for x in links} == {frozenset(prints[:2]), frozenset(prints[2:])}
 
 
+def test_simhash_spares_driver(spark, monkeypatch):
+    """No table that grows with the documents goes through the driver, whatever the planner takes its size for."""
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(-(1 << 62), 1 << 62))
+    prints = sorted({base ^ sum(1 << int(k) for k in rng.choice(62, 2, replace=False)) for _ in range(100)})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    assert len({x for link in links.collect() for x in link}) == len(prints)
+    assert "Broadcast" not in plan(links)
+    seen = []
+    monkeypatch.setattr(common, "SMALL", 0, raising=False)
+    monkeypatch.setattr(common, "materialize", lambda df, *a, f=common.materialize: (seen.append(plan(df)), f(df, *a))[1])
+    monkeypatch.setattr(simhash, "materialize", lambda df, *a, f=simhash.materialize: (seen.append(plan(df)), f(df, *a))[1])
+    monkeypatch.setattr(simhash, "simhash", lambda _: F.col("fp"))
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fp long"))
+    assert {r.component_id for r in found.collect()} == {0}
+    assert len(seen) > 6 and not any("Broadcast" in x for x in [*seen, plan(found)])
+
+
 def good_turing(counts, least):
     """Discount by number of occurrences, as the docstring of the model states it."""
     n = Counter(counts)

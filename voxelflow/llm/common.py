@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Spark's setting for removing the shuffle files of a query when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges up to which the planner may send a round of ``components`` through the driver; it goes by compressed files.
+SMALL = 1 << 16
 _ASCII_WORD = re.compile(WORD)
 #: White space that str.split() knows and WORD does not.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -137,9 +139,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen = materialize(now, "edges"), None
 
-    def hub(rows: DataFrame) -> DataFrame:
+    def hub(rows: DataFrame, edges: int) -> DataFrame:
         least = rows.groupBy("u").agg(F.min("v").alias("m")).select(_other("u").alias("k"), F.least(F.col("m"), F.col("u")).alias("m"))
-        return rows.withColumn("k", _other("u")).join(least, "k").select("u", "v", "m")
+        return rows.withColumn("k", _other("u")).join(least if edges <= SMALL else least.hint("merge"), "k").select("u", "v", "m")
 
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).head()
@@ -147,8 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
         seen, last = mark, now
         both = now.union(now.select("v", "u"))
-        large = hub(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = hub(large)
+        large = hub(both, mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = hub(large, mark[0])
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).where("u <> v").distinct()
         now = materialize(small, "edges")
         discard(last)

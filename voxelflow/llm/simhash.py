@@ -10,6 +10,9 @@ Links are between distinct fingerprints, so copies never make pairs. In a bucket
 through codes at half the radius: two fingerprints differ in at most ``radius`` bits just when some
 code is within half of both. Its rows grow in proportion to the members, whatever their number.
 
+The planner sizes a table before its rows are exploded, so it would send codes and buckets through the
+driver; here joins are merge joins, and a code's members are found without any join.
+
 Defined cases: null and empty texts have no shingles and the fingerprint 0; rows with a null
 doc_id get the component of their fingerprint, null if no row of it has a doc_id; repeated rows
 come out as often as they went in; columns beside doc_id and text are not read.
@@ -22,7 +25,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _other, components, materialize, table
@@ -70,10 +73,10 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 
 def _near(radius: int) -> str:
-    """SQL: the codes within radius // 2 (1 or 2) bits of fp."""
+    """SQL: the codes within radius // 2 (1 or 2) bits of fp, each once."""
     bit = "if({0} = 64, 0L, shiftleft(1L, {0}))"
     one = f"transform(sequence(0, 64), i -> fp ^ {bit.format('i')})"
-    two = f"flatten(transform(sequence(0, 64), i -> transform(sequence(i, 64), j -> fp ^ {bit.format('i')} ^ {bit.format('j')})))"
+    two = f"concat(array(fp), flatten(transform(sequence(0, 63), i -> transform(sequence(i + 1, 64), j -> fp ^ {bit.format('i')} ^ {bit.format('j')}))))"
     return {1: one, 2: two}[radius // 2]
 
 
@@ -86,14 +89,14 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROW
     near = F.expr("bit_count(u ^ v)") <= radius
     links = sizes.where("n = 2").where(near).select("u", "v")
 
-    more = buckets.select("fp", _other("b").alias("k")).join(sizes.where("n > 2").select(_other("b").alias("k"), "n"), "k").select("k", "fp", "n")
+    more = buckets.select("fp", _other("b").alias("k")).join(sizes.where("n > 2").select(_other("b").alias("k"), "n").hint("merge"), "k").select("k", "fp", "n")
     more = materialize(more, "crowded")
     few = more.where(F.col("n") <= crowd).groupBy("k").agg(F.collect_list("fp").alias("a"))
     pairs = few.select(F.explode(F.expr(f"flatten(transform(a, x -> transform(filter(a, y -> y > x and bit_count(x ^ y) <= {radius}), y -> struct(x as u, y as v))))")).alias("p"))
-    codes = more.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(F.expr(_near(radius))).alias("c")).distinct()
-    codes = codes.select("fp", _other("c").alias("k"))
-    first = codes.groupBy("k").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select(_other("k").alias("q"), "u")
-    star = codes.select("fp", _other("k").alias("q")).join(first, "q").where("fp <> u").select("u", F.col("fp").alias("v"))
+    # a number of partitions of its own: adaptive execution, too, sees only the few rows before the codes
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    codes = more.where(F.col("n") > crowd).select("fp").distinct().repartition(tasks, "fp").select("fp", F.explode(F.expr(_near(radius))).alias("c"))
+    star = codes.select(F.min("fp").over(Window.partitionBy("c")).alias("u"), F.col("fp").alias("v")).where("u <> v")
     return links.union(pairs.select("p.u", "p.v")).union(star).distinct()
 
 
@@ -102,10 +105,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -
     rows = materialize(docs.select("doc_id", simhash("text").alias("fp")), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
     group = components(fingerprint_links(prints, radius, crowd))
-    named = prints.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    named = prints.join(group.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("fp", _other("component").alias("k")).join(least.select(_other("component").alias("k"), "component_id"), "k").select(_other("fp").alias("k"), "component_id")
-    return rows.withColumn("k", _other("fp")).join(named, "k").select("doc_id", "fp", "component_id")
+    named = named.select("fp", _other("component").alias("k")).join(least.select(_other("component").alias("k"), "component_id").hint("merge"), "k").select(_other("fp").alias("k"), "component_id")
+    return rows.withColumn("k", _other("fp")).join(named.hint("merge"), "k").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
